@@ -22,7 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
         moved = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
-    return moved.where("a <> b").groupBy("a", "b").agg()
+    return moved.where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     edges: columns a and b of one orderable type, in any direction, repeats and loops allowed.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a", "b").agg()
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, seen = shared.written(now, "edges"), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
