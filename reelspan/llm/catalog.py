@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, packing, simhash, token_counts
+from pyspark.sql import functions as F
+
+from . import chat_format, packing, quality_rules, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,56 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
+    return quality_rules.verdicts(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
+    )
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS t FROM d WHERE len(w) >= 3
+), win2 AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM win
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM win2, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id
+), raw AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d
+), worded AS (
+  SELECT doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id
+), dig AS (
+  SELECT doc_id, source, sum(words) AS words, md5_number_lower(regexp_replace(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g')) AS line
+  FROM worded GROUP BY ALL
+), ext AS (
+  SELECT *, CASE WHEN min(line) OVER w = line THEN min(line) FILTER (WHERE rk <> 1) OVER w ELSE min(line) OVER w END AS low,
+    CASE WHEN max(line) OVER w = line THEN max(line) FILTER (WHERE rkd <> 1) OVER w ELSE max(line) OVER w END AS high
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rk, row_number() OVER (PARTITION BY doc_id ORDER BY line DESC) AS rkd FROM dig)
+  WINDOW w AS (PARTITION BY doc_id)
+), content AS (
+  SELECT source, text, min(doc_id) AS doc_id FROM d GROUP BY ALL
+), seen AS (
+  SELECT source, line, low, high, count(*) AS n FROM ext SEMI JOIN content USING (doc_id) GROUP BY ALL
+), frequent AS (
+  SELECT source, line FROM seen GROUP BY ALL HAVING count(*) > 10 AND count(*) >= 0.5 * sum(n)
+), gone AS (
+  SELECT doc_id, sum(words) AS removed_words FROM dig JOIN frequent USING (source, line) GROUP BY doc_id
+), base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= 0.5 * n_words AS kept
+FROM base
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,8 +107,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op7_packing, op8_simhash, op9_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op7_packing, op8_simhash, op9_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op9_chat_format": OP9_SQL}
