@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, quality_rules, simhash, token_counts
+from . import chat_format, decontaminate, packing, quality_rules, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,9 +106,52 @@ FROM e GROUP BY conv_id
 """
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_digest", "row_doc")
+
+
+_CAPITAL = r"(t < 'a' OR t >= chr(128) AND regexp_matches(t, '^\p{Lu}'))"
+OP10_SQL = rf"""
+WITH tok AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(coalesce(text, ''), '{decontaminate.TOKEN}') AS v FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(coalesce(text, ''), '{decontaminate.TOKEN}') FROM benchmark
+), one AS (
+  SELECT kind, id, unnest(v) AS t, unnest(range(1, len(v) + 1)) AS pos FROM tok
+), marked AS (
+  SELECT *, CASE WHEN t BETWEEN '0' AND '9~' THEN '<num>' WHEN {_CAPITAL} THEN '<name>'
+      WHEN (lag(t) OVER w) BETWEEN '0' AND '9~' AND t IN ({", ".join(f"'{u}'" for u in decontaminate.UNITS)}) THEN '<unit>' ELSE t END AS c
+  FROM one WINDOW w AS (PARTITION BY kind, id ORDER BY pos)
+), win AS (
+  SELECT kind, id, pos, string_agg(c, ' ') OVER w AS win, count(*) OVER w AS n, sum(CASE WHEN c[1] = '<' THEN 0 ELSE 1 END) OVER w AS plain, list(t) OVER w AS vals, list(c) OVER w AS cs
+  FROM marked WINDOW w AS (PARTITION BY kind, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+), idx AS (
+  SELECT id AS item_id, pos AS item_at, win, vals AS theirs FROM win WHERE kind = 'i' AND n = 8 AND plain >= 4
+), met AS (
+  SELECT id AS doc_id, item_id, item_at, arg_min(vals, pos) AS ours, any_value(theirs) AS theirs, any_value(cs) AS cs
+  FROM win JOIN idx USING (win) WHERE win.kind = 'd' AND n = 8 GROUP BY ALL
+), cov AS (
+  SELECT doc_id, item_id, count(*) AS n_windows, any_value(size) AS size
+  FROM met JOIN (SELECT item_id, count(*) AS size FROM idx GROUP BY item_id) USING (item_id) GROUP BY ALL
+), slot AS (
+  SELECT DISTINCT doc_id, item_id, item_at + k AS slot, ours[k + 1] AS ours, theirs[k + 1] AS theirs
+  FROM met, (SELECT unnest(range(8)) AS k) WHERE cs[k + 1][1] = '<'
+), cnt AS (
+  SELECT doc_id, item_id, ours, theirs, count(*) AS n FROM slot GROUP BY ALL
+), a AS (
+  SELECT doc_id, item_id, sum(most) AS most, sum(n) AS n FROM (SELECT doc_id, item_id, theirs, max(n) AS most, sum(n) AS n FROM cnt GROUP BY ALL) GROUP BY ALL
+), b AS (
+  SELECT doc_id, item_id, sum(most) AS most FROM (SELECT doc_id, item_id, ours, max(n) AS most FROM cnt GROUP BY ALL) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_windows, n_windows / size AS coverage, CAST(coalesce(a.n, 0) AS BIGINT) AS n_slots,
+  CAST(coalesce(least(a.most, b.most) / a.n, 1.0) AS DOUBLE) AS consistency
+FROM cov LEFT JOIN a USING (doc_id, item_id) LEFT JOIN b USING (doc_id, item_id)
+WHERE n_windows / size >= 0.5 AND coalesce(least(a.most, b.most) / a.n, 1.0) >= 0.8
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op7_packing, op8_simhash, op9_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op7_packing, op8_simhash, op9_chat_format, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op9_chat_format": OP9_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op9_chat_format": OP9_SQL, "op10_decontamination": OP10_SQL}
