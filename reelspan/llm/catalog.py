@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, packing, quality_rules, secret_scan, simhash, token_counts
+from . import chat_format, decontaminate, html_extract, license_scan, packing, quality_rules, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ FROM base
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digests(license_scan.scan(_table(spark, sf_dir, "documents")))
 
@@ -158,7 +162,7 @@ WHERE n_windows / size >= 0.5 AND coalesce(least(a.most, b.most) / a.n, 1.0) >=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_license_scan, op5_secret_scan, op7_packing, op8_simhash, op9_chat_format, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_html_extraction, op4_license_scan, op5_secret_scan, op7_packing, op8_simhash, op9_chat_format, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
