@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, license_scan, packing, quality_rules, secret_scan, simhash, token_counts
+from . import chat_format, decontaminate, html_extract, license_scan, packing, quality_crf, quality_rules, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_crf.scored(docs, quality_crf.fitted(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -162,7 +167,7 @@ WHERE n_windows / size >= 0.5 AND coalesce(least(a.most, b.most) / a.n, 1.0) >=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_html_extraction, op4_license_scan, op5_secret_scan, op7_packing, op8_simhash, op9_chat_format, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_html_extraction, op4_license_scan, op5_secret_scan, op6_quality_crf, op7_packing, op8_simhash, op9_chat_format, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
