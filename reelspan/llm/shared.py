@@ -109,9 +109,10 @@ def fresh(df: DataFrame, name: str) -> str:
 def with_keys(df: DataFrame, *more: str) -> tuple[DataFrame, list[str]]:
     """df with two columns that tell its rows apart (without nulls), and their names.
 
-    The first is a digest of the text and of the columns in more, the second the doc_id. Rows
+    The first is a digest of the text and of the columns in more, the second the doc_id (a null one as
+    the greatest long). Rows
     that agree in all of these share their keys.
     """
     a, b = fresh(df, "row_digest"), fresh(df, "row_doc")
     parts = [F.col(c) for c in ("text", *more)] + [F.col(c).isNull() for c in ("text", "doc_id", *more)]
-    return df.withColumns({a: F.xxhash64(*parts), b: F.coalesce(F.col("doc_id"), F.lit(0)).cast("long")}), [a, b]
+    return df.withColumns({a: F.xxhash64(*parts), b: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))}), [a, b]
