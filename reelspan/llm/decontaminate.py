@@ -89,31 +89,49 @@ def template_index(items: DataFrame, rules: DecontaminationRules) -> DataFrame:
     return rows.where(F.size(F.filter("item_window", lambda t: ~t.startswith("<"))) >= rules.literals)
 
 
+def _cut(keyed: DataFrame, width: int) -> DataFrame:
+    """keyed with values, template and digests (of its windows) in place of text."""
+    cut = keyed.withColumn("values", tokens(shared.text_of())).drop("text").withColumn("template", canonical("values"))
+    return cut.withColumn("digests", windows_of("template", width))
+
+
+def _first(met: DataFrame, keys: list[str], *what: str) -> DataFrame:
+    """Of each document's windows that meet the same one of an item, the first."""
+    least = met.groupBy(*keys, "doc_id", "item_id", "item_at").agg(F.min(F.struct("at", *what)).alias("first"))
+    return least.select(*keys, "doc_id", "item_id", "item_at", "first.*")
+
+
+def _met(keyed: DataFrame, keys: list[str], digests: DataFrame, rules: DecontaminationRules) -> DataFrame:
+    """keys, doc_id, item_id, item_at, at, values, window of the windows that documents share with items.
+
+    digests is broadcast (its size is checked), so values are cut out where they meet and nothing else is shuffled.
+    """
+    # outer, as Spark would else filter on the size of digests, with all that digests is made of inlined into its lambda
+    each = _cut(keyed, rules.width).select(*keys, "doc_id", "values", "template", F.posexplode_outer("digests").alias("at", "digest"))
+    here = F.col("at") + 1
+    met = each.join(F.broadcast(digests), "digest").select(
+        *keys, "doc_id", "item_id", "item_at", here.alias("at"), F.slice("values", here, rules.width).alias("values"), F.slice("template", here, rules.width).alias("window")
+    )
+    return _first(met, keys, "values", "window")
+
+
+def _met_by_shuffle(keyed: DataFrame, keys: list[str], digests: DataFrame, rules: DecontaminationRules) -> DataFrame:
+    """The same for a benchmark of any size: digests meet by a shuffle, then the documents concerned give their values."""
+    each = _cut(keyed, rules.width).select(*keys, "doc_id", F.posexplode_outer("digests").alias("at", "digest"))
+    met = _first(each.join(digests, "digest").withColumn("at", F.col("at") + 1), keys)
+    places = shared.written(met.groupBy(*keys).agg(F.collect_list(F.struct("item_id", "item_at", "at")).alias("places")), "met-windows")
+    cut = _cut(keyed.join(places, keys), rules.width)
+    values = F.transform("places", lambda m: F.struct(m["item_id"].alias("item_id"), m["item_at"].alias("item_at"), m["at"].alias("at"), F.slice("values", m["at"], rules.width).alias("values"), F.slice("template", m["at"], rules.width).alias("window")))
+    return cut.select(*keys, "doc_id", F.explode(values).alias("m")).select(*keys, "doc_id", "m.*")
+
+
 def leaks(docs: DataFrame, items: DataFrame, rules: DecontaminationRules = DecontaminationRules()) -> DataFrame:
     """row_digest, row_doc, doc_id, item_id, n_windows, coverage, n_slots, consistency of each leak of items (item_id, text) in docs (doc_id, text)."""
     index = shared.written(template_index(items, rules), "templates")
     digests = index.select("digest", "item_id", F.col("at").alias("item_at"))
-    if index.count() <= rules.broadcast_windows:
-        digests = F.broadcast(digests)
-
     keyed, keys = shared.with_keys(docs.select("doc_id", "text"))
-    cut = keyed.select(*keys, "doc_id", tokens(shared.text_of()).alias("values")).withColumn("template", canonical("values"))
-    found = (
-        cut.select(*keys, F.posexplode(windows_of("template", rules.width)).alias("at", "digest"))
-        .join(digests, "digest")
-        .groupBy(*keys, "item_id", "item_at")
-        .agg((F.min("at") + 1).alias("at"))
-    )
-    met = shared.written(found.groupBy(*keys).agg(F.collect_list(F.struct("item_id", "item_at", "at")).alias("met")), "met-windows")
-
-    values = F.transform("met", lambda m: F.struct(m["item_id"].alias("item_id"), m["item_at"].alias("at"), F.slice("values", m["at"], rules.width).alias("values"), F.slice("template", m["at"], rules.width).alias("window")))
-    seen = (
-        cut.join(met, keys)
-        .select(*keys, "doc_id", F.explode(values).alias("m"))
-        .select(*keys, "doc_id", "m.*")
-        .join(index, ["item_id", "at"])
-        .where(F.col("window") == F.col("item_window"))
-    )
+    met = _met(keyed, keys, digests, rules) if index.count() <= rules.broadcast_windows else _met_by_shuffle(keyed, keys, digests, rules)
+    seen = met.drop("at").withColumnRenamed("item_at", "at").join(index, ["item_id", "at"]).where(F.col("window") == F.col("item_window"))
     seen = shared.written(seen.select(*keys, "doc_id", "item_id", "at", "values", "item_values", "window"), "seen-windows")
 
     pair = [*keys, "doc_id", "item_id"]
