@@ -19,10 +19,13 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,36 +52,72 @@ class PackingConfig:
 
 
 class ChunkEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, memoised by chunk between blanks.
+    """Ids of whole texts as little-endian uint32 bytes, memoised by chunk between blanks, and by word.
 
-    For a tokenizer that drops white space, a blank is a safe cut everywhere; a text with "<|",
-    which may open a special token, is encoded whole.
+    For a tokenizer that lower-cases and drops white space, a blank is a safe cut everywhere, and so is
+    the place between letters, a digit and other signs. Many new words are encoded in one call; as each
+    is one pre-token, its ids end with the first one that ends a word. A text with "<|", which may
+    open a special token, is encoded whole.
     """
 
+    PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+|\s+")
+    ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]|[^\w\s\x21-\x7e]|[^\W\d_a-zA-Z\u00c0-\u024f]")  # controls, and signs and letters beyond Latin
+
     def __init__(self, path: str, memo_entries: int) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.memo = shared.Memo(self._whole, memo_entries)
+        self.memo = shared.Memo(self._chunks, memo_entries)
+        self.words = shared.Memo(self._words, 2 * memo_entries)
+        self.ends_word = self._which(lambda token: token.endswith("</w>"))
+        self.ends_sentence = self._which(lambda token: token.removesuffix("</w>").endswith((".", "!", "?")))
+
+    def _which(self, test: Callable[[str], bool]) -> np.ndarray:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for token, i in vocabulary.items() if test(token)]] = True
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._whole([text])[0]
-        chunks = text.split(" ")
-        try:
-            return b"".join(map(self.memo.__getitem__, chunks))
-        except KeyError:
-            self.memo.ensure(chunks)
-            return b"".join(map(self.memo.__getitem__, chunks))
-
-    def sentence_ends(self) -> np.ndarray:
-        """By id, whether its token ends a sentence."""
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        out = np.zeros(max(vocab.values()) + 1, bool)
-        out[[i for t, i in vocab.items() if t.removesuffix("</w>").endswith((".", "!", "?"))]] = True
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Of words that are one pre-token each: letters, or one punctuation mark."""
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            if len(ends) != len(part):
+                yield from self._whole(part)
+                continue
+            packed = ids.tobytes()
+            yield from (packed[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        cut, rest = [], []
+        for i, c in enumerate(chunks):
+            # left whole: what may be a contraction, and letters of more than one lower form
+            if c.isascii() and c.isprintable() and "'" not in c or "'" not in c and "\u0130" not in c and "\u03a3" not in c and not self.ODD.search(c):
+                cut.append((i, [p for p in self.PIECES.findall(c.lower()) if not p.isspace()]))
+            else:
+                rest.append(i)
+        out = [b""] * len(chunks)
+        for (i, _), ids in zip(cut, self.words.resolved([pieces for _, pieces in cut]), strict=True):
+            out[i] = b"".join(ids)
+        for i, x in zip(rest, self._whole([chunks[i] for i in rest]), strict=True):
+            out[i] = x
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; new chunks of all of them are looked up together."""
+        cut = [[] if "<|" in t else t.split(" ") for t in texts]
+        return [b"".join(ids) if chunks else self._whole([t])[0] for t, chunks, ids in zip(texts, cut, self.memo.resolved(cut), strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str, memo_entries: int) -> ChunkEncoder:
+    """One encoder, and its memo, for all tasks of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return ChunkEncoder(path, memo_entries)
+
 
 def best_cuts(positions: list[int], penalties: list[int], window: int, window_cost: int = 0) -> list[int]:
     """The indices of the chosen cuts, the first and the last position among them.
@@ -177,8 +216,8 @@ def pack(docs: DataFrame, tokenizer_path: str, config: PackingConfig = PackingCo
     """One row of SCHEMA for each piece of a document of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path, config.memo_entries)
-        packer = Packer(encoder.sentence_ends(), config, TaskContext.get().partitionId() << PARTITION_SHIFT)
+        encoder = encoder_of(tokenizer_path, config.memo_entries)
+        packer = Packer(encoder.ends_sentence, config, TaskContext.get().partitionId() << PARTITION_SHIFT)
         end = np.asarray([config.end_id], "<u4").tobytes()
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -186,11 +225,14 @@ def pack(docs: DataFrame, tokenizer_path: str, config: PackingConfig = PackingCo
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows.extend(packer.add(doc_id, np.frombuffer(encoder.encode(text or "") + end, "<u4")))
-            if rows:
-                yield batch_of(rows)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows: list[tuple] = []
+                encoded = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+                    rows.extend(packer.add(doc_id, np.frombuffer(ids + end, "<u4")))
+                if rows:
+                    yield batch_of(rows)
         if rows := list(packer.finish()):
             yield batch_of(rows)
 

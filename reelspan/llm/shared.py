@@ -82,20 +82,29 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """A dict filled by a function of many keys; it starts anew beyond a bound of entries."""
+    """A dict filled by a function of many keys. It keeps its first `bound` entries, the common ones
+    of any large input among them; further values live for one call only."""
 
     def __init__(self, fill: Callable[[list], Iterable], bound: int) -> None:
         super().__init__()
         self.fill, self.bound = fill, bound
 
-    def ensure(self, keys: Iterable) -> None:
-        new = [k for k in set(keys) if k not in self]
-        if not new:
-            return
-        if len(self) + len(new) > self.bound:
-            self.clear()
-            new = list(set(keys))
-        self.update(zip(new, self.fill(new), strict=True))
+    def resolved(self, lists: list[list]) -> list[list]:
+        """The values of lists of keys; what is not there yet is filled in one call."""
+        out = [list(map(self.get, keys)) for keys in lists]
+        holes = [(keys, values, [i for i, v in enumerate(values) if v is None]) for keys, values in zip(lists, out, strict=True) if None in values]
+        new = list({keys[i] for keys, _, at in holes for i in at})
+        if new:
+            found = dict(zip(new, self.fill(new), strict=True))
+            for keys, values, at in holes:
+                for i in at:
+                    values[i] = found[keys[i]]
+            room = self.bound - len(self)
+            if room >= len(new):
+                self.update(found)
+            elif room > 0:
+                self.update((k, found[k]) for k in new[:room])
+        return out
 
 
 def fresh(df: DataFrame, name: str) -> str:
