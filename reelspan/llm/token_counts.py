@@ -54,7 +54,7 @@ class ChunkCounter:
 
     SIMPLE = re.compile(r"([^\W\d_]+)([.,!?;:]?)")
 
-    def __init__(self, path: str, memo_entries: int = 250_000) -> None:
+    def __init__(self, path: str, memo_entries: int = 100_000) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.memo = shared.Memo(self._chunks, memo_entries)
         self.words = shared.Memo(self._words, 2 * memo_entries)
@@ -126,8 +126,8 @@ def _encoder(path: str, digest: str, memo_entries: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path, memo_entries)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                b = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 128):
+                b = batch.slice(i, 128)
                 n = counter.counts(b.column("content").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("content_digest").cast(pa.binary()), pa.array(list(repeat(digest, len(n))), pa.string()), pa.array(n, pa.int64())],
@@ -137,7 +137,7 @@ def _encoder(path: str, digest: str, memo_entries: int):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 1024, memo_entries: int = 250_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 1024, memo_entries: int = 100_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text).
 
     cache_path: a cache that lives on; by default a new one in the shared folder. One writer at a
