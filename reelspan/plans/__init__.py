@@ -1 +1,6 @@
-"""Plans of the manifest curation engine."""
+"""Query plans of the manifest curation engine: all of them, by name."""
+
+from . import catalog_queries, timeline_queries  # noqa: F401  (they register themselves)
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
