@@ -384,4 +384,4 @@ def chapter_water_fill(t: Tables) -> DataFrame:
         filled = selection.water_fill({c: 1.2 * i * rows["available"].mean() / len(available) for i, c in enumerate(available, 1)}, available, weights)
         return pd.DataFrame({"chapter": list(filled), "target": [round(v, 3) for v in filled.values()]})
 
-    return a.groupBy(F.lit(1)).applyInPandas(run, "chapter string, target double")
+    return a.groupBy().applyInPandas(run, "chapter string, target double")
