@@ -2,52 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL_FALLBACK: dict[str, str] = {}
+from ..sources.scratch import new_path, path_exists, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset and the master is local (tests) a temporary folder stands in.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FALLBACK:
-        _LOCAL_FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="reelspan-")
-    return _LOCAL_FALLBACK[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/reelspan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again.
-
-    Its files outlive any executor, and its size is known to the planner.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+__all__ = ["Memo", "arrow_map", "byte_texts", "fresh", "new_path", "path_exists", "shared_dir", "text_of", "with_keys", "written"]
 
 
 def text_of(column: str = "text") -> Column:
@@ -55,11 +18,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def row_key(*columns: str) -> Column:
-    """A digest of the named columns, to match rows of equal content; nulls count as values of their own."""
-    return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
-
-
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow of a function from one batch to one batch (or several)."""
 

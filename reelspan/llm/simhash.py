@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from . import shared
-from .components import connected_components
 
 BITS = 64
 

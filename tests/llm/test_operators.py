@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("reelspan.llm")
 from reelspan.llm import chat_format, decontaminate, html_extract, license_scan, packing, quality_crf, quality_rules, secret_scan, shared, simhash, token_counts  # noqa: E402
-from reelspan.llm.components import connected_components  # noqa: E402
+from reelspan.operators.graph import connected_components  # noqa: E402
 
 DOCS = "doc_id long, text string, source string, n_chars long, row_digest int, host string, lines string, fingerprint string, values string"
 rng = random.Random(7)
