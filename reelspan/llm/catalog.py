@@ -78,6 +78,42 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digests(license_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def _template_rows() -> str:
+    rows = []
+    for t, (words, (label, _, key)) in enumerate(zip(license_scan.template_words(), license_scan.TEMPLATES, strict=True)):
+        phrase = key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+        rows += [f"({t}, '{label}', {q}, '{w}', {at <= q < at + len(phrase)})" for q, w in enumerate(words)]
+    return ", ".join(rows)
+
+
+OP4_SQL = rf"""
+WITH t(t, label, q, word, keyed) AS (VALUES {_template_rows()}), size AS (SELECT t, count(*) AS n FROM t GROUP BY t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS w FROM documents),
+one AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM d),
+near AS (SELECT *, lead(x) OVER v AS x1, lead(x, 2) OVER v AS x2 FROM one WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+base AS (
+  SELECT doc_id, 'mit' AS label, i FROM near WHERE x = 'mit' AND x1 = 'license' UNION ALL SELECT doc_id, 'apache', i FROM near WHERE x = 'apache' AND x1 = 'license'
+  UNION ALL SELECT doc_id, 'gpl', i FROM near WHERE x = 'general' AND x1 = 'public' AND x2 = 'license'
+), present AS (SELECT DISTINCT doc_id, x FROM one WHERE x IN (SELECT word FROM t)),
+freq AS (SELECT x, count(*) AS n FROM present GROUP BY x),
+rare AS (SELECT doc_id, x FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY n, x) AS k FROM present JOIN freq USING (x)) WHERE k <= 16),
+needs AS (SELECT t, count(DISTINCT word) AS n FROM t WHERE keyed GROUP BY t),
+possible AS (SELECT doc_id, c.t FROM (SELECT doc_id, t, count(DISTINCT word) AS k FROM present JOIN t ON x = word AND keyed GROUP BY doc_id, t) c JOIN needs ON needs.t = c.t AND k = n),
+spot AS (SELECT DISTINCT one.doc_id, t.t, i - q AS start FROM one JOIN rare USING (doc_id, x) JOIN t ON x = word JOIN possible ON possible.doc_id = one.doc_id AND possible.t = t.t),
+judged AS (
+  SELECT spot.doc_id, spot.t, start, count(one.x) / count(*) AS score, bool_and(one.x IS NOT NULL OR NOT keyed) AS phrase, count(DISTINCT rare.x) AS votes
+  FROM spot JOIN t ON t.t = spot.t LEFT JOIN one ON one.doc_id = spot.doc_id AND one.i = start + q AND one.x = word LEFT JOIN rare ON rare.doc_id = spot.doc_id AND rare.x = one.x GROUP BY ALL
+), hit AS (SELECT DISTINCT doc_id, (SELECT min(label) FROM t WHERE t.t = judged.t) AS label, score FROM judged JOIN size USING (t) WHERE phrase AND votes >= least(2, n)),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM hit) GROUP BY doc_id),
+s AS (SELECT doc_id, max(score) AS score FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(coalesce(score, CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
@@ -171,4 +207,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op9_chat_format": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_decontamination": OP10_SQL}
