@@ -5,8 +5,8 @@ and after it; transition weights tie neighbours together. Forward-backward gives
 marginal probability of being good; their mean, weighted by length, is the document's score.
 
 The field is fitted on the driver to a sample of at most `fit_documents` labelled documents (those of
-least digest of their doc_id), of which only line features travel; a document's label
-is that of each of its lines. Rows whose crc32(doc_id) mod `folds` is 0 are held out and never read
+least digest of their doc_id, and of `fit_lines` lines at most), of which only line features travel;
+a document's label is that of each of its lines. Rows whose crc32(doc_id) mod `folds` is 0 are held out and never read
 for fitting. Scores use the text only.
 
 Defined results: a null or wordless text scores 0; without any usable label every other text scores
@@ -39,6 +39,7 @@ N_FEATURES = 10
 @dataclass(frozen=True)
 class FieldConfig:
     fit_documents: int = 2_500
+    fit_lines: int = 2_000  # longer texts are not fitted to (they are scored like any other)
     folds: int = 5
     threshold: float = 0.3
     steps: int = 120
@@ -194,11 +195,12 @@ def fitted(docs: DataFrame, labels: DataFrame, config: FieldConfig = FieldConfig
     sample = shared.written(sample, "labelled-sample")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [text_features(t)[0] for t in shared.byte_texts(batch.column("text"))]
+        found = [text_features(t)[0] if t.count(b"\n") < config.fit_lines else np.empty(0) for t in shared.byte_texts(batch.column("text"))]
         flat = pa.array([f.reshape(-1) for f in found], pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([batch.column("quality"), flat], names=["quality", "features"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text")  # fit_documents rows at most
+    # the sample has fit_documents rows at most; of several texts of a doc_id the least counts
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
     table = shared.arrow_map(rows, work, "quality int, features array<double>").toArrow()
     features = [np.asarray(x, np.float64).reshape(-1, 3 * N_FEATURES) for x in table["features"].to_pylist()]
     keep = [i for i, f in enumerate(features) if len(f)]
