@@ -91,20 +91,28 @@ class ChunkEncoder:
             packed = ids.tobytes()
             yield from (packed[a:b] for a, b in zip([0, *ends], ends, strict=False))
 
+    def _pieces(self, c: str) -> list[str] | None:
+        """The pre-tokens of a chunk in lower case, or None if it is left to the library."""
+        body, mark = (c[:-1], c[-1]) if c and c[-1] in ".,!?;:" else (c, "")
+        if body.isascii():
+            if body.isalpha():
+                return [body.lower(), mark] if mark else [body.lower()]
+            if "'" in c or not c.isprintable():  # what may be a contraction, or holds controls
+                return None if "'" in c or self.ODD.search(c) else self._cut(c)
+            return self._cut(c)
+        if "'" in c or "\u0130" in c or "\u03a3" in c or self.ODD.search(c):  # letters of more than one lower form
+            return None
+        return self._cut(c)
+
+    def _cut(self, c: str) -> list[str]:
+        return [p for p in self.PIECES.findall(c.lower()) if not p.isspace()]
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        cut, rest = [], []
-        for i, c in enumerate(chunks):
-            # left whole: what may be a contraction, and letters of more than one lower form
-            if c.isascii() and c.isprintable() and "'" not in c or "'" not in c and "\u0130" not in c and "\u03a3" not in c and not self.ODD.search(c):
-                cut.append((i, [p for p in self.PIECES.findall(c.lower()) if not p.isspace()]))
-            else:
-                rest.append(i)
-        out = [b""] * len(chunks)
-        for (i, _), ids in zip(cut, self.words.resolved([pieces for _, pieces in cut]), strict=True):
-            out[i] = b"".join(ids)
-        for i, x in zip(rest, self._whole([chunks[i] for i in rest]), strict=True):
-            out[i] = x
-        return out
+        cut = list(map(self._pieces, chunks))
+        known = dict.fromkeys(p for pieces in cut if pieces for p in pieces)
+        known = dict(zip(known, self.words.resolved([list(known)])[0], strict=True))
+        rest = iter(self._whole([c for c, pieces in zip(chunks, cut, strict=True) if pieces is None]))
+        return [next(rest) if pieces is None else known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces]) for pieces in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new chunks of all of them are looked up together."""
