@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import seconds
+from ..functions.scalars import seconds, sign_hash
 from ..operators import intervals, selection, sessions, similarity
 from .registry import Tables, query
 
@@ -337,8 +337,6 @@ def top_windows_nms(t: Tables) -> DataFrame:
 @query()
 def album_selection(t: Tables) -> DataFrame:
     """The most central vectors of each label, none within six bits of another one taken."""
-    from ..functions.scalars import sign_hash
-
     rows = t.embeddings.select("vec_id", "label", sign_hash(F.col("embedding")).alias("bits"), F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + F.abs(x)).alias("score"))
     limits = selection.Limits(most=12, similar="bits", similar_bits=20)
     return selection.select_by(rows.withColumn("duration", F.lit(1.0)), ["label"], (selection.Pass(("-score",)),), limits, "vec_id").select("vec_id", "label", "pick", "why")
