@@ -102,7 +102,7 @@ def recommended_uses(t: Tables) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-SELECT event_id, event_type, value, rk AS rank, CASE WHEN value >= 200 THEN 'threshold' ELSE 'quota' END AS reason FROM r
+SELECT event_id, event_type, value, CAST(rk AS INTEGER) AS rank, CASE WHEN value >= 200 THEN 'threshold' ELSE 'quota' END AS reason FROM r
 WHERE rk <= 250 AND (value >= 200 OR rk <= least(250, greatest(20, CAST(floor(n * 0.1) AS BIGINT))))""")
 def select_topk_quota(t: Tables) -> DataFrame:
     ranked = t.events.select("event_id", "event_type", "value").withColumn("rank", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")))
@@ -175,7 +175,7 @@ def set_ops_media_sets(t: Tables) -> DataFrame:
     return out[0].union(out[1]).union(out[2])
 
 
-@query("""SELECT s_suppkey, row_number() OVER (ORDER BY n, s_suppkey) AS rank FROM (SELECT s_suppkey, CAST(regexp_extract('cam' || CAST(s_suppkey % 97 AS VARCHAR) || 'b', '[0-9]+') AS BIGINT) AS n FROM supplier)""")
+@query("""SELECT s_suppkey, CAST(row_number() OVER (ORDER BY n, s_suppkey) AS INTEGER) AS rank FROM (SELECT s_suppkey, CAST(regexp_extract('cam' || CAST(s_suppkey % 97 AS VARCHAR) || 'b', '[0-9]+') AS BIGINT) AS n FROM supplier)""")
 def natural_sort_rank(t: Tables) -> DataFrame:
     name = F.concat(F.lit("cam"), (F.col("s_suppkey") % 97).cast("string"), F.lit("b"))
     return t.supplier.select("s_suppkey", F.row_number().over(Window.orderBy(natural_key(name), "s_suppkey")).alias("rank"))
@@ -209,7 +209,7 @@ def enabled_semi_join(t: Tables) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
-SELECT a, b, rank FROM (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id) AS rank
+SELECT a, b, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id) AS rank
 FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank <= 3""")
 def cosine_neighbors(t: Tables) -> DataFrame:
     """The three nearest of the same label: blocked by label, so pairs are made inside blocks only."""

@@ -111,7 +111,7 @@ def transition_types(t: Tables) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT event_id, user_id, ts, least(greatest(value, 1.5), 45.0) AS seconds, CASE WHEN value > 100 THEN 2.0 ELSE 1.0 END AS speed FROM events), d AS (SELECT *, CAST(floor(seconds / speed * 1000 + 0.5) AS BIGINT) AS ms FROM b)
-SELECT event_id, row_number() OVER w AS edit_sequence, CAST(sum(ms) OVER w - ms AS BIGINT) AS timeline_start_ms, CAST(sum(ms) OVER w AS BIGINT) AS timeline_end_ms, speed::DOUBLE AS speed FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS edit_sequence, CAST(sum(ms) OVER w - ms AS BIGINT) AS timeline_start_ms, CAST(sum(ms) OVER w AS BIGINT) AS timeline_end_ms, speed::DOUBLE AS speed FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def edit_decisions(t: Tables) -> DataFrame:
     """The cut list: a source span, its speed and where it lands on the output's clock."""
     b = t.events.select("event_id", "user_id", "ts", F.least(F.greatest("value", F.lit(1.5)), F.lit(45.0)).alias("seconds"), F.when(F.col("value") > 100, 2.0).otherwise(1.0).alias("speed"))

@@ -213,7 +213,7 @@ def mute_window_remap(t: Tables) -> DataFrame:
     return intervals.islands(cut, ["event_id"], 0.05).drop("n_merged")
 
 
-@query("""SELECT event_id, user_id, row_number() OVER w AS sequence, CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+@query("""SELECT event_id, user_id, CAST(row_number() OVER w AS INTEGER) AS sequence, CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cursor FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def output_cursor(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     before = F.sum(F.round(F.col("value") * 100).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -286,14 +286,14 @@ def chapters_rollup(t: Tables) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT event_id, user_id, value, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) <= 2 AS forced FROM events)
-SELECT event_id, user_id, forced, row_number() OVER (PARTITION BY user_id ORDER BY forced DESC, ts, event_id) AS position FROM r""")
+SELECT event_id, user_id, forced, CAST(row_number() OVER (PARTITION BY user_id ORDER BY forced DESC, ts, event_id) AS INTEGER) AS position FROM r""")
 def forced_coverage(t: Tables) -> DataFrame:
     forced = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")) <= 2
     rows = t.events.withColumn("forced", forced)
     return rows.select("event_id", "user_id", "forced", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("forced"), "ts", "event_id")).alias("position"))
 
 
-@query("""WITH m AS (SELECT *, max(value) OVER (PARTITION BY user_id, event_type) AS best FROM events) SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY best DESC, event_type, ts, event_id) AS position FROM m""")
+@query("""WITH m AS (SELECT *, max(value) OVER (PARTITION BY user_id, event_type) AS best FROM events) SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY best DESC, event_type, ts, event_id) AS INTEGER) AS position FROM m""")
 def continuity_order(t: Tables) -> DataFrame:
     rows = t.events.withColumn("best", F.max("value").over(Window.partitionBy("user_id", "event_type")))
     return rows.select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("best"), "event_type", "ts", "event_id")).alias("position"))
