@@ -11,7 +11,8 @@ whose key words are not all in the file are passed over.
 Base labels come from fixed phrases wherever their words stand consecutively.
 
 The postings are a literal of the fixed templates, and the frequencies one number for each
-template word, so a file is scanned in its own row and nothing is shuffled but those counts.
+template word, so a file is scanned in its own row and nothing is shuffled but those counts. Words
+are cut once, into a table that keeps them for files that can have a hit or a base label.
 
 Defined results: a null text has no words; repeated rows give repeated results; a null doc_id
 stays null; further columns are ignored; an empty table gives an empty result. score is the share
@@ -63,7 +64,9 @@ class LicenseRules:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), 0)
+    """The words in lower case. Of letters beyond ASCII only the Kelvin sign has an ASCII lower form, k, so words are the
+    same in number as with A-Z lowered alone, and so are those without a k."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
 def template_words() -> list[list[str]]:
@@ -74,12 +77,22 @@ def _strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def document_frequencies(cut: DataFrame) -> tuple[int, dict[str, int]]:
-    """Rows of cut (words), and for each template word the rows that have it: as many numbers as the templates have words."""
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, present (template words), possible (templates whose key words are all there), and words where any use is made of them."""
     vocabulary = sorted({w for t in template_words() for w in t})
-    counts = cut.select(F.explode_outer(F.array_intersect("words", _strings(vocabulary))).alias("word"))
-    found = {r["word"]: r["n"] for r in counts.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return cut.count(), {w: found.get(w, 0) for w in vocabulary}
+    cut = docs.select("doc_id", words_of(shared.text_of()).alias("words")).withColumn("present", F.array_intersect(_strings(vocabulary), F.col("words")))
+    phrases = [sorted(set(re.findall(WORD, key))) for _, _, key in TEMPLATES]
+    possible = F.array(*[F.when(F.size(F.array_intersect("present", _strings(p))) == len(p), t) for t, p in enumerate(phrases)])
+    cut = cut.withColumn("possible", F.when(F.size("present") > 1, F.filter(possible, lambda t: t.isNotNull())).otherwise(F.expr("cast(array() as array<int>)")))
+    used = (F.size("possible") > 0) | F.array_contains("present", "license")
+    return cut.select("doc_id", F.size("words").cast("long").alias("n_words"), "present", "possible", F.when(used, F.col("words")).otherwise(F.expr("cast(array() as array<string>)")).alias("words"))
+
+
+def document_frequencies(cut: DataFrame) -> tuple[int, dict[str, int]]:
+    """Rows of cut, and for each template word the rows that have it: as many numbers as the templates have words."""
+    counts = cut.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    found = {r["word"]: r["n"] for r in counts.collect()}
+    return cut.count(), {w: found.get(w, 0) for t in template_words() for w in t}
 
 
 def places(words: str, anchor: str, before: list[str]) -> Column:
@@ -97,7 +110,7 @@ def _behind(at: Column, words: str, shift: int, word: str) -> Column:
 
 def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
     """doc_id, n_words, base (array of label and start), hits (array of label, start, score) of each row of docs (doc_id, text)."""
-    cut = docs.select("doc_id", words_of(shared.text_of()).alias("words"))
+    cut = shared.written(cut_texts(docs), "license-words")
     total, frequency = document_frequencies(cut)
     idf = {w: math.log((1 + total) / (1 + n)) for w, n in frequency.items()}
     templates = template_words()
@@ -105,15 +118,10 @@ def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
     for t, words in enumerate(templates):
         for q, w in enumerate(words):
             postings.setdefault(w, []).append(1000 * t + q)
-
-    order = sorted(idf, key=lambda w: (-idf[w], w))
     phrases = [re.findall(WORD, key) for _, _, key in TEMPLATES]
     none = F.expr("cast(array() as array<bigint>)")
-
-    cut = cut.withColumn("present", F.array_intersect(_strings(order), F.col("words")))  # by rarity: it keeps the order of the first
-    possible = F.array(*[F.when(F.size(F.array_intersect("present", _strings(sorted(set(p))))) == len(set(p)), t) for t, p in enumerate(phrases)])
-    cut = cut.withColumn("possible", F.when(F.size("present") > 1, F.filter(possible, lambda t: t.isNotNull())).otherwise(F.expr("cast(array() as array<int>)")))
-    cut = cut.withColumn("rare", F.slice("present", 1, rules.rare))
+    by_rarity = F.array_intersect(_strings(sorted(idf, key=lambda w: (-idf[w], w))), F.col("present"))  # keeps the order of the first
+    cut = cut.withColumn("rare", F.when(F.size("possible") > 0, F.slice(by_rarity, 1, rules.rare)))
 
     post = F.create_map(*[x for w, at in sorted(postings.items()) for x in (F.lit(w), F.array(*map(F.lit, at)))])
     span = 1 << 32
@@ -153,8 +161,8 @@ def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
     no_base = F.expr("cast(array() as array<struct<label: string, start: bigint>>)")
     return cut.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.when(F.array_contains("words", "license"), F.concat(*base)).otherwise(no_base).alias("base"),
+        "n_words",
+        F.when(F.array_contains("present", "license"), F.concat(*base)).otherwise(no_base).alias("base"),
         F.filter(F.transform("seen", judged), lambda h: h.isNotNull()).alias("hits"),
     )
 
