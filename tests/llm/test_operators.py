@@ -342,3 +342,32 @@ def test_pipeline(spark, tmp_path):
         docs = shared.written(stage(spark, docs, f"file://{tmp_path}"), f"test-{name}")
         assert set(docs.columns) == {*DOCS.replace(",", "").split()[::2], "lang"}
     assert "Zx81kq02Lm" not in " ".join(r.text for r in docs.collect())
+
+
+@pytest.mark.parametrize("bound", [256, 8])
+def test_near_dedup_equals_brute_force(spark, hostile, empty, bound):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from reelspan.llm import near_dedup
+
+    r = random.Random(21)
+    rows = []
+    for k in range(12):  # texts and copies with a few changed words
+        words = prose(150, 3000 + k).split()
+        for i in range(r.choice([1, 2, 4, 25])):
+            copy = list(words)
+            for at in r.sample(range(150), r.randint(0, 5) if i else 0):
+                copy[at] = f"w{r.randint(0, 10**6)}"
+            rows.append((100 * k + i, " ".join(copy), "s"))
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.lower().split()] for j in range(len(w) - 4)} for i, t, _ in rows}
+    label = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if x == high else x for i, x in label.items()}
+    docs = table(spark, rows)
+    got = near_dedup.one_of_each(docs, bound=bound)
+    assert got.columns == docs.columns and {x.doc_id for x in got.collect()} == set(label.values())
+    if bound == 256:
+        assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label.values())
+    kept = [x.doc_id for x in near_dedup.one_of_each(hostile, bound=bound).collect()]
+    assert kept.count(1) == 1 and 2 not in kept and {4, 5, 6} & set(kept) == {4} and near_dedup.one_of_each(empty).count() == 0
