@@ -3,7 +3,8 @@
 Base kinds are patterns (assign, access, hex). Beyond them, values in a credential context
 (a credential word, then : or =, or "is") are priced: the least decimal logarithm of guesses over all
 segmentations of the value into known words, dates, repeats, keyboard walks and brute-force spans.
-A value of at least `min_cost` that no base span covers becomes a span of kind guess.
+A value of at least `min_cost` that no base span covers whole becomes a span of kind guess, beside
+base spans of parts of it.
 
 Spans are code points, end exclusive. Base spans are whole matches. Redaction puts a mark in
 place of every span.
@@ -149,7 +150,7 @@ def find_secrets(text: str, costs: GuessCosts = GuessCosts()) -> list[tuple[str,
         a, b = m.span(1)
         value = m[1].rstrip(".,;:!?)")
         b = a + len(value)
-        if len(value) < costs.min_chars or any(x < b and a < y for x, y in covered):
+        if len(value) < costs.min_chars or any(x <= a and b <= y for x, y in covered):
             continue
         if not any(c in m[0][: a - m.start()] for c in ":=") and (value.isalpha() or value.isdigit()):
             continue  # "the secret is complicated" is prose

@@ -371,3 +371,12 @@ def test_near_dedup_equals_brute_force(spark, hostile, empty, bound):
         assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label.values())
     kept = [x.doc_id for x in near_dedup.one_of_each(hostile, bound=bound).collect()]
     assert kept.count(1) == 1 and 2 not in kept and {4, 5, 6} & set(kept) == {4} and near_dedup.one_of_each(empty).count() == 0
+
+
+@pytest.mark.parametrize("value", ["Summer$xK9#qLz!7", "Abcdef12$%^&gh!Q"])
+def test_secret_values_that_base_spans_cut(spark, value):
+    text = f'x password = "{value}" y'
+    spans = secret_scan.find_secrets(text)
+    assert [k for k, _, _ in spans] == ["assign", "guess"] and [text[a:b] for k, a, b in spans if k == "guess"] == [value]
+    assert secret_scan.redacted(table(spark, [(1, text, "s")])).first().text == 'x [secret]" y'
+    assert [k for k, _, _ in secret_scan.find_secrets("password: Zx81kq02Lm")] == ["assign"]  # covered whole
