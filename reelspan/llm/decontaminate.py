@@ -4,7 +4,8 @@ Texts are cut into tokens: numbers, and runs of letters (all of non-ASCII among
 becomes <num>, a unit word after a number <unit>, a token that starts with a capital <name>;
 any other token stands for itself. Windows of `width` canonical tokens with at least `literals`
 plain ones are hash-joined with those of the benchmark items, so a question with other numbers,
-names or units still meets its template.
+names or units still meets its template. A second, folded template (all words in lower case, no
+names) finds copies in any case.
 
 Slot consistency then tells a re-parameterised question from chance: over the windows that a
 document shares with an item, a slot value of the item must stand for one value of the
@@ -12,6 +13,8 @@ document, and the other way round. A document leaks an item if the shared window
 `coverage` of the item's windows at least, and `consistent` of the slot pairs at least agree with the
 most frequent partner of their item value.
 
+That is judged for the first match of each item window, by the typed template, else by the folded one.
+
 Defined results: null texts have no windows; an item without a window of enough plain tokens
 meets nothing; rows that agree in doc_id and text give one result, a null doc_id is a value of its
 own; items of a null item_id are left out; further columns are ignored; empty tables give empty
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -52,14 +55,14 @@ def _is_number(t: Column) -> Column:
     return t.between("0", "9~")
 
 
-def canonical(tokens_column: str) -> Column:
-    """The tokens of a column with typed placeholders."""
+def canonical(tokens_column: str, names: bool = True) -> Column:
+    """The tokens of a column with typed placeholders (without <name> if the tokens are folded)."""
 
     def one(t: Column, i: Column) -> Column:
         before = F.try_element_at(tokens_column, F.when(i > 0, i.cast("int")))  # i counts from 0, so this is the token before
         return (
             F.when(_is_number(t), "<num>")
-            .when((t < "a") | (t >= "\u0080") & t.rlike(r"^\p{Lu}"), "<name>")
+            .when(F.lit(names) & ((t < "a") | (t >= "\u0080") & t.rlike(r"^\p{Lu}")), "<name>")
             .when(_is_number(before) & t.isin(*UNITS), "<unit>")
             .otherwise(t)
         )
@@ -76,10 +79,11 @@ def windows_of(column: str, width: int) -> Column:
 
 
 def template_index(items: DataFrame, rules: DecontaminationRules) -> DataFrame:
-    """item_id, at (from 1), digest, item_values, item_window of each window with enough plain tokens."""
-    cut = items.where("item_id is not null").select("item_id", tokens(shared.text_of()).alias("values")).withColumn("template", canonical("values"))
-    rows = cut.select("item_id", "values", "template", F.posexplode(windows_of("template", rules.width)).alias("at", "digest"))
+    """folded, item_id, at (from 1), digest, item_values, item_window of each window with enough plain tokens."""
+    cut = _cut(items.where("item_id is not null").select("item_id", "text"), rules.width)
+    rows = cut.select("folded", "item_id", "values", "template", F.posexplode("digests").alias("at", "digest"))
     rows = rows.select(
+        "folded",
         "item_id",
         (F.col("at") + 1).alias("at"),
         "digest",
@@ -90,73 +94,76 @@ def template_index(items: DataFrame, rules: DecontaminationRules) -> DataFrame:
 
 
 def _cut(keyed: DataFrame, width: int) -> DataFrame:
-    """keyed with values, template and digests (of its windows) in place of text."""
-    cut = keyed.withColumn("values", tokens(shared.text_of())).drop("text").withColumn("template", canonical("values"))
-    return cut.withColumn("digests", windows_of("template", width))
-
-
-def _first(met: DataFrame, keys: list[str], *what: str) -> DataFrame:
-    """Of each document's windows that meet the same one of an item, the first."""
-    least = met.groupBy(*keys, "doc_id", "item_id", "item_at").agg(F.min(F.struct("at", *what)).alias("first"))
-    return least.select(*keys, "doc_id", "item_id", "item_at", "first.*")
+    """keyed with folded, values, template and digests (of its windows) in place of text: two rows of each."""
+    cut = keyed.withColumn("values", tokens(shared.text_of())).drop("text").withColumn("low", F.transform("values", F.lower))
+    cut = cut.withColumns({"template": canonical("values"), "low_template": canonical("low", names=False)})
+    typed = [F.struct(F.lit(f).alias("folded"), F.col(v).alias("values"), F.col(t).alias("template")) for f, v, t in ((False, "values", "template"), (True, "low", "low_template"))]
+    rest = [c for c in keyed.columns if c != "text"]
+    return cut.select(*rest, F.explode(F.array(*typed)).alias("typed")).select(*rest, "typed.*").withColumn("digests", windows_of("template", width))
 
 
 def _met(keyed: DataFrame, keys: list[str], digests: DataFrame, rules: DecontaminationRules) -> DataFrame:
-    """keys, doc_id, item_id, item_at, at, values, window of the windows that documents share with items.
+    """keys, doc_id, folded, item_id, item_at, at, values, window of the windows that documents share with items.
 
     digests is broadcast (its size is checked), so values are cut out where they meet and nothing else is shuffled.
     """
     # outer, as Spark would else filter on the size of digests, with all that digests is made of inlined into its lambda
-    each = _cut(keyed, rules.width).select(*keys, "doc_id", "values", "template", F.posexplode_outer("digests").alias("at", "digest"))
+    each = _cut(keyed, rules.width).select(*keys, "doc_id", "folded", "values", "template", F.posexplode_outer("digests").alias("at", "digest"))
     here = F.col("at") + 1
-    met = each.join(F.broadcast(digests), "digest").select(
-        *keys, "doc_id", "item_id", "item_at", here.alias("at"), F.slice("values", here, rules.width).alias("values"), F.slice("template", here, rules.width).alias("window")
-    )
-    return _first(met, keys, "values", "window")
+    met = each.join(F.broadcast(digests), ["folded", "digest"])
+    return met.select(*keys, "doc_id", "folded", "item_id", "item_at", here.alias("at"), F.slice("values", here, rules.width).alias("values"), F.slice("template", here, rules.width).alias("window")).distinct()
 
 
 def _met_by_shuffle(keyed: DataFrame, keys: list[str], digests: DataFrame, rules: DecontaminationRules) -> DataFrame:
     """The same for a benchmark of any size: digests meet by a shuffle, then the documents concerned give their values."""
-    each = _cut(keyed, rules.width).select(*keys, "doc_id", F.posexplode_outer("digests").alias("at", "digest"))
-    met = _first(each.join(digests, "digest").withColumn("at", F.col("at") + 1), keys)
-    places = shared.written(met.groupBy(*keys).agg(F.collect_list(F.struct("item_id", "item_at", "at")).alias("places")), "met-windows")
-    cut = _cut(keyed.join(places, keys), rules.width)
+    each = _cut(keyed, rules.width).select(*keys, "doc_id", "folded", F.posexplode_outer("digests").alias("at", "digest"))
+    met = each.join(digests, ["folded", "digest"]).select(*keys, "folded", "item_id", "item_at", (F.col("at") + 1).alias("at")).distinct()
+    places = shared.written(met.groupBy(*keys, "folded").agg(F.collect_list(F.struct("item_id", "item_at", "at")).alias("places")), "met-windows")
+    cut = _cut(keyed.dropDuplicates(keys), rules.width).join(places, [*keys, "folded"])
     values = F.transform("places", lambda m: F.struct(m["item_id"].alias("item_id"), m["item_at"].alias("item_at"), m["at"].alias("at"), F.slice("values", m["at"], rules.width).alias("values"), F.slice("template", m["at"], rules.width).alias("window")))
-    return cut.select(*keys, "doc_id", F.explode(values).alias("m")).select(*keys, "doc_id", "m.*")
+    return cut.select(*keys, "doc_id", "folded", F.explode(values).alias("m")).select(*keys, "doc_id", "folded", "m.*")
+
+
+def _tries(seen: DataFrame, pair: list[str]) -> DataFrame:
+    """seen (pair, item_at, at, ...) with the column try: the first match of each item window."""
+    first = F.col("at") == F.min("at").over(Window.partitionBy(*pair, "item_at"))
+    return seen.withColumn("first", first).where("first").drop("first").withColumn("try", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n")))
 
 
 def leaks(docs: DataFrame, items: DataFrame, rules: DecontaminationRules = DecontaminationRules()) -> DataFrame:
     """row_digest, row_doc, doc_id, item_id, n_windows, coverage, n_slots, consistency of each leak of items (item_id, text) in docs (doc_id, text)."""
     index = shared.written(template_index(items, rules), "templates")
-    digests = index.select("digest", "item_id", F.col("at").alias("item_at"))
+    digests = index.select("folded", "digest", "item_id", F.col("at").alias("item_at"))
     keyed, keys = shared.with_keys(docs.select("doc_id", "text"))
     met = _met(keyed, keys, digests, rules) if index.count() <= rules.broadcast_windows else _met_by_shuffle(keyed, keys, digests, rules)
-    seen = met.drop("at").withColumnRenamed("item_at", "at").join(index, ["item_id", "at"]).where(F.col("window") == F.col("item_window"))
-    seen = shared.written(seen.select(*keys, "doc_id", "item_id", "at", "values", "item_values", "window"), "seen-windows")
+    seen = met.join(index.drop("digest").withColumnRenamed("at", "item_at").distinct(), ["folded", "item_id", "item_at"]).where(F.col("window") == F.col("item_window"))
+    seen = seen.select(*keys, "doc_id", "folded", "item_id", "item_at", "at", "values", "item_values", "window")
+    seen = shared.written(_tries(seen, [*keys, "doc_id", "item_id", "folded"]), "seen-windows")
 
     pair = [*keys, "doc_id", "item_id"]
-    sizes = index.groupBy("item_id").agg(F.count_distinct("at").alias("size"))
-    covered = seen.groupBy(*pair).agg(F.count_distinct("at").alias("n_windows")).join(sizes, "item_id")
+    tried = [*pair, "folded", "try"]
+    sizes = index.groupBy("item_id", "folded").agg(F.count_distinct("at").alias("size"))
+    covered = seen.groupBy(*tried).agg(F.count_distinct("item_at").alias("n_windows")).join(sizes, ["item_id", "folded"])
     slots = (
-        seen.select(*pair, "at", F.posexplode(F.arrays_zip("window", "values", "item_values")).alias("i", "z"))
+        seen.select(*tried, "item_at", F.posexplode(F.arrays_zip("window", "values", "item_values")).alias("i", "z"))
         .where(F.col("z.window").startswith("<"))
-        .select(*pair, (F.col("at") + F.col("i")).alias("slot"), F.col("z.values").alias("ours"), F.col("z.item_values").alias("theirs"))
+        .select(*tried, (F.col("item_at") + F.col("i")).alias("slot"), F.col("z.values").alias("ours"), F.col("z.item_values").alias("theirs"))
         .distinct()
-        .groupBy(*pair, "ours", "theirs")
+        .groupBy(*tried, "ours", "theirs")
         .agg(F.count("*").alias("n"))
     )
 
     def agreeing(by: str) -> DataFrame:
-        return slots.groupBy(*pair, by).agg(F.max("n").alias("most"), F.sum("n").alias("n")).groupBy(*pair).agg(F.sum("most").alias(f"by_{by}"), F.sum("n").alias(f"n_{by}"))
+        return slots.groupBy(*tried, by).agg(F.max("n").alias("most"), F.sum("n").alias("n")).groupBy(*tried).agg(F.sum("most").alias(f"by_{by}"), F.sum("n").alias(f"n_{by}"))
 
-    safe = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in pair]
+    safe = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in tried]
     both = agreeing("theirs").alias("a").join(agreeing("ours").alias("b"), safe).select("a.*", F.least("by_theirs", "by_ours").alias("agree"))
-    safe = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in pair]
-    return (
+    safe = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in tried]
+    judged = (
         covered.alias("c")
         .join(both.alias("s"), safe, "left")
         .select(
-            *[F.col(f"c.{c}").alias(c) for c in pair],
+            *[F.col(f"c.{c}").alias(c) for c in tried],
             "n_windows",
             (F.col("n_windows") / F.col("size")).alias("coverage"),
             F.coalesce("n_theirs", F.lit(0)).cast("long").alias("n_slots"),
@@ -164,6 +171,9 @@ def leaks(docs: DataFrame, items: DataFrame, rules: DecontaminationRules = Decon
         )
         .where((F.col("coverage") >= rules.coverage) & (F.col("consistency") >= rules.consistent))
     )
+    rank = F.struct(~F.col("folded") & (F.col("try.kind") == 0), "coverage", "consistency", "n_windows", "n_slots")
+    best = judged.groupBy(*pair).agg(F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistency"), rank).alias("best"))
+    return best.select(*pair, "best.*")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, rules: DecontaminationRules = DecontaminationRules()) -> DataFrame:

@@ -380,3 +380,13 @@ def test_secret_values_that_base_spans_cut(spark, value):
     assert [k for k, _, _ in spans] == ["assign", "guess"] and [text[a:b] for k, a, b in spans if k == "guess"] == [value]
     assert secret_scan.redacted(table(spark, [(1, text, "s")])).first().text == 'x [secret]" y'
     assert [k for k, _, _ in secret_scan.find_secrets("password: Zx81kq02Lm")] == ["assign"]  # covered whole
+
+
+def test_decontamination_in_any_case(spark):
+    item = "Anna buys 12 apples for 3 dollars and gives 4 of them to her brother while Anna keeps all the others in a basket"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.upper(), "s"), (2, prose(40, 1) + " " + item.lower(), "s"), (3, item.title(), "s"), (4, prose(60, 2).upper(), "s")]
+    for bound in (500_000, 0):
+        got = decontaminate.leaks(table(spark, rows), items, decontaminate.DecontaminationRules(broadcast_windows=bound)).collect()
+        assert sorted(r.doc_id for r in got) == [1, 2, 3]
+    assert [r.doc_id for r in decontaminate.without_leaks(table(spark, rows), items).collect()] == [4]
