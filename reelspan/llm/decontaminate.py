@@ -13,7 +13,9 @@ document, and the other way round. A document leaks an item if the shared window
 `coverage` of the item's windows at least, and `consistent` of the slot pairs at least agree with the
 most frequent partner of their item value.
 
-That is judged for the first match of each item window, by the typed template, else by the folded one.
+That is judged for the first match of each item window, and also for each run of matches in the item's
+order and for each alignment (place in the document less place in the item), so what stands elsewhere in
+the document does not hide a leak. The first matches are reported if they are a leak, else the best other.
 
 Defined results: null texts have no windows; an item without a window of enough plain tokens
 meets nothing; rows that agree in doc_id and text give one result, a null doc_id is a value of its
@@ -125,9 +127,16 @@ def _met_by_shuffle(keyed: DataFrame, keys: list[str], digests: DataFrame, rules
 
 
 def _tries(seen: DataFrame, pair: list[str]) -> DataFrame:
-    """seen (pair, item_at, at, ...) with the column try: the first match of each item window."""
-    first = F.col("at") == F.min("at").over(Window.partitionBy(*pair, "item_at"))
-    return seen.withColumn("first", first).where("first").drop("first").withColumn("try", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n")))
+    """seen (pair, item_at, at, ...) with the column try: each match once as a first one (0), in its run (1) and alignment (2), where those are others."""
+    of_pair = Window.partitionBy(*pair)
+    order = of_pair.orderBy("at", "item_at")
+    back = F.coalesce(F.lag("item_at").over(order) >= F.col("item_at"), F.lit(False))
+    seen = seen.withColumns({"back": back.cast("long"), "shift": F.col("at").cast("long") - F.col("item_at")})
+    seen = seen.withColumn("run", F.sum("back").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumns({"runs": F.max("run").over(of_pair), "least": F.min("shift").over(of_pair), "most": F.max("shift").over(of_pair), "first_at": F.min("at").over(Window.partitionBy(*pair, "item_at"))})
+    tries = [(0, F.lit(0).cast("long"), F.col("at") == F.col("first_at")), (1, F.col("run"), F.col("runs") > 0), (2, F.col("shift"), F.col("least") < F.col("most"))]
+    each = F.filter(F.array(*[F.when(where, F.struct(F.lit(k).alias("kind"), n.alias("n"))) for k, n, where in tries]), lambda x: x.isNotNull())
+    return seen.withColumn("try", F.explode(each)).drop("back", "shift", "run", "runs", "least", "most", "first_at")
 
 
 def leaks(docs: DataFrame, items: DataFrame, rules: DecontaminationRules = DecontaminationRules()) -> DataFrame:

@@ -390,3 +390,14 @@ def test_decontamination_in_any_case(spark):
         got = decontaminate.leaks(table(spark, rows), items, decontaminate.DecontaminationRules(broadcast_windows=bound)).collect()
         assert sorted(r.doc_id for r in got) == [1, 2, 3]
     assert [r.doc_id for r in decontaminate.without_leaks(table(spark, rows), items).collect()] == [4]
+
+
+def test_decontamination_behind_a_fragment(spark):
+    item = "the farmer sold 15 baskets of ripe pears at the market and kept the rest for the winter"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    fragment = "the farmer sold 22 baskets of ripe pears yesterday"
+    rows = [(1, f"{fragment}. {prose(30, 5)} {item}", "s"), (2, f"{fragment}. {item.replace('market', 'big old market')}", "s"), (3, fragment, "s")]
+    for bound in (500_000, 0):
+        got = {r.doc_id: r for r in decontaminate.leaks(table(spark, rows), items, decontaminate.DecontaminationRules(broadcast_windows=bound)).collect()}
+        assert 1 in got and 3 not in got and (got[1].coverage, got[1].consistency) == (1.0, 1.0)
+    assert 1 not in {r.doc_id for r in decontaminate.without_leaks(table(spark, rows), items).collect()}
