@@ -3,7 +3,8 @@
 Words are runs of digits, letters and non-ASCII characters of the ASCII-lower-cased text. The
 document frequency of every template word is counted over the whole table. Of each file's
 template words, the `rare` ones of highest inverse document frequency are looked up in the
-positional postings of the templates; each occurrence at word p of a template's word at q votes
+positional postings of the templates, and so are the `votes` rarest key words of every template that can
+be there, so that many licences in one file do not crowd out each other; each occurrence at word p of a template's word at q votes
 for the alignment p - q. An alignment where `votes` different rare words meet (all of them, for
 templates of fewer) is a hit if the template's key phrase stands there word for word; postings of templates
 whose key words are not all in the file are passed over.
@@ -121,7 +122,9 @@ def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
     phrases = [re.findall(WORD, key) for _, _, key in TEMPLATES]
     none = F.expr("cast(array() as array<bigint>)")
     by_rarity = F.array_intersect(_strings(sorted(idf, key=lambda w: (-idf[w], w))), F.col("present"))  # keeps the order of the first
-    cut = cut.withColumn("rare", F.when(F.size("possible") > 0, F.slice(by_rarity, 1, rules.rare)))
+    anchors = F.array(*[_strings(sorted(set(p), key=lambda w: (-idf[w], w))[: rules.votes]) for p in phrases])
+    own = F.flatten(F.transform("possible", lambda t: F.element_at(anchors, t + 1)))
+    cut = cut.withColumn("rare", F.when(F.size("possible") > 0, F.array_union(F.slice(by_rarity, 1, rules.rare), own)))
 
     post = F.create_map(*[x for w, at in sorted(postings.items()) for x in (F.lit(w), F.array(*map(F.lit, at)))])
     span = 1 << 32

@@ -401,3 +401,13 @@ def test_decontamination_behind_a_fragment(spark):
         got = {r.doc_id: r for r in decontaminate.leaks(table(spark, rows), items, decontaminate.DecontaminationRules(broadcast_windows=bound)).collect()}
         assert 1 in got and 3 not in got and (got[1].coverage, got[1].consistency) == (1.0, 1.0)
     assert 1 not in {r.doc_id for r in decontaminate.without_leaks(table(spark, rows), items).collect()}
+
+
+def test_license_scan_of_many_licences_in_one_file(spark):
+    common = ["Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "All rights reserved."]
+    notices = "\n".join(["-".join(text.split()) + " end." for _, text, _ in license_scan.TEMPLATES])
+    rows = [(i, common[i % 3], "s") for i in range(60)] + [(100, notices, "s")]
+    rows.append((101, " ".join(license_scan.TEMPLATES[t][1] + "." for t in (1, 8, 2, 13, 15)), "s"))
+    got = {r.doc_id: r.labels for r in license_scan.digests(license_scan.scan(table(spark, rows))).collect()}
+    assert {*got[100].split(",")} >= {label for label, _, _ in license_scan.TEMPLATES}
+    assert {*got[101].split(",")} >= {"mit", "bsd", "apache-2.0", "cc-by-nc-4.0", "all-rights-reserved"}
