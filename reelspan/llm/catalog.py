@@ -45,17 +45,10 @@ WITH d AS (
 ), dig AS (
   SELECT doc_id, source, sum(words) AS words, md5_number_lower(regexp_replace(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g')) AS line
   FROM worded GROUP BY ALL
-), ext AS (
-  SELECT *, CASE WHEN min(line) OVER w = line THEN min(line) FILTER (WHERE rk <> 1) OVER w ELSE min(line) OVER w END AS low,
-    CASE WHEN max(line) OVER w = line THEN max(line) FILTER (WHERE rkd <> 1) OVER w ELSE max(line) OVER w END AS high
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rk, row_number() OVER (PARTITION BY doc_id ORDER BY line DESC) AS rkd FROM dig)
-  WINDOW w AS (PARTITION BY doc_id)
 ), content AS (
   SELECT source, text, min(doc_id) AS doc_id FROM d GROUP BY ALL
-), seen AS (
-  SELECT source, line, low, high, count(*) AS n FROM ext SEMI JOIN content USING (doc_id) GROUP BY ALL
 ), frequent AS (
-  SELECT source, line FROM seen GROUP BY ALL HAVING count(*) > 10 AND count(*) >= 0.5 * sum(n)
+  SELECT source, line FROM dig SEMI JOIN content USING (doc_id) GROUP BY ALL HAVING count(*) > 10
 ), gone AS (
   SELECT doc_id, sum(words) AS removed_words FROM dig JOIN frequent USING (source, line) GROUP BY doc_id
 ), base AS (
@@ -97,10 +90,14 @@ base AS (
   UNION ALL SELECT doc_id, 'gpl', i FROM near WHERE x = 'general' AND x1 = 'public' AND x2 = 'license'
 ), present AS (SELECT DISTINCT doc_id, x FROM one WHERE x IN (SELECT word FROM t)),
 freq AS (SELECT x, count(*) AS n FROM present GROUP BY x),
-rare AS (SELECT doc_id, x FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY n, x) AS k FROM present JOIN freq USING (x)) WHERE k <= 16),
 needs AS (SELECT t, count(DISTINCT word) AS n FROM t WHERE keyed GROUP BY t),
 possible AS (SELECT doc_id, c.t FROM (SELECT doc_id, t, count(DISTINCT word) AS k FROM present JOIN t ON x = word AND keyed GROUP BY doc_id, t) c JOIN needs ON needs.t = c.t AND k = n),
-spot AS (SELECT DISTINCT one.doc_id, t.t, i - q AS start FROM one JOIN rare USING (doc_id, x) JOIN t ON x = word JOIN possible ON possible.doc_id = one.doc_id AND possible.t = t.t),
+anchor AS (SELECT t, word FROM (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) AS k FROM (SELECT DISTINCT t, word FROM t WHERE keyed) LEFT JOIN freq ON x = word) WHERE k <= 2),
+rare AS (
+  SELECT doc_id, x FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY n, x) AS k FROM present JOIN freq USING (x)) WHERE k <= 16
+  UNION SELECT doc_id, word FROM possible JOIN anchor USING (t)
+),
+spot AS (SELECT DISTINCT one.doc_id, t.t, i - q AS start FROM one JOIN rare USING (doc_id, x) JOIN t ON x = word AND keyed JOIN possible ON possible.doc_id = one.doc_id AND possible.t = t.t),
 judged AS (
   SELECT spot.doc_id, spot.t, start, count(one.x) / count(*) AS score, bool_and(one.x IS NOT NULL OR NOT keyed) AS phrase, count(DISTINCT rare.x) AS votes
   FROM spot JOIN t ON t.t = spot.t LEFT JOIN one ON one.doc_id = spot.doc_id AND one.i = start + q AND one.x = word LEFT JOIN rare ON rare.doc_id = spot.doc_id AND rare.x = one.x GROUP BY ALL
@@ -115,7 +112,7 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents")))
+    return secret_scan.digests(secret_scan.scan(_table(spark, sf_dir, "documents"), words=public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

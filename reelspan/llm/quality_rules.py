@@ -5,16 +5,18 @@ ASCII lower case, digit runs as one 0). Per host, the distinct documents of each
 of more than `max_documents` are boilerplate and removed. A document is rejected if the base rules
 fail, or if it is depleted: more than `max_removed` of its words stood on removed lines.
 
-Copies are no boilerplate. A line counts once for each distinct surrounding, the least and the
-greatest digest among the other lines of its document: exact copies are one document, and where
-near copies make up most of a line's documents (fewer than `min_varied` of them differ in their
-surroundings) the line stays.
+Exact copies are one document, whatever their number. Near copies are different documents: lines that more
+than `max_documents` of them share go like any other boilerplate, as nothing tells a page of thirty
+shared lines and one of its own from a copy with one line changed.
 
 Base: words are runs of other than ASCII white space; base_failed if n_words < 50 or more than
 half of the words stand in 3-word windows that occur twice or more in the text.
 
-Defined results: a null text has no words (and fails); a null host is a host of its own; repeated
-rows give repeated results; further columns are ignored; an empty table gives an empty result.
+Defined results: a null text has no words (and fails); a null host is a host of its own; a line counts
+once a document, however often it stands there; a line of exactly `max_documents` documents stays, and so
+does a document of exactly `max_removed`; repeated rows give repeated results; a null doc_id stays null;
+further columns are ignored, whatever their names; an empty table gives an empty result. Texts are taken
+whole: a very long one is one row and takes memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from hashlib import md5
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +36,7 @@ from . import shared
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
-_LINES = "array<struct<line: long, low: long, high: long, words: int, rows: array<int>>>"
+_LINES = "array<struct<line: long, words: int, rows: array<int>>>"
 
 
 @dataclass(frozen=True)
@@ -40,7 +44,6 @@ class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_documents: int = 10
-    min_varied: float = 0.5
     max_removed: float = 0.5
 
 
@@ -75,26 +78,30 @@ def line_digest(line: bytes) -> int:
     return int.from_bytes(md5(_DIGITS.sub(b"0", b" ".join(line.split()).lower()), usedforsecurity=False).digest()[:8], "little")
 
 
-def _signed(x: int | None) -> int | None:
-    return x - (1 << 64) if x is not None and x >> 63 else x
-
-
-def line_table(text: bytes) -> list[dict]:
-    """The distinct lines with a word: digest, least and greatest digest of the others, words, and row numbers."""
-    found: dict[int, list] = {}
+def line_table(text: bytes) -> list[tuple[int, int, list[int]]]:
+    """The distinct lines with a word: digest, words, and row numbers."""
+    found: dict[int, tuple[int, list[int]]] = {}
     for row, line in enumerate(text.split(b"\n")):
         n = len(line.split())
         if n:
-            entry = found.setdefault(line_digest(line), [0, []])
-            entry[0] += n
-            entry[1].append(row)
-    order = sorted(found)
-    out = []
-    for d, (n, rows) in found.items():
-        low = next((x for x in order if x != d), None)
-        high = next((x for x in reversed(order) if x != d), None)
-        out.append({"line": _signed(d), "low": _signed(low), "high": _signed(high), "words": n, "rows": rows})
-    return out
+            digest = line_digest(line)
+            words, rows = found.get(digest, (0, []))
+            rows.append(row)
+            found[digest] = (words + n, rows)
+    return [(digest, words, rows) for digest, (words, rows) in found.items()]
+
+
+def _nested(tables: list[list[tuple[int, int, list[int]]]]) -> pa.Array:
+    """line_table() of several texts as one Arrow column, without a Python object for each struct."""
+    flat = [entry for table in tables for entry in table]
+    rows = pa.ListArray.from_arrays(_offsets([e[2] for e in flat]), pa.array([r for e in flat for r in e[2]], pa.int32()))
+    digests = np.fromiter((e[0] for e in flat), np.uint64, len(flat)).view(np.int64)
+    struct = pa.StructArray.from_arrays([pa.array(digests), pa.array([e[1] for e in flat], pa.int32()), rows], names=["line", "words", "rows"])
+    return pa.ListArray.from_arrays(_offsets(tables), struct)
+
+
+def _offsets(lists: list[list]) -> pa.Array:
+    return pa.array([0, *accumulate(map(len, lists))], pa.int32())
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def measured(docs: DataFrame) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = shared.byte_texts(batch.column("text"))
         counts = zip(*map(base_counts, texts), strict=True)
-        lines = pa.array([line_table(t) for t in texts], pa.list_(pa.struct([("line", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("words", pa.int32()), ("rows", pa.list_(pa.int32()))])))
+        lines = _nested([line_table(t) for t in texts])
         return pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("doc_id", "host", "digest", "doc")), *(pa.array(c, pa.int64()) for c in counts), lines],
             names=["doc_id", "host", "digest", "doc", *names, "lines"],
@@ -116,10 +123,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, rules: QualityRules) -> DataFrame:
-    """(host_key, line) of the boilerplate lines of lines (host_key, line, low, high), one row for each document."""
-    seen = lines.groupBy("host_key", "line", "low", "high").agg(F.count("*").alias("n"))
-    per_line = seen.groupBy("host_key", "line").agg(F.sum("n").alias("documents"), F.count("*").alias("varied"))
-    return per_line.where((F.col("varied") > rules.max_documents) & (F.col("varied") >= rules.min_varied * F.col("documents"))).select("host_key", "line")
+    """(host_key, line) of the boilerplate lines of lines (host_key, line), one row for each line of a distinct document."""
+    return lines.groupBy("host_key", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > rules.max_documents).select("host_key", "line")
 
 
 def verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -128,7 +133,7 @@ def verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame
     host_key = F.xxhash64("host", F.col("host").isNull())
     lines = base.select("digest", "doc", host_key.alias("host_key"), F.explode("lines").alias("l")).select("digest", "doc", "host_key", "l.*")
     contents = base.select("digest", host_key.alias("host_key"), "lines").dropDuplicates(["digest"])  # exact copies in a host are one document
-    each = contents.select("host_key", F.explode("lines").alias("l")).select("host_key", "l.line", "l.low", "l.high")
+    each = contents.select("host_key", F.explode("lines").alias("l")).select("host_key", "l.line")
     frequent = shared.written(frequent_lines(each, rules), "frequent-lines")
     removed = (
         lines.join(frequent, ["host_key", "line"])
