@@ -16,8 +16,10 @@ template word, so a file is scanned in its own row and nothing is shuffled but t
 are cut once, into a table that keeps them for files that can have a hit or a base label.
 
 Defined results: a null text has no words; repeated rows give repeated results; a null doc_id
-stays null; further columns are ignored; an empty table gives an empty result. score is the share
-of a template's words that stand at the best hit, or 0.5 for base phrases alone, or 0.
+stays null; further columns are ignored, whatever their names; an empty table gives an empty result. score is the share
+of a template's words that stand at the best hit, or 0.5 for base phrases alone, or 0. Words of equal frequency are taken
+in the order of the alphabet. Texts are taken whole: a very long one is one row, and only one that has all words of some
+key phrase is looked at closely.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .license_texts import TEMPLATES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,26 +41,6 @@ JAVA_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"  # the same of text in lower case; Ja
 # Phrases of the base labels.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-# Label, sentence of the licence or of its usual notice, key phrase within.
-TEMPLATES = (
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4"),
-    ("cc0-1.0", "released under cc0 1 0 universal", "cc0 1 0"),
-    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
-)
-
 
 @dataclass(frozen=True)
 class LicenseRules:
@@ -116,11 +99,13 @@ def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
     total, frequency = document_frequencies(cut)
     idf = {w: math.log((1 + total) / (1 + n)) for w, n in frequency.items()}
     templates = template_words()
-    postings: dict[str, list[int]] = {}  # template * 1000 + position
-    for t, words in enumerate(templates):
-        for q, w in enumerate(words):
-            postings.setdefault(w, []).append(1000 * t + q)
     phrases = [re.findall(WORD, key) for _, _, key in TEMPLATES]
+    # template * 1000 + position, of the key phrases: a hit holds its phrase whole, so the words there give every alignment that can be one
+    postings: dict[str, list[int]] = {}
+    for t, (words, phrase) in enumerate(zip(templates, phrases, strict=True)):
+        first = _find(words, phrase)
+        for q in range(first, first + len(phrase)):
+            postings.setdefault(words[q], []).append(1000 * t + q)
     none = F.expr("cast(array() as array<bigint>)")
     by_rarity = F.array_intersect(_strings(sorted(idf, key=lambda w: (-idf[w], w))), F.col("present"))  # keeps the order of the first
     anchors = F.array(*[_strings(sorted(set(p), key=lambda w: (-idf[w], w))[: rules.votes]) for p in phrases])
@@ -128,11 +113,12 @@ def scan(docs: DataFrame, rules: LicenseRules = LicenseRules()) -> DataFrame:
     cut = cut.withColumn("rare", F.when(F.size("possible") > 0, F.array_union(F.slice(by_rarity, 1, rules.rare), own)))
 
     post = F.create_map(*[x for w, at in sorted(postings.items()) for x in (F.lit(w), F.array(*map(F.lit, at)))])
+    no_postings = F.expr("cast(array() as array<int>)")
     span = 1 << 32
 
     def aligned(word: Column, i: Column) -> Column:
         """template * 2^32 + alignment (shifted to stay positive) of each posting of a rare word in a template whose key phrase can be there."""
-        open_postings = F.filter(F.element_at(post, word), lambda p: F.array_contains("possible", F.floor(p / 1000).cast("int")))
+        open_postings = F.filter(F.coalesce(F.try_element_at(post, word), no_postings), lambda p: F.array_contains("possible", F.floor(p / 1000).cast("int")))
         return F.when(F.array_contains("rare", word), F.transform(open_postings, lambda p: F.floor(p / 1000) * span + (i - p % 1000 + 1000).cast("long")))
 
     seen = F.array_distinct(F.flatten(F.filter(F.transform("words", aligned), lambda x: x.isNotNull())))
