@@ -11,13 +11,17 @@ place of every span.
 
 Defined results: a null text is empty and has no spans; repeated rows give repeated results; a
 null doc_id stays null; further columns are kept by redacted() and ignored by scan(); an empty
-table gives an empty result. Texts and values are taken whole, however long.
+table gives an empty result. Texts and values are taken whole, however long, in time about linear in
+their length. Of segmentations of the same price any may be meant: only the price is used. A value of exactly
+`min_cost` is a secret; a base span that only touches a value leaves it to be priced.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from math import log10
 
 import pyarrow as pa
@@ -60,7 +64,7 @@ class GuessCosts:
     segment: float = 0.3  # of each segment: where it ends
     date: float = 4.6  # about 110 years of days
     year: float = 2.1
-    longest_word: int = 12
+    longest_word: int = 14
 
 
 def _classes(text: str) -> int:
@@ -87,78 +91,116 @@ def _neighbours() -> dict[str, set[str]]:
 
 
 NEIGHBOURS = _neighbours()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 YEAR = re.compile(r"(?:19|20)\d\d")
 
 
-def guess_cost(value: str, costs: GuessCosts = GuessCosts()) -> float:
-    """The least decimal logarithm of guesses over all segmentations of a value.
-
-    cost[j] is the least for the first j characters; a brute-force span grows by one character a step,
-    so each end looks back at words of bounded length, runs that end there, and its predecessor only.
+@lru_cache(maxsize=4)
+def ranked_words(path: str | None = None) -> dict[str, int]:
+    """The rank of each known word: passwords first, then, with a path, the whole words of a byte-level BPE vocabulary
+    (a tokenizer file) in its order, which is about that of their frequency."""
+    ranks = {w: i + 1 for i, w in enumerate(WORDS)}
+    if path:
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        for token in sorted(vocabulary, key=vocabulary.get):
+            word = token[1:].lower()
+            if token[0] == "\u0120" and len(word) >= 4 and word.isascii() and word.isalpha():  # the sign is a blank
+                ranks.setdefault(word, len(ranks) + 1)
+    return ranks
+
+
+def word_cost(value: str, i: int, j: int, low: str, plain: str, ranks: dict[str, int]) -> float | None:
+    """The price of value[i:j] as a known word, perhaps in another case or with digits and signs for letters."""
+    rank, extra = ranks.get(low[i:j]), 0.0
+    if rank is None:
+        rank, extra = ranks.get(plain[i:j]), 1.0
+    if rank is None:
+        return None
+    return log10(rank + 1) + extra + (0.0 if value[i:j] == low[i:j] else 0.5)
+
+
+def guess_cost(value: str, costs: GuessCosts = GuessCosts(), ranks: dict[str, int] | None = None) -> float:
+    """The least decimal logarithm of guesses over all segmentations of a value into words, dates, repeats, walks and brute-force spans.
+
+    cost[j] is the least for the first j characters. A brute-force span grows by one character a step, and so does a
+    keyboard walk: its best start is a running minimum, as its price is linear in its length. A repeat's
+    price grows with the logarithm of its length: a start that once is no better than an earlier one never is
+    again, so only the starts that still may win are kept.
     """
     n = len(value)
     if not n:
         return 0.0
-    low = value.lower()
+    ranks = RANK if ranks is None else ranks
+    low = value.lower() if value.isascii() else "".join(c.lower() if c < "\x80" else c for c in value)
     plain = low.translate(LEET)
     each = log10(_classes(value))
     infinite = float("inf")
-    cost, brute = [0.0] + [infinite] * n, [infinite] * (n + 1)
+    cost, brute = [0.0] + [infinite] * n, infinite
     ends: dict[int, list[tuple[int, float]]] = {}
     for pattern, price in ((DATE, costs.date), (YEAR, costs.year)):
         for i in range(n - 3):
             if value[i].isdigit() and (m := pattern.match(value, i)):
                 ends.setdefault(m.end(), []).append((i, price))
-    walk = repeat = 0  # where the walk and the repeat that hold the last character begin
+    walk, walked = 0, infinite  # where the walk that holds the last character begins, and the least of cost[i] - 0.5 i over its starts
+    repeat, repeats = 0, []  # the same of the repeat, and its starts that may win: (start, cost[start] and the price of a character)
     for j in range(1, n + 1):
         c = low[j - 1]
         if j > 1:
             if c not in NEIGHBOURS.get(low[j - 2], ()):
-                walk = j - 1
+                walk, walked = j - 1, infinite
             if c != low[j - 2]:
-                repeat = j - 1
-        brute[j] = min(brute[j - 1], cost[j - 1] + costs.segment) + each
-        best = brute[j]
+                repeat, repeats = j - 1, []
+        brute = min(brute, cost[j - 1] + costs.segment) + each
+        best = brute
         for i in range(max(0, j - costs.longest_word), j - 2):
-            piece = low[i:j]
-            rank = RANK.get(piece)
-            extra = 0.0
-            if rank is None:
-                rank, extra = RANK.get(plain[i:j]), 1.0
-            if rank is not None:
-                shift = 0.0 if value[i:j] == piece else 0.5
-                best = min(best, cost[i] + log10(rank + 1) + extra + shift + costs.segment)
+            if (price := word_cost(value, i, j, low, plain, ranks)) is not None:
+                best = min(best, cost[i] + price + costs.segment)
         for i, price in ends.get(j, ()):
             best = min(best, cost[i] + price + costs.segment)
-        if j - repeat >= 3:
-            best = min(best, cost[repeat] + log10(_classes(value[repeat])) + log10(j - repeat) + costs.segment)
-        if j - walk >= 4:  # a start key, a length and turns
-            best = min(best, cost[walk] + log10(47) + 0.5 * (j - walk) + costs.segment)
+        if (i := j - 3) >= repeat:
+            repeats.append((i, cost[i] + log10(_classes(value[i]))))
+            now, alive = infinite, []
+            for start, price in repeats:
+                total = price + log10(j - start)
+                if total < now:
+                    now = total
+                    alive.append((start, price))
+            repeats = alive
+            best = min(best, now + costs.segment)
+        if (i := j - 4) >= walk:  # a start key, a length and turns
+            walked = min(walked, cost[i] - 0.5 * i)
+            best = min(best, walked + log10(47) + 0.5 * j + costs.segment)
         cost[j] = best
     return cost[n]
 
 
-def find_secrets(text: str, costs: GuessCosts = GuessCosts()) -> list[tuple[str, int, int]]:
+def find_secrets(text: str, costs: GuessCosts = GuessCosts(), ranks: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    covered = sorted((a, b) for _, a, b in found)
+    base = sorted((a, b) for _, a, b in found)
+    k, reach = 0, 0  # base spans that begin up to a value, and how far they reach
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         value = m[1].rstrip(".,;:!?)")
         b = a + len(value)
-        if len(value) < costs.min_chars or any(x <= a and b <= y for x, y in covered):
+        while k < len(base) and base[k][0] <= a:
+            reach = max(reach, base[k][1])
+            k += 1
+        if len(value) < costs.min_chars or b <= reach:
             continue
         if not any(c in m[0][: a - m.start()] for c in ":=") and (value.isalpha() or value.isdigit()):
             continue  # "the secret is complicated" is prose
-        if guess_cost(value, costs) >= costs.min_cost:
+        if guess_cost(value, costs, ranks) >= costs.min_cost:
             found.append(("guess", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+RANK = ranked_words()
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -174,12 +216,12 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[secret]")
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, costs: GuessCosts = GuessCosts()) -> DataFrame:
-    """doc_id and spans (array of kind, start, end) of each row of docs (doc_id, text)."""
+def scan(docs: DataFrame, costs: GuessCosts = GuessCosts(), words: str | None = None) -> DataFrame:
+    """doc_id and spans (array of kind, start, end) of each row of docs (doc_id, text). words: the file of ranked_words()."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t, costs)] if t else [] for t in batch.column("text").to_pylist()]
+        rows = [[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t, costs, ranked_words(words))] if t else [] for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     return shared.arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
@@ -200,12 +242,12 @@ def digests(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *counts[:3], F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"), counts[3])
 
 
-def redacted(docs: DataFrame, costs: GuessCosts = GuessCosts()) -> DataFrame:
+def redacted(docs: DataFrame, costs: GuessCosts = GuessCosts(), words: str | None = None) -> DataFrame:
     """docs with every secret in its text replaced by a mark, and n_chars, if there, set anew where that changed the text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        new = [redact(t, s) if t and (s := find_secrets(t, costs)) else t for t in texts]
+        new = [redact(t, s) if t and (s := find_secrets(t, costs, ranked_words(words))) else t for t in texts]
         columns = {c: batch.column(c) for c in batch.schema.names} | {"text": pa.array(new, pa.string())}
         if "n_chars" in columns:
             chars = [n if a == b else len(b) for n, a, b in zip(columns["n_chars"].to_pylist(), texts, new, strict=True)]
