@@ -4,15 +4,17 @@ Every line of a text is good or bad. A line's features are its own and those of
 and after it; transition weights tie neighbours together. Forward-backward gives each line's
 marginal probability of being good; their mean, weighted by length, is the document's score.
 
-The field is fitted on the driver to a sample of at most `fit_documents` labelled documents (those of
-least digest of their doc_id, and of `fit_lines` lines at most), of which only line features travel;
-a document's label is that of each of its lines. Rows whose crc32(doc_id) mod `folds` is 0 are held out and never read
+The field is fitted on the driver to a sample of labelled documents, taken whole in the order of a digest of
+their doc_id: at most `fit_documents` of them, and no more once they have `fit_lines` lines together (the first
+is always taken). Only line features travel, as single-precision bytes; a document's label is that of each of its
+lines. Which documents come first has nothing to do with their size. Rows whose crc32(doc_id) mod `folds` is 0 are held out and never read
 for fitting. Scores use the text only.
 
 Defined results: a null or wordless text scores 0; without any usable label every other text scores
 the prior 0.5; labels other than 0 and 1 are ignored, and of several labels of a doc_id the least
-counts; repeated rows give repeated results; a null doc_id is not held out; further columns are
-ignored; an empty table gives an empty result.
+counts; repeated rows give repeated results; a null doc_id is not held out; a score of exactly `threshold` is
+predicted 1; further columns are ignored, whatever their names; an empty table gives an empty result. Texts are
+scored whole: a very long one takes memory in proportion to its lines.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ N_FEATURES = 10
 @dataclass(frozen=True)
 class FieldConfig:
     fit_documents: int = 2_500
-    fit_lines: int = 2_000  # longer texts are not fitted to (they are scored like any other)
+    fit_lines: int = 200_000  # of the whole sample; bounds the driver to some 150 MB
     folds: int = 5
     threshold: float = 0.3
     steps: int = 120
@@ -77,8 +79,8 @@ def line_features(line: bytes, words: list[bytes], seen: bool) -> tuple[float, .
     )
 
 
-def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each line with a word (own, before, after), and the lines' lengths."""
+def own_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each line with a word, and the lines' lengths."""
     rows, sizes, seen = [], [], set()
     for line in text.split(b"\n"):
         words = line.split()
@@ -86,9 +88,13 @@ def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             rows.append(line_features(line, words, line in seen))
             sizes.append(len(line))
             seen.add(line)
-    own = np.array(rows, np.float64).reshape(len(rows), N_FEATURES)
+    return np.array(rows, np.float64).reshape(len(rows), N_FEATURES), np.array(sizes, np.float64)
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    """Own features, those of the line before and those of the line after; zeros beyond either end."""
     edge = np.zeros((1, N_FEATURES))
-    return np.hstack([own, np.vstack([edge, own[:-1]]) if len(own) else own, np.vstack([own[1:], edge]) if len(own) else own]), np.array(sizes, np.float64)
+    return np.hstack([own, np.vstack([edge, own[:-1]]) if len(own) else own, np.vstack([own[1:], edge]) if len(own) else own])
 
 
 def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,7 +172,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, config: FieldConfig) ->
 def scores(texts: list[bytes], field: Field | None, pad: int = 200_000) -> np.ndarray:
     """The score of each text; pad bounds the padded lines that are worked on at once."""
     out = np.zeros(len(texts))
-    ready = [(i, *text_features(t)) for i, t in enumerate(texts)]
+    ready = [(i, *own_features(t)) for i, t in enumerate(texts)]
     ready = sorted((r for r in ready if len(r[2])), key=lambda r: len(r[2]))
     if field is None:
         out[[r[0] for r in ready]] = 0.5
@@ -177,7 +183,7 @@ def scores(texts: list[bytes], field: Field | None, pad: int = 200_000) -> np.nd
             n += 1
         now, ready = ready[:n], ready[n:]
         lengths = np.array([len(r[2]) for r in now])
-        lines = [(r[1] - field.mean) / field.scale @ field.weights[:-1] + field.weights[-1] for r in now]
+        lines = [(with_neighbours(r[1]) - field.mean) / field.scale @ field.weights[:-1] + field.weights[-1] for r in now]
         good, _ = marginals(_padded(lines, lengths.max()), lengths, field.stay)
         for row, (i, _, sizes) in zip(good, now, strict=True):
             out[i] = min(1.0, max(0.0, float(row[: len(sizes)] @ sizes / sizes.sum())))
@@ -191,22 +197,29 @@ def held_out(doc_id: Column, folds: int) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, config: FieldConfig = FieldConfig()) -> Field | None:
     """The field for labels (doc_id, quality) of docs (doc_id, text), or None without usable labels."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), config.folds))
-    sample = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.fit_documents)
+    rank = F.xxhash64("doc_id")
+    sample = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(rank, "doc_id").limit(config.fit_documents)
     sample = shared.written(sample, "labelled-sample")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [text_features(t)[0] if t.count(b"\n") < config.fit_lines else np.empty(0) for t in shared.byte_texts(batch.column("text"))]
-        flat = pa.array([f.reshape(-1) for f in found], pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([batch.column("quality"), flat], names=["quality", "features"])
+        found = [own_features(t)[0].astype(np.float32) for t in shared.byte_texts(batch.column("text"))]
+        columns = [batch.column("doc_id"), batch.column("quality"), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "quality", "lines", "own"])
 
     # the sample has fit_documents rows at most; of several texts of a doc_id the least counts
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
-    table = shared.arrow_map(rows, work, "quality int, features array<double>").toArrow()
-    features = [np.asarray(x, np.float64).reshape(-1, 3 * N_FEATURES) for x in table["features"].to_pylist()]
-    keep = [i for i, f in enumerate(features) if len(f)]
-    if not keep:
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(F.col("doc_id").cast("long"), "quality", "text")
+    featured = shared.written(shared.arrow_map(rows, work, "doc_id long, quality int, lines long, own binary", rows=100).where("lines > 0"), "sample-features")
+    taken, lines = [], 0
+    for row in featured.select("doc_id", "lines").orderBy(rank, "doc_id").collect():  # fit_documents numbers at most
+        if taken and lines + row["lines"] > config.fit_lines:
+            break
+        taken.append(row["doc_id"])
+        lines += row["lines"]
+    if not taken:
         return None
-    return fit([features[i] for i in keep], np.array(table["quality"].to_pylist(), float)[keep], config)
+    table = featured.where(F.col("doc_id").isin(taken)).orderBy(rank, "doc_id").select("quality", "own").toArrow()
+    features = [with_neighbours(np.frombuffer(x.as_py(), np.float32).reshape(-1, N_FEATURES)) for x in table["own"]]
+    return fit(features, np.array(table["quality"].to_pylist(), float), config)
 
 
 def scored(docs: DataFrame, field: Field | None, config: FieldConfig = FieldConfig()) -> DataFrame:
