@@ -7,14 +7,17 @@ lies inside some shard. A shard is one BK-tree: a node's children are keyed by t
 Hamming distance to it, and a query follows only edges whose key is within the radius of its
 own distance. Trees of all shards of a batch are built and searched level by level with numpy.
 
-A shard of more than `tree_bound` fingerprints is dealt over several trees of that bound, and
-its queries are sent to each of them (a broadcast of tree shards along the shuffle, never through
-the driver), so a hot shard is worked on by many tasks. Each task reduces its links to a
+A shard of more than `tree_bound` fingerprints is split again: the bits outside its chosen blocks are cut into
+radius + 1 parts, of which two linked fingerprints agree in at least one, so its fingerprints go to one
+smaller shard for each part. As all shards grow with the corpus, this keeps their trees small at any size.
+What is still above the bound (a dense ball of near copies) is dealt over several trees of that bound, and its
+queries are sent to each of them along the shuffle, never through the driver, so it is worked on by many tasks. Each task reduces its links to a
 spanning forest; connected components of the forests' edges give the groups.
 
 Defined results: a null or wordless text has fingerprint 0 and links like any other; copies
 share a fingerprint and hence a group; repeated rows give repeated results; a null doc_id never
-names a group unless its members have no other; an empty table gives an empty result.
+names a group unless its members have no other; further columns are ignored, whatever their names; an empty
+table gives an empty result. Texts are taken whole; a bit that is set in exactly half of the hashes is 0.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -67,15 +70,29 @@ def _spans(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _bits(spans: list[tuple[int, int]]) -> Column:
+    """The bits of some spans of a fingerprint, side by side."""
+    out = F.lit(0).cast("long")
+    for offset, width in spans:
+        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fingerprint", offset).bitwiseAND(F.lit((1 << width) - 1)))
+    return out
+
+
 def shards(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """(shard, fingerprint): each fingerprint once for every choice of blocks - radius blocks."""
+    """(shard, rest, fingerprint): each fingerprint once for every choice of blocks - radius blocks; rest has its other bits."""
+    spans = _spans(blocks)
     keys = []
-    for k, chosen in enumerate(combinations(_spans(blocks), blocks - radius)):
-        key = F.lit(k)
-        for offset, width in chosen:
-            key = F.shiftleft(key.cast("long"), width).bitwiseOR(F.shiftrightunsigned("fingerprint", offset).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(key)
-    return prints.select(F.explode(F.array(*keys)).alias("shard"), "fingerprint")
+    for k, chosen in enumerate(combinations(spans, blocks - radius)):
+        keys.append(F.struct(F.xxhash64(F.lit(k), _bits(list(chosen))).alias("shard"), _bits([x for x in spans if x not in chosen]).alias("rest")))
+    return prints.select(F.explode(F.array(*keys)).alias("k"), "fingerprint").select("k.*", "fingerprint")
+
+
+def smaller_shards(hot: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(shard, fingerprint): the rows of hot (shard, rest, fingerprint) once for each of radius + 1 parts of rest."""
+    width = max(BITS - sum(w for _, w in chosen) for chosen in combinations(_spans(blocks), blocks - radius))
+    edges = [width * i // (radius + 1) for i in range(radius + 2)]
+    parts = [F.shiftrightunsigned("rest", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
+    return hot.select(F.explode(F.array(*[F.xxhash64("shard", F.lit(i), p) for i, p in enumerate(parts)])).alias("shard"), "fingerprint")
 
 
 class Forest:
@@ -155,8 +172,12 @@ def forest_links(part: np.ndarray, prints: np.ndarray, is_node: np.ndarray, radi
 
 def links(prints: DataFrame, radius: int = 4, blocks: int = 6, tree_bound: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect just what links within the radius connect."""
-    dealt = shards(prints, radius, blocks)
-    hot = shared.written(dealt.groupBy("shard").count().where(F.col("count") > tree_bound).select("shard", F.ceil(F.col("count") / tree_bound).cast("int").alias("trees")), "hot-shards")
+    first = shards(prints, radius, blocks)
+    large = shared.written(first.groupBy("shard").count().where(F.col("count") > tree_bound).select("shard"), "large-shards")
+    split = smaller_shards(first.join(large, "shard", "left_semi"), radius, blocks)
+    dealt = first.join(large, "shard", "left_anti").select("shard", "fingerprint").union(split)
+    hot = split.groupBy("shard").count().where(F.col("count") > tree_bound)
+    hot = shared.written(hot.select("shard", F.ceil(F.col("count") / tree_bound).cast("int").alias("trees")), "hot-shards")
     trees = F.coalesce("trees", F.lit(1))
     rows = (
         dealt.join(hot, "shard", "left")
