@@ -13,8 +13,9 @@ It needs no shuffle: each task packs the rows of its own input partition, and se
 the partition's number, so a repeated task makes the same sequences again.
 
 Defined results: a null text packs as the empty text, which has the end id only; repeated rows
-are packed as often as they come; a null doc_id stays null; further columns are ignored; an
-empty table gives an empty result.
+are packed as often as they come; a null doc_id stays null; further columns are ignored, whatever their names; an
+empty table gives an empty result. Texts are packed whole: a long one is cut over several sequences. Of cuts of the same
+cost the earliest found is taken, so the result depends on the input's partitions only.
 """
 
 from __future__ import annotations

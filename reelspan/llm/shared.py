@@ -18,13 +18,13 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow of a function from one batch to one batch (or several)."""
+def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, rows: int = 1000) -> DataFrame:
+    """mapInArrow of a function from one batch to one batch (or several); it gets `rows` rows at most at a time, which bounds a worker's objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
+            for at in range(0, batch.num_rows, rows):
+                out = work(batch.slice(at, rows))
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:

@@ -11,8 +11,9 @@ as a chunk's ids do not depend on its surroundings where it starts after "non-sp
 and begins with a non-space; all other texts go to the library whole.
 
 Defined results: null text counts as the empty text (0 bytes, 0 tokens); repeated rows give
-repeated results; a null doc_id stays null; further columns of the input are ignored; an empty
-table gives an empty result.
+repeated results, of one cache entry; a null doc_id stays null; further columns of the input are ignored,
+whatever their names; an empty table gives an empty result. Texts are counted whole, however long; one of
+exactly `limit` tokens is not over it.
 """
 
 from __future__ import annotations
