@@ -256,15 +256,6 @@ def test_secret_scan(spark, hostile, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
-def test_guess_cost_equals_brute_force():
-    costs = secret_scan.GuessCosts()
-    assert secret_scan.guess_cost("") == 0
-    assert secret_scan.guess_cost("password") < 1 < secret_scan.guess_cost("passw0rd") < secret_scan.guess_cost("xq9!kz7$")
-    for a, b in (("dragon", "dragon2019-05-12"), ("aaaaaaaa", "ahwbxkqz"), ("qwertyui", "qmeztpui")):
-        assert secret_scan.guess_cost(a, costs) < secret_scan.guess_cost(b, costs)
-    assert secret_scan.guess_cost("a" * 20000) < 8  # one long repeat
-
-
 def test_crf_marginals_equal_enumeration():
     r = np.random.default_rng(2)
     scores, stay = r.normal(size=(3, 5)), np.array([0.7, 0.3])
