@@ -1,6 +1,7 @@
 """Connected components of a distributed edge list, by alternating large and small stars.
 
-Each round is two joins with per-node minima; no neighbour list is ever gathered. Every round's
+Each round is two joins with per-node minima; no neighbour list is ever gathered. A node of more than `HUB`
+neighbours is dealt over several join keys, so that a large component's centre is no task of its own. Every round's
 edges are written to shared storage, so a lost executor costs one round at most.
 """
 
@@ -12,16 +13,30 @@ from pyspark.sql import functions as F
 from ..sources import scratch
 
 
+HUB = 200  # neighbours in one join key
+HUBS_BROADCAST = 200_000  # hubs whose list is broadcast; more of them are left to adaptive execution
+
+
+def _with_least(near: DataFrame) -> DataFrame:
+    """near (a, b) with low, the least of a and its neighbours."""
+    least = near.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
+    hubs = scratch.written(least.where("parts > 1").select("a", "parts"), "hubs")
+    if not 0 < hubs.count() <= HUBS_BROADCAST:
+        return near.join(least.drop("parts"), "a")
+    dealt = near.join(F.broadcast(hubs), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    each = least.select("a", "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(each, ["a", "part"]).drop("part")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (a, b) with a > b. Large: larger neighbours move to the least of a node's neighbourhood; small: the others do."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else edges
-    least = near.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a"), F.least("a", "low").alias("low"))
-    joined = near.join(least, "a")
+    joined = _with_least(near)
     if large:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
-        moved = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
+        moved = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(joined.select("a", F.col("low").alias("b")))
     return moved.where("a <> b").distinct()
 
 
