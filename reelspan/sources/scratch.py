@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SCOPES: list[list[str]] = []  # the paths made in each open scope of released()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/reelspan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/reelspan-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables made inside. What is to stay must be written to a path from outside by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; frames that read them can't be used any more."""
+    _delete(spark, _own_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
