@@ -63,7 +63,7 @@ def metric(text: Column, key: str) -> Column:
 def natural_key(x: Column) -> Column:
     """A sort key that orders digit runs by value: they are padded to twenty digits."""
     parts = F.regexp_extract_all(F.lower(x), F.lit(r"[0-9]+|[^0-9]+"), 0)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, F.greatest(F.lit(20), F.length(p)), F.lit("0"))).otherwise(p)), "")
 
 
 def sign_hash(vector: Column) -> Column:
@@ -72,5 +72,23 @@ def sign_hash(vector: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.element_at(bits, i + 1), i)))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+LETTERS = "etaoinshrdlucmfw"
+
+
+def letter_pairs() -> list[tuple[str, str]]:
+    """64 different pairs of frequent letters, in a fixed order."""
+    return [p for step in range(1, 8) for p in ((LETTERS[i], LETTERS[(i + step) % 16]) for i in range(16))][:64]
+
+
+def letter_hash(text: Column) -> Column:
+    """64 bits of a text, each whether one letter is more frequent in it than another: copies with few changes differ in few bits."""
+    counts = {c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS}
+    n = F.struct(*[v.alias(c) for c, v in counts.items()])
+    one = F.transform(F.array(n), lambda s: F.array(*[F.when(s[a] > s[b], F.expr(f"{1 << i}L") if i < 63 else F.expr("-9223372036854775807L - 1")).otherwise(F.expr("0L")) for i, (a, b) in enumerate(letter_pairs())]))
+    return F.aggregate(F.element_at(one, 1), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+
+
+def letter_hash_sql(text: str) -> str:
+    """The same in SQL, as a UBIGINT."""
+    n = {c: f"(length({text}) - length(replace({text}, '{c}', '')))" for c in LETTERS}
+    return " | ".join(f"CASE WHEN {n[a]} > {n[b]} THEN CAST(1 AS UBIGINT) << {i} ELSE CAST(0 AS UBIGINT) END" for i, (a, b) in enumerate(letter_pairs()))

@@ -10,20 +10,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlapping(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", least: float | None = None) -> DataFrame:
-    """Rows l and r of equal key whose intervals (start_s, end_s) overlap, or overlap by more than least seconds."""
-    keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on]
+def _bucketed(rows: DataFrame, seconds: float) -> DataFrame:
+    """Each interval once for every bucket of time that it touches."""
+    low, high = F.floor(F.col("start_s") / seconds), F.floor(F.col("end_s") / seconds)
+    return rows.withColumn("_bucket", F.explode(F.sequence(low, F.greatest(low, high))))
+
+
+def overlapping(left: DataFrame, right: DataFrame, on: list[str], bucket: float, least: float | None = None) -> DataFrame:
+    """Rows l and r of equal key whose intervals (start_s, end_s) overlap, or overlap by more than least seconds.
+
+    Both sides are dealt by key and bucket of time, so a key of very many rows is many tasks and only neighbours in
+    time meet; a pair is kept from the first bucket that both touch. A bucket should hold an interval of usual length.
+    """
+    keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*on, "_bucket"]]
     if least is None:
         meets = (F.col("l.start_s") < F.col("r.end_s")) & (F.col("l.end_s") > F.col("r.start_s"))
     else:
         meets = F.least("l.end_s", "r.end_s") - F.greatest("l.start_s", "r.start_s") > least
-    return left.alias("l").join(right.alias("r"), [*keys, meets], how)
+    first = F.floor(F.greatest("l.start_s", "r.start_s") / bucket) == F.col("l._bucket")
+    return _bucketed(left, bucket).alias("l").join(_bucketed(right, bucket).alias("r"), [*keys, meets, first])
 
 
-def contained(points: DataFrame, spans: DataFrame, on: list[str], at: str) -> DataFrame:
-    """Rows p and s of equal key with the point in the closed interval."""
-    keys = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in on]
-    return points.alias("p").join(spans.alias("s"), [*keys, F.col(f"p.{at}").between(F.col("s.start_s"), F.col("s.end_s"))])
+def contained(points: DataFrame, spans: DataFrame, on: list[str], at: str, bucket: float) -> DataFrame:
+    """Rows p and s of equal key with the point in the closed interval, dealt by key and bucket of time."""
+    dealt = points.withColumn("_bucket", F.floor(F.col(at) / bucket)).alias("p")
+    keys = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in [*on, "_bucket"]]
+    return dealt.join(_bucketed(spans, bucket).alias("s"), [*keys, F.col(f"p.{at}").between(F.col("s.start_s"), F.col("s.end_s"))])
 
 
 def islands(rows: DataFrame, by: list[str], tolerance: float = 0.0) -> DataFrame:

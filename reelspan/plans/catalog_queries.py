@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, hash_percent, jaccard, metric, natural_key, occurrence_decay, sign_hash
+from ..functions.scalars import clamp, hash_percent, letter_hash, metric, natural_key, occurrence_decay, sign_hash
 from ..operators import similarity
-from .registry import Tables, query
+from ..operators.ranking import numbered
+from ..sources import scratch
+from .registry import LETTER_HASH, Tables, query
 
 
 @query("""SELECT doc_id, lower(source) AS media_set, CASE WHEN n_chars >= 4000 THEN 'long' WHEN n_chars >= 1000 THEN 'medium' ELSE 'short' END AS kind, lang
@@ -53,8 +55,8 @@ def exact_duplicates(t: Tables) -> DataFrame:
 FROM documents GROUP BY text HAVING count(*) > 1""")
 def duplicate_groups(t: Tables) -> DataFrame:
     groups = t.documents.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("keeper"), F.count("*").alias("members")).where("members > 1")
-    rank = F.row_number().over(Window.orderBy("keeper"))  # of the groups only, which a reviewer reads
-    return groups.select(F.concat(F.lit("dup_"), F.lpad(rank.cast("string"), 4, "0")).alias("group_id"), "keeper", "members", (F.col("members") - 1).alias("removable"))
+    ranked = numbered(groups.select("keeper", "members"), ["keeper"], "rank")
+    return ranked.select(F.concat(F.lit("dup_"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("group_id"), "keeper", "members", (F.col("members") - 1).alias("removable"))
 
 
 @query("SELECT doc_id, source, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.text = d.text AND e.doc_id < d.doc_id)")
@@ -68,9 +70,15 @@ def keeper_manifest(t: Tables) -> DataFrame:
 _HASHES = """h AS (SELECT vec_id, label, list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS UBIGINT) << i ELSE CAST(0 AS UBIGINT) END), lambda a, b: a | b) AS bits FROM embeddings)"""
 
 
-@query(f"WITH {_HASHES} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND bit_count(xor(a.bits, b.bits)) <= 8")
+@query(f"""WITH {LETTER_HASH}, g AS (SELECT bits, min(doc_id) AS doc, count(*) AS n FROM h GROUP BY 1)
+SELECT a.doc AS a, b.doc AS b, a.n * b.n AS pairs, CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS distance FROM g a JOIN g b ON a.doc < b.doc AND bit_count(xor(a.bits, b.bits)) <= 2""")
 def near_duplicates_hamming(t: Tables) -> DataFrame:
-    return similarity.hamming_pairs(t.embeddings.select("vec_id", sign_hash(F.col("embedding")).alias("bits")), "vec_id", "bits", 8)
+    """Pairs of different hashes within two bits, each by its least document, and the pairs of documents they stand for."""
+    hashes = t.documents.select("doc_id", letter_hash(F.coalesce("text", F.lit(" "))).alias("bits")).groupBy("bits").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
+    hashes = scratch.written(hashes, "letter-hashes")
+    sizes = [hashes.select(F.col("doc").alias(k), F.col("n").alias(f"n_{k}")) for k in ("a", "b")]
+    near = similarity.hamming_pairs(hashes, "doc", "bits", 2).join(sizes[0], "a").join(sizes[1], "b")
+    return near.select("a", "b", (F.col("n_a") * F.col("n_b")).alias("pairs"), "distance")
 
 
 @query(f"""WITH {_HASHES}, bit AS (SELECT label, i, 2 * sum(CAST((bits >> i) & 1 AS INTEGER)) >= count(*) AS one FROM h, (SELECT unnest(range(0, 64)) AS i) GROUP BY label, i)
@@ -158,12 +166,15 @@ def alias_term_match(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat_ws(",", *[F.when(hit((k, *v)), k) for k, v in ALIASES.items()]).alias("terms"))
 
 
-@query("""WITH w AS (SELECT source, lang, list_distinct(flatten(list(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]{4,}')))) AS ws FROM documents GROUP BY 1, 2)
-SELECT a.source, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))), 6) AS similarity FROM w a JOIN w b ON a.source = b.source AND a.lang = 'en' AND b.lang = 'de'""")
+@query("""WITH w AS (SELECT DISTINCT source, lang, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents), n AS (SELECT source, lang, count(*) AS n FROM w GROUP BY ALL),
+c AS (SELECT a.source, count(*) AS common FROM w a JOIN w b ON a.source = b.source AND a.w = b.w AND a.lang = 'en' AND b.lang = 'de' GROUP BY 1)
+SELECT a.source, round(coalesce(common, 0) / (a.n + b.n - coalesce(common, 0)), 6) AS similarity FROM n a JOIN n b ON a.source = b.source AND a.lang = 'en' AND b.lang = 'de' LEFT JOIN c ON c.source = a.source""")
 def jaccard_tags(t: Tables) -> DataFrame:
-    tags = t.documents.where(F.col("lang").isin("en", "de")).select("source", "lang", F.explode(F.regexp_extract_all(F.lower(F.substring("text", 1, 400)), F.lit("[a-z]{4,}"), 0)).alias("w")).groupBy("source", "lang").agg(F.collect_set("w").alias("ws"))
-    a, b = tags.where("lang = 'en'").alias("a"), tags.where("lang = 'de'").alias("b")
-    return a.join(b, "source").select("source", F.round(jaccard(F.col("a.ws"), F.col("b.ws")), 6).alias("similarity"))
+    """Of each source's words in two languages: distinct words first, then sizes by joins, so no set is gathered."""
+    words = t.documents.where(F.col("lang").isin("en", "de")).select("source", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("w")).distinct()
+    both = words.groupBy("source", "w").agg(F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") == "de").alias("de"))
+    sizes = both.groupBy("source").agg(F.sum("en").alias("en"), F.sum("de").alias("de"), F.sum(F.col("en") * F.col("de")).alias("common"))
+    return sizes.where("en > 0 and de > 0").select("source", F.round(F.col("common") / (F.col("en") + F.col("de") - F.col("common")), 6).alias("similarity"))
 
 
 @query("""SELECT 'both' AS kind, k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL
@@ -175,10 +186,11 @@ def set_ops_media_sets(t: Tables) -> DataFrame:
     return out[0].union(out[1]).union(out[2])
 
 
-@query("""SELECT s_suppkey, CAST(row_number() OVER (ORDER BY n, s_suppkey) AS INTEGER) AS rank FROM (SELECT s_suppkey, CAST(regexp_extract('cam' || CAST(s_suppkey % 97 AS VARCHAR) || 'b', '[0-9]+') AS BIGINT) AS n FROM supplier)""")
+@query(r"""WITH p AS (SELECT page_id, lower(url) AS u FROM pages), k AS (SELECT page_id, list_transform(regexp_extract_all(u, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, CAST(greatest(20, length(x)) AS INTEGER), '0') ELSE x END) AS parts FROM p)
+SELECT page_id, row_number() OVER (ORDER BY array_to_string(parts, ''), page_id) AS rank FROM k""")
 def natural_sort_rank(t: Tables) -> DataFrame:
-    name = F.concat(F.lit("cam"), (F.col("s_suppkey") % 97).cast("string"), F.lit("b"))
-    return t.supplier.select("s_suppkey", F.row_number().over(Window.orderBy(natural_key(name), "s_suppkey")).alias("rank"))
+    """Pages in the order of their address, with digit runs by value."""
+    return numbered(t.pages.select("page_id", natural_key(F.col("url")).alias("key")), ["key", "page_id"], "rank").select("page_id", "rank")
 
 
 @query("""SELECT o_orderkey, (CAST('0x' || substr(sha1(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10000) / 100 AS percent FROM orders WHERE (CAST('0x' || substr(sha1(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 10000) / 100 < 10""")
@@ -208,15 +220,9 @@ def enabled_semi_join(t: Tables) -> DataFrame:
     return t.customer.join(enabled, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+@query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
 SELECT a, b, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id) AS rank
-FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank <= 3""")
+FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 3""")
 def cosine_neighbors(t: Tables) -> DataFrame:
-    """The three nearest of the same label: blocked by label, so pairs are made inside blocks only."""
-    unit = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
-    unit = unit.withColumn("e", F.transform("e", lambda x: x / norm))
-    a, b = unit.alias("a"), unit.alias("b")
-    cosine = F.aggregate(F.zip_with("a.e", "b.e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id"))).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(cosine, 9).alias("cosine"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where("rank <= 3").select("a", "b", "rank")
+    """The three nearest of all rows to each query; queries are the rows whose id is divisible by 100."""
+    return similarity.top_cosine(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", 3)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scalars import letter_hash_sql
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -21,6 +23,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+LETTER_HASH = f"h AS (SELECT doc_id, {letter_hash_sql('coalesce(text, chr(32))')} AS bits FROM documents)"  # a common table of SQL
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

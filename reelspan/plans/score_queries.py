@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.scalars import sign_hash
+from ..functions.scalars import letter_hash
 from ..operators import graph, similarity
-from .registry import Tables, query
+from .registry import LETTER_HASH, Tables, query
 
 _SIGNALS = """x AS (SELECT event_id, user_id, event_type, ts, least(value, 100.0) AS motion, least(value * 2, 100.0) AS audio, 100.0::DOUBLE - least(value, 100.0) AS story, (event_id % 101)::DOUBLE AS technical,
   (event_id % 7 * 14)::DOUBLE AS people, CASE event_type WHEN 'purchase' THEN 'action' WHEN 'signup' THEN 'reaction' ELSE 'scenic' END AS role, (event_id % 3)::DOUBLE AS more, (event_id % 5)::DOUBLE AS less FROM events)"""
@@ -67,18 +67,18 @@ def duration_scores(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", scores.duration_score(F.col("l_quantity"), 5.0).alias("duration"))
 
 
-_DUP = """h AS (SELECT vec_id, list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS UBIGINT) << i ELSE CAST(0 AS UBIGINT) END), lambda a, b: a | b) AS bits FROM embeddings),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits)) AS d FROM h a JOIN h b ON a.vec_id <> b.vec_id AND bit_count(xor(a.bits, b.bits)) <= 18)"""
+_DUP = f"""{LETTER_HASH}, g AS (SELECT bits, min(doc_id) AS doc FROM h GROUP BY 1), p AS (SELECT a.doc AS a, b.doc AS b, bit_count(xor(a.bits, b.bits)) AS d FROM g a JOIN g b ON a.bits <> b.bits AND bit_count(xor(a.bits, b.bits)) <= 1)"""
 
 
 @query(f"""WITH RECURSIVE {_DUP}, r AS (SELECT DISTINCT a AS node, a AS root FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node), c AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
-SELECT node AS vec_id, root AS keeper, CAST(best AS INTEGER) AS best_distance FROM c JOIN (SELECT c.root AS k, min(d) AS best FROM p JOIN c ON p.a = c.node GROUP BY 1) ON root = k""")
+SELECT node AS doc_id, root AS keeper, CAST(best AS INTEGER) AS best_distance FROM c JOIN (SELECT c.root AS k, min(d) AS best FROM p JOIN c ON p.a = c.node GROUP BY 1) ON root = k""")
 def near_duplicate_groups(t: Tables) -> DataFrame:
-    """Components of the pairs within 18 bits, their keeper, and the distance of their closest pair as the reason."""
-    pairs = similarity.hamming_pairs(t.embeddings.select("vec_id", sign_hash(F.col("embedding")).alias("bits")), "vec_id", "bits", 18)
+    """Components of the hashes within one bit (each by its least document), their keeper, and the distance of their closest pair as the reason."""
+    hashes = t.documents.select("doc_id", letter_hash(F.coalesce("text", F.lit(" "))).alias("bits")).groupBy("bits").agg(F.min("doc_id").alias("doc"))
+    pairs = similarity.hamming_pairs(hashes, "doc", "bits", 1)
     roots = graph.connected_components(pairs.select("a", "b"))
     best = pairs.join(roots, pairs["a"] == roots["node"]).groupBy("root").agg(F.min("distance").alias("best_distance"))
-    return roots.join(best, "root").select(F.col("node").alias("vec_id"), F.col("root").alias("keeper"), "best_distance")
+    return roots.join(best, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"), "best_distance")
 
 
 @query("""SELECT l_partkey, arg_max(l_suppkey, {'d': l_shipdate, 'o': l_orderkey, 'l': l_linenumber, 's': l_suppkey}) AS last_supplier, arg_min(l_suppkey, {'d': l_shipdate, 'o': l_orderkey, 'l': l_linenumber, 's': l_suppkey}) AS first_supplier FROM lineitem GROUP BY 1""")
@@ -101,13 +101,14 @@ def essence_chapter(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang", best.alias("b")).select("doc_id", F.when(F.col("b.n") == 0, F.col("lang")).otherwise(F.col("b.chapter")).alias("chapter"))
 
 
-@query("""WITH o AS (SELECT event_id, user_id, event_type, ts, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, CASE WHEN before IS NULL THEN 'fade_in' WHEN before = event_type THEN 'cut' WHEN event_type IN ('purchase', 'signup') THEN 'crossfade' ELSE 'dip' END AS transition FROM o""")
+@query("""WITH o AS (SELECT event_id, event_type AS chapter, ts::DATE AS moment, lag(event_type) OVER w AS before, lag(ts::DATE) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CASE WHEN before IS NULL THEN 'opening' WHEN before <> chapter THEN 'chapter_bridge' WHEN last = moment THEN 'continuous_sequence' ELSE 'hard_cut' END AS transition FROM o""")
 def transition_types(t: Tables) -> DataFrame:
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    o = t.events.select("event_id", "event_type", before.alias("before"))
-    kind = F.when(F.col("before").isNull(), "fade_in").when(F.col("before") == F.col("event_type"), "cut").when(F.col("event_type").isin("purchase", "signup"), "crossfade").otherwise("dip")
-    return o.select("event_id", kind.alias("transition"))
+    """How a row follows the one before it: type is its chapter, day its moment."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = t.events.select("event_id", F.col("event_type").alias("chapter"), F.to_date("ts").alias("moment"), F.lag("event_type").over(w).alias("before"), F.lag(F.to_date("ts")).over(w).alias("last"))
+    kind = F.when(F.col("before").isNull(), "opening").when(F.col("before") != F.col("chapter"), "chapter_bridge").when(F.col("last") == F.col("moment"), "continuous_sequence").otherwise("hard_cut")
+    return rows.select("event_id", kind.alias("transition"))
 
 
 @query("""WITH b AS (SELECT event_id, user_id, ts, least(greatest(value, 1.5), 45.0) AS seconds, CASE WHEN value > 100 THEN 2.0 ELSE 1.0 END AS speed FROM events), d AS (SELECT *, CAST(floor(seconds / speed * 1000 + 0.5) AS BIGINT) AS ms FROM b)

@@ -145,12 +145,13 @@ def tumbling_audio(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", F.floor(seconds(F.col("ts")) / 86_400).alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), kind.alias("kind"))
 
 
+BUCKET = 3_600.0  # seconds; an event here lasts some minutes
 _OVERLAP = "l.user_id = r.user_id AND l.start_s < r.end_s AND l.end_s > r.start_s"
 
 
 @query(f"""WITH {_SPANS} SELECT l.event_id, arg_min(r.event_id, {{'s': r.start_s, 'e': r.event_id}}) AS first_overlap, count(*) AS n FROM sp l JOIN sp r ON {_OVERLAP} AND l.event_id <> r.event_id GROUP BY 1""")
 def overlap_first(t: Tables) -> DataFrame:
-    both = intervals.overlapping(_spans(t), _spans(t), ["user_id"]).where("l.event_id <> r.event_id")
+    both = intervals.overlapping(_spans(t), _spans(t), ["user_id"], BUCKET).where("l.event_id <> r.event_id")
     return both.groupBy(F.col("l.event_id").alias("event_id")).agg(F.min_by("r.event_id", F.struct("r.start_s", "r.event_id")).alias("first_overlap"), F.count("*").alias("n"))
 
 
@@ -158,21 +159,24 @@ def overlap_first(t: Tables) -> DataFrame:
 LEFT JOIN (SELECT * FROM sp WHERE event_type <> 'view') r ON {_OVERLAP} GROUP BY 1""")
 def overlap_avg(t: Tables) -> DataFrame:
     """Mean of the overlapping values in whole hundredths, and 50 where there is none."""
-    both = intervals.overlapping(_spans(t).where("event_type = 'view'"), _spans(t).where("event_type <> 'view'"), ["user_id"], "left")
+    views = _spans(t).where("event_type = 'view'")
+    both = intervals.overlapping(views, _spans(t).where("event_type <> 'view'"), ["user_id"], BUCKET)
     total, n = F.sum(F.round(F.col("r.value") * 100).cast("long")), F.count("r.value")
-    return both.groupBy(F.col("l.event_id").alias("event_id")).agg(F.coalesce(F.floor(total / F.when(n > 0, n)), F.lit(5000)).cast("long").alias("energy"))
+    means = both.groupBy(F.col("l.event_id").alias("event_id")).agg(F.floor(total / F.when(n > 0, n)).cast("long").alias("mean"))
+    return views.select("event_id").join(means, "event_id", "left").select("event_id", F.coalesce("mean", F.lit(5000)).cast("long").alias("energy"))
 
 
 @query(f"""WITH {_SPANS} SELECT l.event_id, arg_max(r.event_id, {{'v': r.value, 'e': -r.event_id}}) AS best FROM sp l JOIN sp r ON {_OVERLAP} AND l.event_type = r.event_type GROUP BY 1""")
 def overlap_argmax(t: Tables) -> DataFrame:
-    both = intervals.overlapping(_spans(t), _spans(t), ["user_id", "event_type"])
+    both = intervals.overlapping(_spans(t), _spans(t), ["user_id", "event_type"], BUCKET)
     return both.groupBy(F.col("l.event_id").alias("event_id")).agg(F.max_by("r.event_id", F.struct(F.col("r.value").alias("v"), (-F.col("r.event_id")).alias("e"))).alias("best"))
 
 
 @query(f"""WITH {_SPANS} SELECT l.event_id, l.user_id FROM sp l WHERE l.event_type = 'view' AND NOT EXISTS (SELECT 1 FROM sp r WHERE r.event_type = 'purchase' AND l.user_id = r.user_id AND least(l.end_s, r.end_s) - greatest(l.start_s, r.start_s) > 0.5)""")
 def anti_overlap(t: Tables) -> DataFrame:
     left, right = _spans(t).where("event_type = 'view'"), _spans(t).where("event_type = 'purchase'")
-    return intervals.overlapping(left, right, ["user_id"], "left_anti", 0.5).select("event_id", "user_id")
+    met = intervals.overlapping(left, right, ["user_id"], BUCKET, 0.5).select(F.col("l.event_id").alias("event_id")).distinct()
+    return left.join(met, "event_id", "left_anti").select("event_id", "user_id")
 
 
 @query(f"""WITH {_SPANS}, p AS (SELECT user_id, {_EPOCH} AS x, value FROM events), w AS (SELECT event_id, user_id, start_s, end_s + 3600 AS end_s FROM sp WHERE event_type = 'purchase')
@@ -180,7 +184,7 @@ SELECT w.event_id, count(*) AS samples, max(value) AS peak FROM p JOIN w ON p.us
 def containment_agg(t: Tables) -> DataFrame:
     points = t.events.select("user_id", seconds(F.col("ts")).alias("at"), "value")
     spans = _spans(t).where("event_type = 'purchase'").withColumn("end_s", F.col("end_s") + 3600).select("event_id", "user_id", "start_s", "end_s")
-    return intervals.contained(points, spans, ["user_id"], "at").groupBy("s.event_id").agg(F.count("*").alias("samples"), F.max("p.value").alias("peak"))
+    return intervals.contained(points, spans, ["user_id"], "at", BUCKET).groupBy("s.event_id").agg(F.count("*").alias("samples"), F.max("p.value").alias("peak"))
 
 
 @query(f"""WITH p AS (SELECT user_id, event_id, {_EPOCH} AS at FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, event_id, {_EPOCH} AS at FROM events WHERE event_type = 'view')
@@ -207,7 +211,7 @@ o AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY event_id ORDER BY a, b
 g AS (SELECT *, sum(opens) OVER (PARTITION BY event_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS grp FROM o) SELECT event_id, min(a) AS start_s, max(b) AS end_s FROM g GROUP BY event_id, grp""")
 def mute_window_remap(t: Tables) -> DataFrame:
     """Where errors overlap a view, in the view's own time at double speed, merged."""
-    both = intervals.overlapping(_spans(t).where("event_type = 'view'"), _spans(t).where("event_type = 'error'"), ["user_id"])
+    both = intervals.overlapping(_spans(t).where("event_type = 'view'"), _spans(t).where("event_type = 'error'"), ["user_id"], BUCKET)
     start, end = (F.greatest("l.start_s", "r.start_s") - F.col("l.start_s")) / 2, (F.least("l.end_s", "r.end_s") - F.col("l.start_s")) / 2
     cut = both.select(F.col("l.event_id").alias("event_id"), start.alias("start_s"), end.alias("end_s")).where("end_s - start_s >= 0.05")
     return intervals.islands(cut, ["event_id"], 0.05).drop("n_merged")
@@ -263,11 +267,21 @@ def speed_compress(t: Tables) -> DataFrame:
     return rows.select("event_id", (F.col("base") * F.when((F.col("base") == 1) | (F.col("total") <= 60_000), 1.0).otherwise(more)).alias("speed"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('view', 'click')) SELECT event_id, user_id, 1.5::DOUBLE AS speed FROM e WHERE k % 3 = 0 AND k <= 15""")
+@query("""WITH o AS (SELECT event_id, user_id, ts, value, event_type IN ('view', 'click') AS able, count(*) OVER (PARTITION BY user_id) AS n, count(*) FILTER (WHERE event_type = 'purchase' AND value > 150) OVER (PARTITION BY user_id) AS fast FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id, able ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id, able) AS m FROM o),
+p AS (SELECT *, CASE WHEN m = 1 THEN i WHEN i % 3 = 1 THEN (i - 1) // 3 END AS turn FROM e WHERE able AND fast = 0)
+SELECT event_id, user_id, CASE WHEN value >= 72 THEN 3.0 ELSE 1.5 END::DOUBLE AS speed FROM p WHERE turn < greatest(1, least(m // 3 + 1, greatest(1, n // 4)))""")
 def speed_mix(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = t.events.where(F.col("event_type").isin("view", "click")).select("event_id", "user_id", F.row_number().over(w).alias("k"))
-    return e.where("k % 3 = 0 and k <= 15").select("event_id", "user_id", F.lit(1.5).alias("speed"))
+    """Where nothing is fast yet, the second of every three able rows is, up to a target; 3 times for loud ones, else 1.5 times."""
+    by_user = Window.partitionBy("user_id")
+    able = F.col("event_type").isin("view", "click")
+    rows = t.events.select("event_id", "user_id", "ts", "value", able.alias("able"), ((F.col("event_type") == "purchase") & (F.col("value") > 150)).alias("quick"))
+    rows = rows.withColumns({"n": F.count("*").over(by_user), "fast": F.count_if("quick").over(by_user)})
+    of_kind = Window.partitionBy("user_id", "able")
+    rows = rows.withColumns({"i": F.row_number().over(of_kind.orderBy("ts", "event_id")) - 1, "m": F.count("*").over(of_kind)}).where("able and fast = 0")
+    turn = F.when(F.col("m") == 1, F.col("i")).when(F.col("i") % 3 == 1, F.floor((F.col("i") - 1) / 3))
+    target = F.greatest(F.lit(1), F.least(F.floor(F.col("m") / 3) + 1, F.greatest(F.lit(1), F.floor(F.col("n") / 4))))
+    return rows.where(turn < target).select("event_id", "user_id", F.when(F.col("value") >= 72, 3.0).otherwise(1.5).alias("speed"))
 
 
 @query(f"""SELECT user_id, list_sort(list({_EPOCH}))[count(*) // 2 + 1] AS upper_median, min({_EPOCH}) AS first_at FROM events GROUP BY 1""")
@@ -336,7 +350,7 @@ def top_windows_nms(t: Tables) -> DataFrame:
 
 @query()
 def album_selection(t: Tables) -> DataFrame:
-    """The most central vectors of each label, none within six bits of another one taken."""
+    """The most central vectors of each label, none within twenty bits of another one taken."""
     rows = t.embeddings.select("vec_id", "label", sign_hash(F.col("embedding")).alias("bits"), F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + F.abs(x)).alias("score"))
     limits = selection.Limits(most=12, similar="bits", similar_bits=20)
     return selection.select_by(rows.withColumn("duration", F.lit(1.0)), ["label"], (selection.Pass(("-score",)),), limits, "vec_id").select("vec_id", "label", "pick", "why")
@@ -364,16 +378,16 @@ def documentary_timeline(t: Tables) -> DataFrame:
     return selection.select_by(rows, ["user_id"], passes, selection.Limits(most=90), "event_id").select("event_id", "user_id", "pick", "why")
 
 
-@query("""WITH a AS (SELECT o_orderpriority AS chapter, count(*)::DOUBLE AS available FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), n AS (SELECT count(*) AS k FROM a) SELECT chapter, available, least(available, 400.0)::DOUBLE AS capped FROM a""")
+@query("""WITH a AS (SELECT o_orderpriority AS chapter, count(*)::DOUBLE AS available FROM orders GROUP BY 1) SELECT chapter, available, least(available, 3000.0)::DOUBLE AS capped FROM a""")
 def chapter_targets(t: Tables) -> DataFrame:
-    a = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("chapter")).agg(F.count("*").cast("double").alias("available"))
-    return a.withColumn("capped", F.least(F.col("available"), F.lit(400.0)))
+    a = t.orders.groupBy(F.col("o_orderpriority").alias("chapter")).agg(F.count("*").cast("double").alias("available"))
+    return a.withColumn("capped", F.least(F.col("available"), F.lit(3000.0)))
 
 
 @query()
 def chapter_water_fill(t: Tables) -> DataFrame:
     """Equal targets capped at what a chapter has, the rest dealt out by weight: five chapters in one task."""
-    a = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("chapter")).agg(F.count("*").cast("double").alias("available"))
+    a = t.orders.groupBy(F.col("o_orderpriority").alias("chapter")).agg(F.count("*").cast("double").alias("available"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chapter")
