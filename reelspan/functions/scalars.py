@@ -26,6 +26,12 @@ def yes_no(x: Column) -> Column:
     return F.when(word.isin("yes", "true", "on", "1", "y"), True).when(word.isin("no", "false", "off", "0", "n"), False)
 
 
+def tenths(x: Column) -> Column:
+    """A number of at least zero as text with one decimal, rounded half up."""
+    n = F.floor(x * 10 + 0.5)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def seconds(ts: Column) -> Column:
     """Seconds since the epoch as a double."""
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)

@@ -10,7 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reelspan.operators import intervals, selection, sessions, similarity
+from reelspan.operators import intervals, preservation, selection, sessions, similarity
+from reelspan.operators.ranking import numbered
 from reelspan.plans import QUERIES, SQL
 from reelspan.sources import manifests, media
 from reelspan.streaming import moments
@@ -87,7 +88,11 @@ def test_intervals(spark):
     rows = spark.createDataFrame([("a", 0.0, 5.0), ("a", 4.0, 9.0), ("a", 9.04, 12.0), ("a", 20.0, 21.0), ("b", 0.0, 1.0)], "k string, start_s double, end_s double")
     got = {(r.k, r.start_s, r.end_s) for r in intervals.islands(rows, ["k"], 0.05).collect()}
     assert got == {("a", 0.0, 12.0), ("a", 20.0, 21.0), ("b", 0.0, 1.0)}
-    assert intervals.overlapping(rows, rows, ["k"]).count() == 7
+    for bucket in (0.7, 3.0, 100.0):  # intervals of many buckets, of some, of one
+        assert intervals.overlapping(rows, rows, ["k"], bucket).count() == 7
+        assert intervals.overlapping(rows, rows, ["k"], bucket, 0.5).count() == 7
+        points = spark.createDataFrame([("a", 4.5), ("a", 12.0), ("a", 13.0), ("b", 0.0)], "k string, at double")
+        assert sorted((r["at"], r["start_s"]) for r in intervals.contained(points, rows, ["k"], "at", bucket).select("at", "start_s").collect()) == [(0.0, 0.0), (4.5, 0.0), (4.5, 4.0), (12.0, 9.04)]
     assert intervals.subdivided(rows, F.lit(2.0)).count() == 3 + 3 + 2 + 1 + 1
 
 
@@ -100,6 +105,56 @@ def test_hamming_pairs_equal_brute_force(spark):
     assert got == {(i, j, (a ^ b).bit_count()) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= 7}
 
 
+def test_hamming_refuses_radii_that_compare_all(spark):
+    with pytest.raises(ValueError):
+        similarity.block_choices(18)
+
+
+def test_numbered(spark):
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.lit("x").alias("v")).repartition(7)
+    assert sorted((r.k, r.n) for r in numbered(rows, ["k"], "n").collect()) == [(i, i + 1) for i in range(500)]
+    assert numbered(rows.limit(0), ["k"], "n").count() == 0
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_top_cosine_equals_brute_force(spark, block):
+    r = random.Random(5)
+    vectors = {i: [r.gauss(0, 1) for _ in range(6)] for i in range(60)}
+    frame = spark.createDataFrame([(i, v) for i, v in vectors.items()], "id long, v array<double>")
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    got = {(x.a, x["rank"]): x.b for x in similarity.top_cosine(frame, frame.where("id % 7 = 0"), "id", "v", 4, block).collect()}
+    assert got == {(q, k + 1): b for q in range(0, 60, 7) for k, b in enumerate(sorted((i for i in vectors if i != q), key=lambda i: -cosine(vectors[q], vectors[i]))[:4])}
+
+
+def test_runtime_is_preserved_in_order(spark):
+    """Against a plain loop over each media set."""
+    r = random.Random(12)
+    rules = preservation.SelectionRules(least=4, most=12, percent=20.0, target_ms=60_000)
+    rows = [(i, r.choice("ab"), f"n{i:03d}", r.random() < 0.6, r.uniform(1, 20), *[r.uniform(30, 80) for _ in range(6)]) for i in range(80)]
+    schema = "id int, media_set string, name string, video boolean, seconds double, quality double, reel double, movie double, capsule double, album double, fit double"
+    got = {x.id: x.reason for x in preservation.select_scores(spark.createDataFrame(rows, schema), rules).collect()}
+    for name in "ab":
+        part = [dict(zip(schema.replace(",", "").split()[::2], row)) for row in rows if row[1] == name]
+        for x in part:
+            x["uses"] = [u for u, ok in (("album", x["album"] >= 70), ("instagram", x["reel"] >= 72), ("movie", x["movie"] >= 68), ("activity_reel", x["video"] and x["fit"] >= 60 and x["reel"] >= 72 * 0.95), ("time_capsule", x["capsule"] >= 65)) if ok]
+        ranked = sorted(part, key=lambda x: (-max(x["quality"], x["reel"], x["movie"], x["capsule"]), x["name"]))
+        able = [x for x in ranked if x["quality"] >= (60 if x["video"] else 65) or x["uses"]]
+        want = {x["id"]: "selected for " + ",".join(x["uses"]) if x["uses"] else "selected by quality threshold" for x in able[:12]}
+        for x in ranked[: max(0, min(12, max(4, round(len(part) * 0.2))) - len(able))]:
+            want.setdefault(x["id"], "selected by media-set quota")
+        have = sum(int(x["seconds"] * 1000) for x in part if x["id"] in want and x["video"])
+        for x in sorted((x for x in part if x["video"]), key=lambda x: (-x["movie"], -x["reel"], -x["fit"], x["name"])):
+            if have >= 60_000 or len(want) >= 12:
+                break
+            if x["id"] not in want and (x["movie"] >= 68 * 0.7 or x["reel"] >= 72 * 0.7):
+                want[x["id"]] = "selected to preserve activity video runtime"
+                have += int(x["seconds"] * 1000)
+        assert all(got[x["id"]] == want.get(x["id"], "below configured quality and purpose thresholds") for x in part)
+
+
 def test_sessions_cap(spark):
     rows = spark.createDataFrame([(1, float(i)) for i in range(95)] + [(1, 1000.0)], "u int, at double")
     got = sessions.sessionize(rows, ["u"], ["at"], F.col("at"), 300.0, 40).groupBy("session").count().collect()
@@ -124,6 +179,28 @@ def movie(width, height, seconds):
     return struct.pack(">I4s", 16, b"ftyp") + b"isom\0\0\0\0" + struct.pack(">I4s", 8 + len(mvhd) + len(trak), b"moov") + mvhd + trak
 
 
+def box(name, body):
+    return struct.pack(">I4s", 8 + len(body), name) + body
+
+
+def test_headers_anywhere_in_a_file(spark, tmp_path):
+    """A movie header behind a megabyte of data, image sizes of a HEIC, dates beyond reason, stray bytes in a JPEG."""
+    whole = movie(1280, 720, 7)
+    late = whole[:16] + box(b"mdat", bytes(1_200_000)) + whole[16:]
+    old = late.replace(struct.pack(">I", media.MAC_EPOCH + 1_700_000_000), struct.pack(">I", 5))
+    sizes = b"".join(box(b"ispe", struct.pack(">III", 0, w, h)) for w, h in ((320, 240), (4032, 3024), (160, 120)))
+    heic = box(b"ftyp", b"heic" + bytes(4)) + box(b"mdat", bytes(400_000)) + box(b"meta", bytes(4) + box(b"iprp", box(b"ipco", sizes)))
+    photo = jpeg(640, 480, "2024:05:06 07:08:09")
+    stray = photo[:2] + b"\x00\x12" + photo[2:]
+    for name, data in {"late.mov": late, "old.mp4": old, "p.heic": heic, "s.jpg": stray, "n.mp4": box(b"ftyp", b"isom" + bytes(4))}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.relative_path: r for r in media.scan(spark, f"file://{tmp_path}").collect()}
+    assert (got["late.mov"].width, got["late.mov"].duration_seconds, got["late.mov"].capture_date_source, got["late.mov"].note) == (1280, 7.0, "metadata", None)
+    assert (got["old.mp4"].duration_seconds, got["old.mp4"].capture_date_source) == (7.0, "modified")
+    assert (got["p.heic"].width, got["p.heic"].height, got["s.jpg"].width, got["s.jpg"].capture_date_source) == (4032, 3024, 640, "metadata")
+    assert got["n.mp4"].note == "dimensions not found; duration not found"
+
+
 def test_media_scan(spark, tmp_path):
     (tmp_path / "trip").mkdir()
     for name, data in {"a.PNG": png(640, 480), "trip/b.jpg": jpeg(4000, 3000, "2024:05:06 07:08:09"), "trip/c.mp4": movie(1920, 1080, 12), "trip/d.jpg": b"\xff\xd8\xff", "e.txt": b"no", "f.png": b"?"}.items():
