@@ -76,17 +76,12 @@ def merge_small_sessions(t: Tables) -> DataFrame:
     return m.withColumn("opens", opens).select("user_id", F.sum("opens").over(w).alias("moment"), "session", "n")
 
 
-@query()
+@query("""WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id, user_id, i * ((n + 24) // 25) // n + 1 AS moment FROM r""")
 def split_to_target(t: Tables) -> DataFrame:
-    """Each user's events cut into runs of at most 25, of nearly equal size."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "event_id"])
-        sizes = selection.split_sizes(len(group), 25)
-        group["moment"] = [k + 1 for k, n in enumerate(sizes) for _ in range(n)]
-        return group[["event_id", "user_id", "moment"]]
-
-    return t.events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(run, "event_id long, user_id long, moment long")
+    """Each user's events cut into as few runs of at most 25 as there can be, of nearly equal size."""
+    w = Window.partitionBy("user_id")
+    r = t.events.select("event_id", "user_id", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    return r.select("event_id", "user_id", (F.floor(F.col("i") * F.ceil(F.col("n") / 25) / F.col("n")) + 1).alias("moment"))
 
 
 @query("""SELECT conv_id, count(*) AS n_assets, min(turn) AS first_turn, max(turn) AS last_turn, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id""")
@@ -106,14 +101,15 @@ def scene_boundaries(t: Tables) -> DataFrame:
     return d.where(F.col("motion") >= F.greatest(1.9 * F.col("mean"), F.lit(14))).select("event_id", "user_id", F.lead("event_id").over(w).alias("next_boundary"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, {_EPOCH} AS x FROM events), n AS (SELECT a.event_id, arg_min(b.event_id, {{'x': b.x, 'e': b.event_id}}) AS follower FROM e a JOIN e b ON a.user_id = b.user_id AND b.x - a.x >= 86400.0 GROUP BY 1),
+k AS (SELECT arg_min(event_id, {{'x': x, 'e': event_id}}) AS event_id, user_id FROM e GROUP BY user_id UNION ALL SELECT follower, user_id FROM k JOIN n ON n.event_id = k.event_id) SELECT event_id, user_id FROM k""")
 def debounced_boundaries(t: Tables) -> DataFrame:
     """Events of each user that come at least a day after the last one kept."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return selection.spaced(group.sort_values(["at", "event_id"]), "at", 86_400.0)[["event_id", "user_id"]]
+    def fold(group: list[dict]) -> list[dict]:
+        return selection.spaced(sorted(group, key=lambda r: (r["at"], r["event_id"])), "at", 86_400.0)
 
-    return t.events.select("event_id", "user_id", seconds(F.col("ts")).alias("at")).groupBy("user_id").applyInPandas(run, "event_id long, user_id long")
+    return selection.by_group(t.events.select("event_id", "user_id", seconds(F.col("ts")).alias("at")), ["user_id"], fold, "event_id long, user_id long, at double").select("event_id", "user_id")
 
 
 @query(f"""WITH p AS (SELECT user_id, floor({_EPOCH}) AS x, lag(floor({_EPOCH})) OVER (PARTITION BY user_id ORDER BY floor({_EPOCH})) AS b FROM events)
@@ -341,7 +337,11 @@ def budgeted_selection(t: Tables) -> DataFrame:
     return selection.select_by(_candidates(t), ["user_id"], passes, selection.Limits(most=24, seconds=900.0), "event_id").select("event_id", "user_id", "pick", "why")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SPANS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS i FROM sp),
+f AS (SELECT event_id, user_id, i, true AS kept, 1 AS n, [start_s] AS a, [end_s] AS b FROM o WHERE i = 1
+  UNION ALL SELECT event_id, user_id, i, ok, n + CASE WHEN ok THEN 1 ELSE 0 END, CASE WHEN ok THEN list_append(a, start_s) ELSE a END, CASE WHEN ok THEN list_append(b, end_s) ELSE b END
+  FROM (SELECT o.*, n, a, b, n < 3 AND len(list_filter(range(1, len(a) + 1), lambda k: start_s < b[k] + 300.0 AND a[k] < end_s + 300.0)) = 0 AS ok FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1) z)
+SELECT event_id, user_id, n::BIGINT AS pick, 0::BIGINT AS why FROM f WHERE kept""")
 def top_windows_nms(t: Tables) -> DataFrame:
     """The three best windows of each user that do not overlap within five minutes."""
     limits = selection.Limits(most=3, source="user_id", apart=300.0)
@@ -356,15 +356,37 @@ def album_selection(t: Tables) -> DataFrame:
     return selection.select_by(rows.withColumn("duration", F.lit(1.0)), ["label"], (selection.Pass(("-score",)),), limits, "vec_id").select("vec_id", "label", "pick", "why")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SPANS}, o AS (SELECT event_id, user_id, event_type AS y, value, end_s - start_s AS d, row_number() OVER (PARTITION BY user_id ORDER BY start_s, event_id) AS i, sum(end_s - start_s) OVER (PARTITION BY user_id) AS total FROM sp),
+f AS (SELECT event_id, user_id, i, y AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS c, 0.0::DOUBLE AS dropped, true AS kept FROM o WHERE i = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.i, CASE WHEN gone THEN a ELSE y END, CASE WHEN gone THEN b ELSE a END, CASE WHEN gone THEN c ELSE b END, dropped + CASE WHEN gone THEN d ELSE 0.0 END, NOT gone
+  FROM (SELECT o.*, a, b, c, dropped, coalesce(y = a, false) OR coalesce(y = b, false) OR coalesce(y = c, false) AS again, (coalesce(y = a, false) OR coalesce(y = b, false) OR coalesce(y = c, false)) AND value < 92.0 AND total - dropped - d >= 0.45 * total AS gone FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1) o)
+SELECT event_id, user_id FROM f WHERE kept""")
 def repetition_filter(t: Tables) -> DataFrame:
     """Events of a type seen among the last three kept go, unless they score high or too little would stay."""
-    rows = _spans(t).withColumn("duration", F.col("end_s") - F.col("start_s"))
+    rows = _spans(t).select("event_id", "user_id", "event_type", "value", "start_s", (F.col("end_s") - F.col("start_s")).alias("duration"))
+
+    def fold(group: list[dict]) -> list[dict]:
+        kept = selection.thin(sorted(group, key=lambda r: (r["start_s"], r["event_id"])), "event_type", "value", 92.0, 0.45, 3)
+        return [{"event_id": r["event_id"], "user_id": r["user_id"]} for r in kept]
+
+    return selection.by_group(rows, ["user_id"], fold, "event_id long, user_id long")
+
+
+@query(f"""WITH RECURSIVE {_SPANS}, o AS (SELECT event_id, user_id, value, (event_id % 5)::INTEGER AS stage, row_number() OVER (PARTITION BY user_id ORDER BY start_s, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM sp),
+f AS (SELECT event_id, user_id, i, true AS kept, 1 AS size, CASE WHEN stage <= 1 THEN 1 ELSE 0 END AS setup, stage >= 3 AS started FROM o WHERE i = 1
+  UNION ALL SELECT event_id, user_id, i, NOT gone, size + CASE WHEN gone THEN 0 ELSE 1 END, setups, started OR (NOT gone AND stage >= 3)
+  FROM (SELECT q.*, n - size > greatest(10, floor(n * 0.48)) AND stage <= 1 AND CASE WHEN started THEN value < 90 ELSE setups > 4 AND value < 150 END AS gone
+    FROM (SELECT o.*, f.size, f.started, f.setup + CASE WHEN o.stage <= 1 AND NOT f.started THEN 1 ELSE 0 END AS setups FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1) q) z)
+SELECT event_id, user_id FROM f WHERE kept""")
+def story_regressions(t: Tables) -> DataFrame:
+    """A story does not go back: early stages go once a late one has come, unless they score high or too little would stay."""
+    rows = _spans(t).select("event_id", "user_id", "start_s", (F.col("event_id") % 5).alias("stage"), (F.col("value") >= 150).alias("strong"), (F.col("value") >= 90).alias("closing"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return selection.thin(group.sort_values(["start_s", "event_id"]), "event_type", "value", 92.0, 0.45, 3)[["event_id", "user_id"]]
+    def fold(group: list[dict]) -> list[dict]:
+        kept = selection.without_regressions(sorted(group, key=lambda r: (r["start_s"], r["event_id"])), "stage", "strong", "closing")
+        return [{"event_id": r["event_id"], "user_id": r["user_id"]} for r in kept]
 
-    return rows.groupBy("user_id").applyInPandas(run, "event_id long, user_id long")
+    return selection.by_group(rows, ["user_id"], fold, "event_id long, user_id long")
 
 
 @query()

@@ -6,7 +6,6 @@ import sys
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,28 +59,79 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_selection_obeys_limits():
+def plainly_selected(records, passes, limits, key):
+    """The kernel's rules, one by one, without any of its shortcuts."""
+    out = []
+    for number, p in enumerate(passes):
+        rest = [r for r in records if not p.where or r[p.where]]
+        rest.sort(key=lambda r: r[key])
+        for column in p.order[::-1]:
+            rest.sort(key=lambda r: -r[column[1:]] if column[0] == "-" else r[column])
+        n = 0
+        for r in rest:
+            chosen = [x for x, _ in out]
+            total = sum(x["duration"] for x in chosen)
+            if p.take is not None and n == p.take or p.until_seconds is not None and total >= p.until_seconds:
+                break
+            bad = any(x[key] == r[key] for x in chosen) or len(chosen) >= limits.most
+            bad |= limits.seconds is not None and bool(chosen) and total + r["duration"] > limits.seconds + limits.slack
+            bad |= not p.relaxed and any(sum(x[c] == r[c] for x in chosen) >= m for c, m in limits.caps.items())
+            bad |= bool(limits.source) and any(x[limits.source] == r[limits.source] and r["start_s"] < x["end_s"] + limits.apart and x["start_s"] < r["end_s"] + limits.apart for x in chosen)
+            bad |= bool(limits.similar) and any(bin((x[limits.similar] ^ r[limits.similar]) & (2**64 - 1)).count("1") <= limits.similar_bits for x in chosen)
+            if not bad:
+                out.append((r, number))
+                n += 1
+    return [(r[key], number) for r, number in out]
+
+
+def test_selection_equals_plain_rules():
     r = random.Random(4)
-    for _ in range(40):
-        rows = pd.DataFrame([{"k": i, "score": r.random(), "kind": r.choice("abc"), "src": r.choice("xy"), "start_s": (s := r.random() * 100), "end_s": s + r.random() * 10, "must": r.random() < 0.2} for i in range(30)])
-        rows["duration"] = rows["end_s"] - rows["start_s"]
-        limits = selection.Limits(most=9, seconds=30.0, slack=1.0, caps={"kind": 3}, source="src", apart=0.25)
-        got = selection.select(rows, (selection.Pass(("-score",), where="must", take=2), selection.Pass(("-score",))), limits, "k")
-        assert len(got) <= 9 and got["k"].is_unique and got["kind"].value_counts().max() <= 3
-        assert len(got) == 1 or got["duration"].sum() <= 31
-        for _, part in got.sort_values("start_s").groupby("src"):
-            assert all(b >= a + 0.25 for a, b in zip(part["end_s"], part["start_s"].iloc[1:]))
-        again = selection.select(rows.sample(frac=1, random_state=1).reset_index(drop=True), (selection.Pass(("-score",), where="must", take=2), selection.Pass(("-score",))), limits, "k")
-        assert list(again["k"]) == list(got["k"])  # whatever the order of the input
-
-
-def test_water_fill_and_splits():
+    for _ in range(400):
+        rows = [{"k": i, "score": r.randint(0, 9) / 2, "kind": r.choice("abc"), "src": r.choice("xy"), "start_s": (s := float(r.randint(0, 60))), "end_s": s + r.randint(0, 9), "must": r.random() < 0.2, "bits": r.getrandbits(6)} for i in range(30)]
+        for x in rows:
+            x["duration"] = x["end_s"] - x["start_s"]
+        passes = [selection.Pass(r.choice([("-score",), ("start_s",), ("-score", "start_s"), ("kind", "-score")]), r.choice([None, "must"]), r.choice([None, 2, 5]), r.random() < 0.3, r.choice([None, 20.0])) for _ in range(r.randint(1, 4))]
+        limits = selection.Limits(r.choice([3, 9, 99]), r.choice([None, 30.0]), r.choice([0.0, 1.0]), r.choice([{}, {"kind": 3}, {"kind": 2, "src": 4}]), r.choice([None, "src"]), r.choice([0.0, 0.25, 4.0]), r.choice([None, "bits"]), 1)
+        want = plainly_selected(list(rows), passes, limits, "k")
+        r.shuffle(rows)  # whatever the order of the input
+        assert [(rows[i]["k"], why) for i, why in selection.select(rows, passes, limits, "k")] == want
+
+
+def test_folds_equal_plain_rules():
+    r = random.Random(6)
+    for _ in range(300):
+        rows = [{"k": i, "kind": r.choice("abcd"), "score": r.random() * 100, "duration": float(r.randint(1, 9)), "at": float(r.randint(0, 400))} for i in range(r.randint(0, 40))]
+        out, gone = [], 0.0
+        for x in rows:
+            if x["kind"] in [y["kind"] for y in out[-3:]] and x["score"] < 92 and sum(y["duration"] for y in rows) - gone - x["duration"] >= 0.45 * sum(y["duration"] for y in rows):
+                gone += x["duration"]
+            else:
+                out.append(x)
+        assert selection.thin(rows, "kind", "score", 92.0, 0.45, 3) == out
+        rows.sort(key=lambda x: x["at"])
+        kept = selection.spaced(rows, "at", 25.0)
+        assert all(b["at"] - a["at"] >= 25 for a, b in zip(kept, kept[1:])) and all(any(0 <= x["at"] - k["at"] < 25 for k in kept) for x in rows)
+
+
+def test_groups_are_folded_whole(spark):
+    rows = spark.range(20_000).select((F.col("id") % 37).alias("g"), F.col("id").alias("v"))
+    got = selection.by_group(rows, ["g"], lambda group: [{"g": group[0]["g"], "n": len(group), "total": sum(x["v"] for x in group)}], "g long, n long, total long")
+    want = rows.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert selection.by_group(rows.limit(0), ["g"], lambda group: group, "g long, v long").count() == 0
+
+
+def test_water_fill():
     filled = selection.water_fill({"a": 10, "b": 10, "c": 10}, {"a": 2, "b": 100, "c": 12}, {"a": 1, "b": 1, "c": 3})
     assert abs(sum(filled.values()) - 30) < 0.02 and filled["a"] == 2 and filled["c"] <= 12
     assert selection.water_fill({"a": 5}, {"a": 1}, {"a": 1}) == {"a": 1}
-    for n in range(0, 200, 7):
-        sizes = selection.split_sizes(n, 25)
-        assert sum(sizes) == n and all(0 < s <= 25 for s in sizes)
+    r = random.Random(3)
+    for _ in range(200):
+        keys = "abcdef"[: r.randint(1, 6)]
+        targets, room, weights = ({k: r.uniform(0, 20) for k in keys} for _ in range(3))
+        got = selection.water_fill(targets, room, weights)
+        assert all(got[k] <= room[k] + 1e-9 and got[k] >= min(targets[k], room[k]) - 1e-9 for k in keys)
+        assert abs(sum(got.values()) - min(sum(targets.values()), sum(room.values()))) < 0.1
 
 
 def test_intervals(spark):
