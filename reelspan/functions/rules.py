@@ -26,6 +26,20 @@ STORY_ROLES = {
 }
 PAYOFF_BONUS = {("water_speed_run",): 28.0, ("lit_tunnel",): 18.0, ("speed_action",): 12.0, ("mud_water_run", "water_crossing"): 10.0}
 
+HIGHLIGHT_BONUS = {
+    "hero_action": 10.0,
+    "water_crossing": 8.0,
+    "water_speed_run": 12.0,
+    "mud_water_run": 8.0,
+    "lit_tunnel": 12.0,
+    "speed_action": 6.0,
+    "group_reaction": 10.0,
+    "face_visible": 8.0,
+    "people_visible": 6.0,
+    "ground_only": -30.0,
+    "weak_close_pov": -46.0,
+}
+
 
 def _in(values: Sequence[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
@@ -61,6 +75,14 @@ def any_tag(tags: str, wanted: Sequence[str]) -> Column:
     return F.arrays_overlap(tags, F.array(*map(F.lit, wanted)))
 
 
+def tag_bonus(tags: str, gains: dict[str, float]) -> Column:
+    """The sum of what each tag of a list adds or takes away."""
+    total = F.lit(0.0)
+    for tag, gain in gains.items():
+        total = total + F.when(F.array_contains(tags, tag), gain).otherwise(0.0)
+    return total
+
+
 def payoff_bonus(tags: str) -> Column:
     """What a late row gains by its tags."""
     total = F.lit(0.0)

@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from reelspan import __main__ as cli
+from reelspan import phases
 from reelspan.functions import scalars
 from reelspan.operators import selection
-from reelspan.sources import media_sets, reports
+from reelspan.plans import QUERIES
+from reelspan.sources import manifests, media_sets, reports
 from reelspan.streaming import moments, stateful
 
 CONFIG = {"media_sets": {"rafting": {"activity": "River", "folder": "raft"}, "old": {"enabled": False}, "plain": None}}
@@ -98,3 +101,31 @@ def test_late_rows_are_left_out(spark, tmp_path):
     assert sorted((str(r[1])[11:13], r[3]) for r in slid if str(r[1]).startswith("2024-01-01")) == [("00", 1), ("01", 2), ("02", 1)]
     first = streamed(spark, tmp_path, [[hour(1, 5), hour(2, 6)], [hour(2, 7), hour(3, 5)]], schema, timed(lambda s: moments.first_seen(s, "value")), "first")
     assert sorted(r[2] for r in first) == [5.0, 6.0, 7.0]
+
+
+def test_phases(spark, tmp_path):
+    assert phases.skip_tokens(["a, B", "", "03"]) == {"a", "b", "03"}
+    assert phases.is_skipped(phases.BY_COMMAND["quality-scoring"], {"03"}) and not phases.is_skipped(phases.BY_COMMAND["reel-builder"], {"9x"})
+    config = {"modules": {"story_builder": {"enabled": True}, "album_builder": {"enabled": False}}}
+    tables, out = "/root/testdata/sf0.001", f"file://{tmp_path}/out"
+    planned = dict(phases.run(spark, tables, out, config, skip=["inventory,2"]))
+    assert planned["inventory"] == planned["duplicate-detection"] == "skipped" and planned["story-builder"] == "planned" and planned["album-builder"] == "disabled"
+    assert not (tmp_path / "out").exists()
+    with pytest.raises(ValueError, match="nothing"):
+        phases.run(spark, tables, out, config, only=["nothing"])
+    assert phases.run(spark, tables, out, config, only=["story-builder"], execute=True) == [("story-builder", "done")]
+    beats = manifests.read_manifest(spark, f"{out}/05_story_builder/story_beats", "event_id long, chapter string, beat string")
+    assert sorted(map(tuple, beats.collect())) == sorted(map(tuple, QUERIES["story_beats"](spark, tables).select("event_id", "chapter", "beat").collect()))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    assert cli.main(["phases"]) == 0 and "story-builder" in capsys.readouterr().out
+    assert cli.main(["query", "moment_roles", "--tables", "/root/testdata/sf0.001", "--out", f"file://{tmp_path}/q"]) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/q").count() == QUERIES["moment_roles"](spark, "/root/testdata/sf0.001").count()
+    assert cli.main(["run", "reel-builder", "--tables", "x", "--out", "y"]) == 0 and "disabled" in capsys.readouterr().out
+
+
+def test_manifest_by_media_set(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", "a"), ("s2", "b"), ("s2", "c")], "media_set string, name string")
+    manifests.write_manifest(rows, f"file://{tmp_path}/m", by="media_set")
+    assert {r.name for r in manifests.read_manifest(spark, f"file://{tmp_path}/m/media_set=s2", "name string").collect()} == {"b", "c"}
