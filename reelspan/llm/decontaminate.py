@@ -67,7 +67,7 @@ def canonical(tokens_column: str, names: bool = True) -> Column:
         return (
             F.when(_is_number(t), "<num>")
             .when(F.lit(names) & ((t < "a") | (t >= "\u0080") & t.rlike(r"^\p{Lu}")), "<name>")
-            .when(_is_number(before) & t.isin(*UNITS), "<unit>")
+            .when(t.isin(*UNITS) & _is_number(before), "<unit>")
             .otherwise(t)
         )
 
