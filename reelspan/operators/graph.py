@@ -20,7 +20,8 @@ HUBS_BROADCAST = 200_000  # hubs whose list is broadcast; more of them are left
 def _with_least(near: DataFrame) -> DataFrame:
     """near (a, b) with low, the least of a and its neighbours."""
     least = near.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
-    hubs = scratch.written(least.where("parts > 1").select("a", "parts"), "hubs")
+    least = scratch.written(least, "least")  # read twice
+    hubs = least.where("parts > 1").select("a", "parts")
     if not 0 < hubs.count() <= HUBS_BROADCAST:
         return near.join(least.drop("parts"), "a")
     dealt = near.join(F.broadcast(hubs), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))

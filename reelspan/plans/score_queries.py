@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.scalars import letter_hash
 from ..operators import graph, similarity
+from ..sources import scratch
 from .registry import LETTER_HASH, Tables, query
 
 _SIGNALS = """x AS (SELECT event_id, user_id, event_type, ts, least(value, 100.0) AS motion, least(value * 2, 100.0) AS audio, 100.0::DOUBLE - least(value, 100.0) AS story, (event_id % 101)::DOUBLE AS technical,
@@ -75,7 +76,7 @@ SELECT node AS doc_id, root AS keeper, CAST(best AS INTEGER) AS best_distance FR
 def near_duplicate_groups(t: Tables) -> DataFrame:
     """Components of the hashes within one bit (each by its least document), their keeper, and the distance of their closest pair as the reason."""
     hashes = t.documents.select("doc_id", letter_hash(F.coalesce("text", F.lit(" "))).alias("bits")).groupBy("bits").agg(F.min("doc_id").alias("doc"))
-    pairs = similarity.hamming_pairs(hashes, "doc", "bits", 1)
+    pairs = scratch.written(similarity.hamming_pairs(hashes, "doc", "bits", 1), "pairs")
     roots = graph.connected_components(pairs.select("a", "b"))
     best = pairs.join(roots, pairs["a"] == roots["node"]).groupBy("root").agg(F.min("distance").alias("best_distance"))
     return roots.join(best, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"), "best_distance")
