@@ -13,10 +13,10 @@ from .registry import LETTER_HASH, Tables, query
 
 
 @query("""SELECT doc_id, lower(source) AS media_set, CASE WHEN n_chars >= 4000 THEN 'long' WHEN n_chars >= 1000 THEN 'medium' ELSE 'short' END AS kind, lang
-FROM documents WHERE lang IN ('en', 'fr') AND n_chars > 0""")
+FROM documents WHERE n_chars > 0""")
 def inventory_scan(t: Tables) -> DataFrame:
     kind = F.when(F.col("n_chars") >= 4000, "long").when(F.col("n_chars") >= 1000, "medium").otherwise("short")
-    return t.documents.where(F.col("lang").isin("en", "fr") & (F.col("n_chars") > 0)).select("doc_id", F.lower("source").alias("media_set"), kind.alias("kind"), "lang")
+    return t.documents.where("n_chars > 0").select("doc_id", F.lower("source").alias("media_set"), kind.alias("kind"), "lang")
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS section,
@@ -40,6 +40,29 @@ def capture_fallback(t: Tables) -> DataFrame:
     return joined.select("o_orderkey", F.coalesce("first_ship", "o_orderdate").alias("capture_date"), F.when(F.col("first_ship").isNotNull(), "metadata").otherwise("created").alias("capture_source"))
 
 
+@query("""SELECT o_orderkey, c_name, n_name, r_name, coalesce(n_lines, 0) AS n_lines FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def enriched_rows(t: Tables) -> DataFrame:
+    """Rows with the names that their keys stand for, and a count from a table of details, aggregated before it is joined."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"))
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    named = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.join(lines, "o_orderkey", "left").select("o_orderkey", "c_name", "n_name", "r_name", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+@query("""WITH g AS (SELECT text, 'dup_' || min(doc_id) AS group_id, min(doc_id) AS keeper, count(*) AS members FROM documents GROUP BY 1 HAVING count(*) > 1)
+SELECT group_id, members, doc_id, keeper, doc_id = keeper AS is_keeper, CASE WHEN doc_id = keeper THEN 'keep' ELSE 'remove' END AS action, 'exact_sha256' AS duplicate_type, 100.0::DOUBLE AS confidence, source, lang, n_chars, CASE WHEN doc_id = keeper THEN '' ELSE 'same content as ' || keeper END AS reason, CAST(row_number() OVER (PARTITION BY group_id ORDER BY doc_id) AS INTEGER) AS position, sha256(text) AS digest FROM documents JOIN g USING (text)""")
+def duplicate_manifest(t: Tables) -> DataFrame:
+    """Every member of every group of copies, what becomes of it and why."""
+    d = t.documents.withColumn("digest", F.sha2("text", 256)).drop("text")
+    g = d.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("members")).where("members > 1")
+    kept = F.col("doc_id") == F.col("keeper")
+    return d.join(g, "digest").select(
+        F.concat(F.lit("dup_"), F.col("keeper").cast("string")).alias("group_id"), "members", "doc_id", "keeper", kept.alias("is_keeper"), F.when(kept, "keep").otherwise("remove").alias("action"), F.lit("exact_sha256").alias("duplicate_type"), F.lit(100.0).alias("confidence"),
+        "source", "lang", "n_chars", F.when(kept, "").otherwise(F.concat(F.lit("same content as "), F.col("keeper").cast("string"))).alias("reason"), F.row_number().over(Window.partitionBy("digest").orderBy("doc_id")).alias("position"), "digest",
+    )
+
+
 @query("SELECT p_name, p_type, p_size, min(p_retailprice) AS price FROM part GROUP BY ALL HAVING count(DISTINCT p_retailprice) = 1")
 def ambiguous_name_index(t: Tables) -> DataFrame:
     return t.part.groupBy("p_name", "p_type", "p_size").agg(F.min("p_retailprice").alias("price"), F.count_distinct("p_retailprice").alias("n")).where("n = 1").drop("n")
@@ -133,12 +156,12 @@ def purpose_rollup(t: Tables) -> DataFrame:
     return t.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("discount_percents"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{5,}') AS ws FROM documents),
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{5,}') AS ws FROM documents),
 f AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w) GROUP BY doc_id, x),
 r AS (SELECT doc_id, x, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rk FROM f)
 SELECT w.doc_id, coalesce(string_agg(x, ',' ORDER BY i), '') AS keywords FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND rk <= 12 GROUP BY w.doc_id""")
 def keyword_extract(t: Tables) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{5,}"), 0))
     return t.documents.select("doc_id", F.array_join(F.slice(words, 1, 12), ",").alias("keywords"))
 
 

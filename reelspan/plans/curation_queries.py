@@ -267,13 +267,13 @@ def album_candidates(t: Tables) -> DataFrame:
     return each.select("event_id", "media_set", "album_size", inside.alias("selected"), reason.alias("reason"))
 
 
-@query(f"""WITH {_ASSETS} SELECT event_id, 'set_' || media_set || '/' || name AS path, regexp_replace(name, '\\.[^.]+$', '') AS stem, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS suffix, 'scenes/' || regexp_replace(lower(regexp_replace(name, '\\.[^.]+$', '')), '[^a-z0-9]+', '_', 'g') || '.csv' AS scenes,
+@query(f"""WITH {_ASSETS} SELECT event_id, 'set_' || media_set || '/' || name AS path, regexp_replace(name, '\\.[^.]+$', '') AS stem, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS suffix, CASE WHEN video THEN 'video/' ELSE 'photo/' END || lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS media_type, 'scenes/' || regexp_replace(lower(regexp_replace(name, '\\.[^.]+$', '')), '[^a-z0-9]+', '_', 'g') || '.csv' AS scenes,
   strftime(ts, '%Y-%m-%dT%H:%M') AS minute, array_to_string(list_transform(string_split(replace(moment_type, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM m""")
 def processing_manifest(t: Tables) -> DataFrame:
     """One row an asset that points at its stages' outputs; paths, minutes and titles as text."""
     stem = F.regexp_replace("name", r"\.[^.]+$", "")
     return assets(t).select(
-        "event_id", F.concat(F.lit("set_"), F.col("media_set").cast("string"), F.lit("/"), F.col("name")).alias("path"), stem.alias("stem"), F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("suffix"),
+        "event_id", F.concat(F.lit("set_"), F.col("media_set").cast("string"), F.lit("/"), F.col("name")).alias("path"), stem.alias("stem"), F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("suffix"), F.concat(F.when(F.col("video"), "video/").otherwise("photo/"), F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))).alias("media_type"),
         F.concat(F.lit("scenes/"), F.regexp_replace(F.lower(stem), "[^a-z0-9]+", "_"), F.lit(".csv")).alias("scenes"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("minute"), F.initcap(F.replace("moment_type", F.lit("_"), F.lit(" "))).alias("title"),
     )
 
