@@ -1,5 +1,6 @@
 """The dealt methods against brute force, and hostile inputs: shared lines, suffix arrays, guess costs, hot shards, hub nodes."""
 
+import itertools
 import random
 import time
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("reelspan.llm")
-from reelspan.llm import html_extract, license_scan, license_texts, quality_crf, quality_rules, secret_scan, simhash  # noqa: E402
+from reelspan.llm import html_extract, license_scan, license_texts, near_dedup, quality_crf, quality_rules, secret_scan, simhash  # noqa: E402
 from reelspan.operators import graph  # noqa: E402
 
 from .test_operators import brute_components, prose, table  # noqa: E402
@@ -182,3 +183,53 @@ def test_crf_sample_is_bounded_by_lines_not_by_size(spark):
         field = quality_crf.fitted(table(spark, rows), labels, quality_crf.FieldConfig(fit_lines=bound, steps=3))
         assert field is not None and np.isfinite(field.weights).all()
     assert quality_crf.fitted(table(spark, [(i, " ", "s") for i in range(30)]), labels) is None
+
+
+def test_hot_buckets_of_near_copies_equal_brute_force(spark):
+    """Variants that link by a common text only, chains of edits, and pairs among texts of one template: all three steps of a hot bucket decide some."""
+    r = random.Random(9)
+
+    def changed(words, n, tag):
+        words = list(words)
+        for at in r.sample(range(5, len(words) - 5), n):
+            words[at] = f"{tag}{r.randrange(10**6)}"
+        return words
+
+    base = prose(300, 501).split()
+    texts = [base, *(changed(base, 5, "v") for _ in range(60))]
+    for _ in range(30):
+        texts.append(changed(texts[-1], 3, "c"))
+    template = prose(200, 502).split()
+    for k in range(40):
+        own = prose(60, 600 + k).split()
+        texts += [template + own, *([changed(template + own, 2, "p")] if k % 3 == 0 else [])]
+    r.shuffle(texts)
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    docs = table(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])
+    for bound, rows in ((4, 1), (16, 4)):  # one hash a band puts nearly all into hot buckets
+        assert {x.doc_id for x in near_dedup.one_of_each(docs, bound=bound, rows=rows).collect()} == set(label)
+
+
+def test_set_links_equal_all_pairs():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(70)]
+    asks = [bool(x) for x in r.integers(0, 2, 70)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert near_dedup.common_counts(sets, np.arange(70), step=7).tolist() == want
+    for labels, asking in ((None, None), (None, asks), ([i % 50 for i in range(70)], asks)):
+        start = labels or list(range(70))
+        joined = connected({(a, b) for a, b in itertools.combinations(range(70), 2) if (asking is None or asks[a] or asks[b]) and want[a][b] >= 0.5 * (len(sets[a]) + len(sets[b]) - want[a][b])}, start)
+        assert connected(set(near_dedup.set_links(sets, 0.5, labels, asking)), start) == joined and len(set(joined)) < len(set(start))
+
+
+def connected(pairs, start):
+    label = list(start)
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    return [min(i for i, x in enumerate(label) if x == y) for y in label]
