@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, license_scan, packing, quality_crf, quality_rules, secret_scan, simhash, token_counts
+from . import asof_join, chat_format, decontaminate, html_extract, license_scan, packing, quality_crf, quality_rules, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,9 +199,46 @@ WHERE n_windows / size >= 0.5 AND coalesce(least(a.most, b.most) / a.n, 1.0) >=
 """
 
 
+def op11_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks, sales = asof_join.distinct_clicks(_table(spark, sf_dir, "clicks")), asof_join.orders_of(_table(spark, sf_dir, "sales"))
+    return asof_join.asof_matches(clicks, sales, hours=240)
+
+
+def _crc32(column: str) -> str:
+    """DuckDB has no crc32: the digits' code points, bit by bit."""
+    codes = f"list_transform(range(1, length({column}::VARCHAR) + 1), lambda k: ascii(({column}::VARCHAR)[k])::BIGINT)"
+    step = "list_reduce(range(0, 8)::BIGINT[], lambda x, s: xor(x >> 1, (x & 1) * 3988292384), xor(c, b))"
+    return f"xor(4294967295::BIGINT, list_reduce({codes}, lambda c, b: {step}, 4294967295::BIGINT))"
+
+
+OP11_SQL = f"""
+WITH c AS (
+  SELECT click_id, client_id, epoch_us(ts) AS ts, {_crc32("click_id")} AS h FROM clicks
+), click AS (
+  SELECT click_id, unnest(max(struct_pack(ts_us := CASE WHEN h % 2 = 1 THEN ts - ((ts % 3600000000) + 3600000000) % 3600000000 ELSE ts END, client_id := client_id))) FROM c GROUP BY click_id
+), s AS (
+  SELECT client_id, epoch_us(sold_at) AS t_us, sale_id, priority, CAST(floor(100 * total + 0.5) AS BIGINT) AS total_cents, {_crc32("sale_id")} AS h FROM sales
+), f AS (
+  SELECT * REPLACE (CASE WHEN h % 2 = 1 THEN t_us - ((t_us % 3600000000) + 3600000000) % 3600000000 ELSE t_us END AS t_us) FROM s
+), o AS (
+  SELECT client_id, t_us, sale_id, priority, total_cents FROM f UNION ALL SELECT client_id, t_us, -1 - sale_id, 6 - priority, total_cents FROM f WHERE h % 3 <> 0
+), n AS (
+  SELECT client_id, t_us, count(*) AS n_tied FROM o WHERE client_id IS NOT NULL AND t_us IS NOT NULL GROUP BY ALL
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id, t_us ORDER BY priority NULLS LAST, sale_id DESC NULLS LAST, total_cents DESC NULLS LAST) AS k FROM o) JOIN n USING (client_id, t_us) WHERE k = 1
+), m AS (
+  SELECT click.*, b.sale_id, b.t_us, b.total_cents, b.n_tied, b.t_us IS NOT NULL AND ts_us - b.t_us <= 240 * 3600000000 AS hit
+  FROM click ASOF LEFT JOIN best b ON click.client_id = b.client_id AND click.ts_us >= b.t_us
+)
+SELECT click_id, client_id, ts_us, CASE WHEN hit THEN sale_id END AS sale_id, CASE WHEN hit THEN ts_us - t_us END AS lag_us,
+  CASE WHEN hit THEN total_cents END AS total_cents, CASE WHEN hit THEN n_tied ELSE 0 END AS n_tied
+FROM m
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_html_extraction, op4_license_scan, op5_secret_scan, op6_quality_crf, op7_packing, op8_simhash, op9_chat_format, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_html_extraction, op4_license_scan, op5_secret_scan, op6_quality_crf, op7_packing, op8_simhash, op9_chat_format, op10_decontamination, op11_asof_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_license_scan": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_asof_join": OP11_SQL}
