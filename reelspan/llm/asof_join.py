@@ -156,7 +156,7 @@ def latest(clicks: DataFrame, points: DataFrame, tolerance: int, most: int = 32)
 
 def asof_matches(clicks: DataFrame, orders: DataFrame, hours: int = 240, most: int = 32) -> DataFrame:
     """One row for each distinct click of clicks (click_id, client_id, ts_us) with its match among orders (client_id, at_us, sale_id, priority, total_cents): sale_id, lag_us, total_cents, n_tied."""
-    clicks, points = shared.written(clicks, "clicks"), shared.written(points_of(orders), "points")
+    clicks, points = shared.written(clicks.select("click_id", "client_id", "ts_us"), "clicks"), shared.written(points_of(orders), "points")
     found = latest(clicks, points, hours * HOUR, most).select(F.col("click_id").alias("id"), "sale_id", F.col("at_us"), "total_cents", "n_tied")
     out = clicks.join(found.hint("merge"), F.col("click_id").eqNullSafe(F.col("id")), "left")
     return out.select("click_id", "client_id", "ts_us", "sale_id", (F.col("ts_us") - F.col("at_us")).alias("lag_us"), "total_cents", F.coalesce("n_tied", F.lit(0).cast("long")).alias("n_tied"))

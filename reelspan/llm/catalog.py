@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import asof_join, chat_format, decontaminate, embedding_dedup, html_extract, license_scan, packing, quality_crf, quality_rules, secret_scan, simhash, token_counts
+from . import asof_join, chat_format, conversation_repair, decontaminate, embedding_dedup, html_extract, license_scan, packing, quality_crf, quality_rules, secret_scan, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -240,8 +240,13 @@ def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return found.withColumn("repaired_sha256", F.sha2(conversation_repair.spelled_out(), 256)).drop("repaired")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_html_extraction, op4_license_scan, op5_secret_scan, op6_quality_crf, op7_packing, op8_simhash, op9_chat_format, op10_decontamination, op11_asof_join, op12_embedding_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_html_extraction, op4_license_scan, op5_secret_scan, op6_quality_crf, op7_packing, op8_simhash, op9_chat_format, op10_decontamination, op11_asof_join, op12_embedding_dedup, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -98,23 +98,6 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of each key, of batches that are sorted by it."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        columns = [now.column(k).to_numpy() for k in keys]
-        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        edges = [0, *starts.tolist()]
-        for a, b in zip(edges, edges[1:], strict=False):
-            yield now.slice(a, b - a)
-        held = now.slice(edges[-1])
-    if held is not None:
-        yield held
-
-
 def _sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the rows of a group's two blocks; of one block, all rows twice."""
     i, own = batch.column("i")[0].as_py(), batch.column("own").to_numpy()
@@ -154,7 +137,7 @@ def likely(rows: DataFrame, cosine: float) -> DataFrame:
     radius = math.ceil(SKETCH_BITS * p + 6 * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["filter", "i", "j"]):
+        for group in shared.key_groups(batches, ["filter", "i", "j"]):
             left, right = _sides(group)
             s = [group.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")]
             near = sum(np.bitwise_count(x[left][:, None] ^ x[right][None, :]).astype(np.uint8) for x in s) <= radius
@@ -188,7 +171,7 @@ def links(likely_rows: DataFrame, classes: DataFrame, cosine: float, codes: int,
     """(rep, other, n): the links of a vector counted in a group (n, with copies), and the root of its spanning tree there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["filter", "i", "j"]):
+        for group in shared.key_groups(batches, ["filter", "i", "j"]):
             left, right = _sides(group)
             _, values = next(_by_length(group.column("v")))
             units = unit(values)

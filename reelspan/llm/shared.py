@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, path_exists, shared_dir, written
 
-__all__ = ["Memo", "arrow_map", "byte_texts", "fresh", "new_path", "path_exists", "shared_dir", "text_of", "with_keys", "written"]
+__all__ = ["Memo", "arrow_map", "byte_texts", "fresh", "key_groups", "new_path", "path_exists", "shared_dir", "text_of", "with_keys", "written"]
 
 
 def text_of(column: str = "text") -> Column:
@@ -83,3 +84,20 @@ def with_keys(df: DataFrame, *more: str) -> tuple[DataFrame, list[str]]:
     a, b = fresh(df, "row_digest"), fresh(df, "row_doc")
     parts = [F.col(c) for c in ("text", *more)] + [F.col(c).isNull() for c in ("text", "doc_id", *more)]
     return df.withColumns({a: F.xxhash64(*parts), b: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))}), [a, b]
+
+
+def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key, of batches that are sorted by it. Keys hold no nulls."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        columns = [now.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *starts.tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield now.slice(a, b - a)
+        held = now.slice(edges[-1])
+    if held is not None:
+        yield held
