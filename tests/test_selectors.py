@@ -3,10 +3,12 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspan.operators import offers, selectors
+from reelspan.functions import terms
+from reelspan.operators import offers, repetition, selectors, sessions
 
 TAGS = ("water", "speed_action", "face_visible", "lit_tunnel", "scenic", "pool", "action_camera_pov", "water_crossing")
 
@@ -338,3 +340,107 @@ def test_rules_of_tags_and_empty_tables(spark):
     found = offers.chosen(rows, ["g"], "key", [offers.Turn([F.col("key")], ("tags",))], {"tags": offers.TagCap("tags", 1, {"a": 2})})
     assert sorted(x.key for x in found.collect()) == [0, 1, 3, 4]
     assert offers.chosen(rows.limit(0), ["g"], "key", [offers.Turn([F.col("key")], ("tags",), top=1)], {"tags": offers.TagCap("tags", 1)}).count() == 0
+
+
+def plainly_cut(at, starts, target, cap):
+    runs = [list(range(a, b)) for a, b in zip(starts, [*starts[1:], len(at)], strict=True)]
+    while len(runs) < target and max(map(len, runs)) > 1:
+        where = max(range(len(runs)), key=lambda k: (len(runs[k]), k))
+        run = runs[where]
+        n = len(run)
+        gap, j = max((at[run[j]] - at[run[j - 1]], j) for j in range(1, n))
+        cut = 1 if n <= 2 else j if gap > 5 and max(1, n // 4) <= j <= min(n - 1, n * 3 // 4) else n // 2
+        runs[where : where + 1] = [run[:cut], run[cut:]]
+    out = []
+    for run in runs:
+        parts = -(-len(run) // cap)
+        out += [run[round(i * len(run) / parts) : round((i + 1) * len(run) / parts)] for i in range(parts)]
+    return [run[0] for run in out if run]
+
+
+def test_runs_are_cut_to_a_target():
+    r = random.Random(11)
+    for _ in range(1500):
+        n = r.randrange(1, 60)
+        at = sorted(float(r.randrange(r.choice([5, 300, 3000]))) for _ in range(n))
+        starts = sorted({0, *(r.randrange(n) for _ in range(r.randrange(4)))})
+        target, cap = r.choice([0, 1, 3, 8, 100]), r.choice([1, 4, 9, 100])
+        assert sessions.cuts(np.array(at), starts, target, cap) == plainly_cut(at, starts, target, cap)
+
+
+def test_split_to_target_over_groups(spark):
+    r = random.Random(12)
+    rows = [(g, i, r.choice([None, float(r.randrange(4000))])) for g in range(60) for i in range(r.randrange(1, 50))]
+    frame = spark.createDataFrame(rows, "g long, key long, at double").withColumn("session", F.floor(F.coalesce("at", F.lit(1e6)) / 1500))
+    found = {(x.g, x.key): x.moment for x in sessions.split_to_target(frame, ["g"], "key", "at", "session", 6, 8).collect()}
+    assert len(found) == len(rows)
+    for g in range(60):
+        own = [(k, a) for h, k, a in rows if h == g]
+        last = max((a for _, a in own if a is not None), default=0.0)
+        own = sorted((last if a is None else a, k, 1e6 if a is None else a) for k, a in own)
+        named = [x[2] // 1500 for x in own]
+        starts = [i for i in range(len(own)) if i == 0 or named[i] != named[i - 1]]
+        begins = plainly_cut([x[0] for x in own], starts, 6, 8)
+        assert [found[g, x[1]] for x in own] == [sum(b <= i for b in begins) for i in range(len(own))]
+
+
+def test_repetition_by_reason(spark):
+    r = random.Random(13)
+    pool = ["water", "pool", "food", "scenic", "temple", "face_visible", "beach", "mountain", "rain"]
+    base = [[r.gauss(0, 1) for _ in range(6)] for _ in range(3)]
+    rows = []
+    for g in range(150):
+        for i in range(r.randrange(1, 40)):
+            tags = r.choice([None, [t for t in pool if r.random() < 0.25], ["beach", "scenic"], ["beach", "scenic", "face_visible"]])
+            vector = r.choice([None, [0.0] * 6, [1.0, None], *[[x + r.gauss(0, 0.3) for x in r.choice(base)] for _ in range(5)]])
+            rows.append({"g": g, "key": i, "at": float(r.randrange(50)), "seconds": r.choice([None, 1.0, 4.0]), "score": r.choice([None, 10.0, 95.0]), "faceless": r.choice([None, False, False, True]), "vector": vector, "tags": tags})
+    schema = "g long, key long, at double, seconds double, score double, faceless boolean, vector array<double>, tags array<string>"
+    frame = spark.createDataFrame([tuple(x[f.split()[0]] for f in schema.split(", ")) for x in rows], schema)
+    found = {(x.g, x.key): (x.kept, x.why) for x in repetition.judged(frame.select("*", *(c.alias(n) for n, c in repetition.signatures().items())), ["g"], "key").collect()}
+    share = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    for g in range(150):
+        own = sorted((x for x in rows if x["g"] == g), key=lambda x: (x["at"], x["key"]))
+        total = sum(x["seconds"] or 0 for x in own)
+        kept, gone = [], 0.0
+        for x in own:
+            tags = set(x["tags"] or ())
+            x["look"] = tags - set(repetition.GENERIC), tags & set(repetition.BACKGROUND), tuple(k for k, v in repetition.LAYOUT.items() if tags & set(v))
+            a, b, c = x["look"]
+            people = bool(tags & {"face_visible", "people_visible"})
+            close = sum(bool(c and c == z and max(share(a, y), share(b, w)) >= 0.72 or people and share(b, w) >= 0.72) for y, w, z in (k["look"] for k in kept[-2:]))
+            near = any(repetition.cosine(x["vector"], k["vector"]) >= 0.91 for k in kept[-6:])
+            if tags & set(repetition.PRESERVED):
+                want = True, "preserved"
+            elif x["faceless"]:
+                want = False, "faceless"
+            elif total - gone - (x["seconds"] or 0) < max(8.0, 0.45 * total):
+                want = True, "too_little_left"
+            elif close < 2 and not near:
+                want = True, "new"
+            elif (x["score"] or 0) >= 92:
+                want = True, "high_score"
+            else:
+                want = False, "similar_tags" if close >= 2 else "similar_vector"
+            assert found[g, x["key"]] == want
+            if want[0]:
+                kept.append(x)
+            else:
+                gone += x["seconds"] or 0
+    assert {w for _, w in found.values()} == {"preserved", "faceless", "too_little_left", "new", "high_score", "similar_tags", "similar_vector"}
+
+
+def test_terms_and_globs(spark):
+    texts = [(0, "A walk by the River"), (1, None), (2, ""), (3, "GoPro POV, fast turns"), (4, "x" * 50_000 + " helmet cam"), (5, "nothing"), (6, "turn turn TURN")]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in texts], "k long, t string, words string")
+    want = {(i, term) for i, t in texts for term in terms.ALIASES if any(n in (t or "").lower() for n in terms.needles(term))}
+    for block in (50_000, 7):  # one automaton, and several
+        got = [tuple(x) for x in terms.term_hits(frame, "k", "t", terms.alias_table(spark), block).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert terms.term_hits(frame, "k", "t", terms.alias_table(spark).limit(0)).count() == 0
+    row = frame.where("k = 3").select(*(terms.says(F.lower("t"), x).alias(x) for x in ("gopro", "mud", "fast_turns"))).first()
+    assert tuple(row) == (True, False, True)
+    paths = ["trips/Bali/IMG_1.mov", "trips/IMG_22.MOV", "a[1].jpg", "b^&.x", None, "x.y"]
+    cases = {"trips/*.mov": [1], "**.mov": [0, 1], "**/img_?.mov": [0], "IMG_": [0, 1], "a[[]1].jpg": [2], "?[!x]y": [5], "?[!.]y": [], "x[.]y": [5], "b[&^]?.x": [3], "[x": []}
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    for pattern, expected in cases.items():
+        assert [x.i for x in table.where(terms.glob(F.col("p"), pattern)).orderBy("i").collect()] == expected, pattern
