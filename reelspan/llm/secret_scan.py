@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from math import log10
 
 import pyarrow as pa
@@ -64,7 +64,6 @@ class GuessCosts:
     segment: float = 0.3  # of each segment: where it ends
     date: float = 4.6  # about 110 years of days
     year: float = 2.1
-    longest_word: int = 14
 
 
 def _classes(text: str) -> int:
@@ -95,11 +94,19 @@ DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3
 YEAR = re.compile(r"(?:19|20)\d\d")
 
 
+class Ranks(dict[str, int]):
+    """The rank of each known word, and the length of the longest."""
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self), default=0)
+
+
 @lru_cache(maxsize=4)
-def ranked_words(path: str | None = None) -> dict[str, int]:
+def ranked_words(path: str | None = None) -> Ranks:
     """The rank of each known word: passwords first, then, with a path, the whole words of a byte-level BPE vocabulary
     (a tokenizer file) in its order, which is about that of their frequency."""
-    ranks = {w: i + 1 for i, w in enumerate(WORDS)}
+    ranks = Ranks((w, i + 1) for i, w in enumerate(WORDS))
     if path:
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
@@ -132,6 +139,7 @@ def guess_cost(value: str, costs: GuessCosts = GuessCosts(), ranks: dict[str, in
     if not n:
         return 0.0
     ranks = RANK if ranks is None else ranks
+    longest = ranks.longest if isinstance(ranks, Ranks) else max(map(len, ranks), default=0)
     low = value.lower() if value.isascii() else "".join(c.lower() if c < "\x80" else c for c in value)
     plain = low.translate(LEET)
     each = log10(_classes(value))
@@ -153,7 +161,7 @@ def guess_cost(value: str, costs: GuessCosts = GuessCosts(), ranks: dict[str, in
                 repeat, repeats = j - 1, []
         brute = min(brute, cost[j - 1] + costs.segment) + each
         best = brute
-        for i in range(max(0, j - costs.longest_word), j - 2):
+        for i in range(max(0, j - longest), j - 2):
             if (price := word_cost(value, i, j, low, plain, ranks)) is not None:
                 best = min(best, cost[i] + price + costs.segment)
         for i, price in ends.get(j, ()):
