@@ -4,11 +4,11 @@ Every line of a text is good or bad. A line's features are its own and those of
 and after it; transition weights tie neighbours together. Forward-backward gives each line's
 marginal probability of being good; their mean, weighted by length, is the document's score.
 
-The field is fitted on the driver to a sample of labelled documents, taken whole in the order of a digest of
-their doc_id: at most `fit_documents` of them, and no more once they have `fit_lines` lines together (the first
-is always taken). Only line features travel, as single-precision bytes; a document's label is that of each of its
-lines. Which documents come first has nothing to do with their size. Rows whose crc32(doc_id) mod `folds` is 0 are held out and never read
-for fitting. Scores use the text only.
+The field is fitted on the driver to a sample of labelled documents: the first `fit_documents` by a digest of
+their doc_id, cut into chains of `chain_lines` lines, of which the first `fit_chains` by a digest are taken. So no text is too long for the fit, which
+documents count has nothing to do with their size, and the driver holds fit_chains * chain_lines lines of 120 bytes at most (46 MB), and works on `cells` padded
+ones at once. Only line features travel, those of the neighbours with them, as single-precision bytes; a document's label is that of each of its
+lines. Rows whose crc32(doc_id) mod `folds` is 0 are held out and never read for fitting. Scores use the text only.
 
 Defined results: a null or wordless text scores 0; without any usable label every other text scores
 the prior 0.5; labels other than 0 and 1 are ignored, and of several labels of a doc_id the least
@@ -41,7 +41,9 @@ N_FEATURES = 10
 @dataclass(frozen=True)
 class FieldConfig:
     fit_documents: int = 2_500
-    fit_lines: int = 200_000  # of the whole sample; bounds the driver to some 150 MB
+    fit_chains: int = 1_500
+    chain_lines: int = 256
+    cells: int = 32_768
     folds: int = 5
     threshold: float = 0.3
     steps: int = 120
@@ -139,22 +141,31 @@ def _padded(values: list[np.ndarray], width: int) -> np.ndarray:
 
 def fit(features: list[np.ndarray], labels: np.ndarray, config: FieldConfig) -> Field:
     """The field of greatest penalised likelihood of the texts' labels, by Adam."""
-    every = np.vstack(features)
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-6
     lengths = np.array([len(f) for f in features])
     order = np.argsort(lengths, kind="stable")
-    features, labels, lengths = [(features[i] - mean) / scale for i in order], labels[order], lengths[order]
-    groups = [slice(a, min(a + 128, len(features))) for a in range(0, len(features), 128)]
+    features, labels, lengths = [features[i] for i in order], labels[order], lengths[order]
+    n = lengths.sum()
+    mean = sum(f.sum(axis=0, dtype=np.float64) for f in features) / n
+    scale = np.sqrt(sum(((f - mean) ** 2).sum(axis=0) for f in features) / n) + 1e-6
+    groups, a = [], 0
+    while a < len(features):  # neighbours in length share a padded block of so many cells
+        b = a + 1
+        while b < len(features) and (b + 1 - a) * lengths[b] <= config.cells:
+            b += 1
+        groups.append(slice(a, b))
+        a = b
     stacked = [np.vstack(features[g]) for g in groups]
+    del features
     truth = [np.repeat(labels[g], lengths[g]) for g in groups]
     wanted = np.array([((lengths - 1) * (labels == s)).sum() for s in (0, 1)], float)
 
-    theta = np.zeros(every.shape[1] + 3)  # weights, bias, stays
+    theta = np.zeros(len(mean) + 3)  # weights, bias, stays
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, config.steps + 1):
         slope = np.zeros_like(theta)
         expected = np.zeros(2)
         for g, x, y in zip(groups, stacked, truth, strict=True):
+            x = (x - mean) / scale
             s = x @ theta[:-3] + theta[-3]
             parts = np.split(s, np.cumsum(lengths[g])[:-1])
             good, stays = marginals(_padded(parts, lengths[g].max()), lengths[g], theta[-2:])
@@ -163,7 +174,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, config: FieldConfig) ->
             slope[-3] += (p - y).sum()
             expected += stays.sum(axis=0)
         slope[-2:] = expected - wanted
-        slope = slope / len(every) + config.ridge * theta
+        slope = slope / n + config.ridge * theta
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta -= config.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Field(mean, scale, theta[:-2], theta[-2:])
@@ -202,23 +213,20 @@ def fitted(docs: DataFrame, labels: DataFrame, config: FieldConfig = FieldConfig
     sample = shared.written(sample, "labelled-sample")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [own_features(t)[0].astype(np.float32) for t in shared.byte_texts(batch.column("text"))]
-        columns = [batch.column("doc_id"), batch.column("quality"), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "quality", "lines", "own"])
+        rows = []
+        for doc_id, quality, text in zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), shared.byte_texts(batch.column("text")), strict=True):
+            every = with_neighbours(own_features(text)[0]).astype(np.float32)
+            rows += [(doc_id, quality, k, every[a : a + config.chain_lines].tobytes()) for k, a in enumerate(range(0, len(every), config.chain_lines))]
+        ids, labels, chains, found = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(chains, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "quality", "chain", "features"])
 
     # the sample has fit_documents rows at most; of several texts of a doc_id the least counts
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(F.col("doc_id").cast("long"), "quality", "text")
-    featured = shared.written(shared.arrow_map(rows, work, "doc_id long, quality int, lines long, own binary", rows=100).where("lines > 0"), "sample-features")
-    taken, lines = [], 0
-    for row in featured.select("doc_id", "lines").orderBy(rank, "doc_id").collect():  # fit_documents numbers at most
-        if taken and lines + row["lines"] > config.fit_lines:
-            break
-        taken.append(row["doc_id"])
-        lines += row["lines"]
-    if not taken:
+    featured = shared.written(shared.arrow_map(rows, work, "doc_id long, quality int, chain long, features binary", rows=100), "sample-features")
+    table = featured.orderBy(F.xxhash64("doc_id", "chain"), "doc_id", "chain").limit(config.fit_chains).select("quality", "features").toArrow()
+    if not table.num_rows:
         return None
-    table = featured.where(F.col("doc_id").isin(taken)).orderBy(rank, "doc_id").select("quality", "own").toArrow()
-    features = [with_neighbours(np.frombuffer(x.as_py(), np.float32).reshape(-1, N_FEATURES)) for x in table["own"]]
+    features = [np.frombuffer(x.as_py(), np.float32).reshape(-1, 3 * N_FEATURES) for x in table["features"]]
     return fit(features, np.array(table["quality"].to_pylist(), float), config)
 
 
