@@ -5,9 +5,9 @@ ASCII lower case, digit runs as one 0). Per host, the distinct documents of each
 of more than `max_documents` are boilerplate and removed. A document is rejected if the base rules
 fail, or if it is depleted: more than `max_removed` of its words stood on removed lines.
 
-Exact copies are one document, whatever their number. Near copies are different documents: lines that more
-than `max_documents` of them share go like any other boilerplate, as nothing tells a page of thirty
-shared lines and one of its own from a copy with one line changed.
+Exact copies are one document, whatever their number. Near copies are different documents unless classes of near-duplicates are
+given: then a class is one document. Without them, lines that more than `max_documents` near copies share go like any other boilerplate, as
+nothing in the lines tells a page of thirty shared lines and one of its own from a copy with one line changed.
 
 Base: words are runs of other than ASCII white space; base_failed if n_words < 50 or more than
 half of the words stand in 3-word windows that occur twice or more in the text.
@@ -29,7 +29,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -108,18 +108,18 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, host and the two row keys of each row of docs, with its base counts and lines."""
     keyed, keys = shared.with_keys(docs, "host")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = "doc_id long, host string, digest long, doc long, " + ", ".join(f"{n} long" for n in names) + f", lines {_LINES}"
+    schema = "doc_id long, host string, digest long, doc long, text_key long, " + ", ".join(f"{n} long" for n in names) + f", lines {_LINES}"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = shared.byte_texts(batch.column("text"))
         counts = zip(*map(base_counts, texts), strict=True)
         lines = _nested([line_table(t) for t in texts])
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "host", "digest", "doc")), *(pa.array(c, pa.int64()) for c in counts), lines],
-            names=["doc_id", "host", "digest", "doc", *names, "lines"],
+            [*(batch.column(c) for c in ("doc_id", "host", "digest", "doc", "text_key")), *(pa.array(c, pa.int64()) for c in counts), lines],
+            names=["doc_id", "host", "digest", "doc", "text_key", *names, "lines"],
         )
 
-    return shared.arrow_map(keyed.select(F.col("doc_id").cast("long"), "host", "text", F.col(keys[0]).alias("digest"), F.col(keys[1]).alias("doc")), work, schema)
+    return shared.arrow_map(keyed.select(F.col("doc_id").cast("long"), "host", "text", F.col(keys[0]).alias("digest"), F.col(keys[1]).alias("doc"), text_key().alias("text_key")), work, schema)
 
 
 def frequent_lines(lines: DataFrame, rules: QualityRules) -> DataFrame:
@@ -127,13 +127,25 @@ def frequent_lines(lines: DataFrame, rules: QualityRules) -> DataFrame:
     return lines.groupBy("host_key", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > rules.max_documents).select("host_key", "line")
 
 
-def verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Each row of docs (doc_id, text, host) with keys, base counts, base_failed, removed_words, removed_rows, kept."""
+def text_key() -> Column:
+    """What classes know a text by."""
+    return F.xxhash64("text", F.col("text").isNull())
+
+
+def verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), classes: DataFrame | None = None) -> DataFrame:
+    """Each row of docs (doc_id, text, host) with keys, base counts, base_failed, removed_words, removed_rows, kept.
+
+    classes: (text_key, label) of texts that are near-duplicates of each other; texts that are not there are classes of their own.
+    """
     base = shared.written(measured(docs), "measured")
     host_key = F.xxhash64("host", F.col("host").isNull())
     lines = base.select("digest", "doc", host_key.alias("host_key"), F.explode("lines").alias("l")).select("digest", "doc", "host_key", "l.*")
-    contents = base.select("digest", host_key.alias("host_key"), "lines").dropDuplicates(["digest"])  # exact copies in a host are one document
-    each = contents.select("host_key", F.explode("lines").alias("l")).select("host_key", "l.line")
+    contents = base.select("digest", "text_key", host_key.alias("host_key"), "lines").dropDuplicates(["digest"])  # exact copies in a host are one document
+    if classes is None:
+        each = contents.select("host_key", F.explode("lines").alias("l")).select("host_key", "l.line")
+    else:
+        labelled = contents.join(classes.dropDuplicates(["text_key"]), "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
+        each = labelled.select("host_key", "label", F.explode("lines").alias("l")).select("host_key", "label", "l.line").distinct()
     frequent = shared.written(frequent_lines(each, rules), "frequent-lines")
     removed = (
         lines.join(frequent, ["host_key", "line"])
@@ -145,16 +157,16 @@ def verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     removed_words = F.coalesce("removed_words", F.lit(0)).cast("long")
     return (
-        base.drop("lines")
+        base.drop("lines", "text_key")
         .join(removed, ["digest", "doc"], "left")
         .withColumns({"base_failed": failed, "removed_words": removed_words})
         .withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= rules.max_removed * F.col("n_words")))
     )
 
 
-def cleaned(docs: DataFrame, rules: QualityRules = QualityRules(), host: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with boilerplate lines taken out of their texts (and n_chars, if there, set anew)."""
-    found = verdicts(docs.select("doc_id", "text", F.col(host).alias("host")), rules)
+def cleaned(docs: DataFrame, rules: QualityRules = QualityRules(), host: str = "source", classes: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that are kept, with boilerplate lines taken out of their texts (and n_chars, if there, set anew). classes: as for verdicts()."""
+    found = verdicts(docs.select("doc_id", "text", F.col(host).alias("host")), rules, classes)
     kept = found.where("kept").select("digest", "doc", "removed_rows").groupBy("digest", "doc").agg(F.first("removed_rows").alias("removed_rows"))
     with_host = F.col(host)
     keyed, keys = shared.with_keys(docs.withColumn(tmp := shared.fresh(docs, "host"), with_host), tmp)

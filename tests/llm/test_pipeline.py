@@ -51,6 +51,38 @@ def test_no_benchmark(spark, hostile, tmp_path):  # noqa: F811
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == {1, 7}
 
 
+def test_a_cluster_of_near_copies_leaves_one(spark, tmp_path):
+    """Fourteen copies of one text of forty lines, a word changed in each; and fourteen pages that share a few lines, which lose these."""
+    lines = [prose(9, 61_000 + k) for k in range(40)]
+    rows = []
+    for i in range(14):
+        own = list(lines)
+        own[i] = f"changed{i} " + own[i].split(" ", 1)[1]
+        rows.append((i, "\n".join(own), "a"))
+    common = [prose(8, 62_000 + k) for k in range(4)]
+    rows += [(100 + i, "\n".join(common + [prose(9, 63_000 + 50 * i + k) for k in range(12)]), "a") for i in range(14)]
+    found = stages(spark, folder(spark, tmp_path, table(spark, rows), [(1, ITEM)]))
+    assert {r.doc_id for r in found["quality_rules"]} == {i for i, _, _ in rows}
+    left = {r.doc_id: r.text for r in found["near_dedup"]}
+    assert set(left) == {0, *range(100, 114)} and left[0] == rows[0][1]
+    assert all(not set(left[i].split("\n")) & set(common) for i in range(100, 114))
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+
+def classes_of(texts):
+    """The least index of the texts that each one is a near-duplicate of, directly or not."""
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    return dict(zip(texts, label, strict=True))
+
+
 def test_stages_equal_brute_force(spark, tmp_path):
     """Boilerplate lines, copies, leaks and secrets, each judged by a plain rule written anew."""
     menu = prose(11, 77_000)
@@ -61,10 +93,10 @@ def test_stages_equal_brute_force(spark, tmp_path):
     rows += [(100, prose(60, 5) + " " + ITEM, "c"), (101, ITEM.upper() + " " + prose(60, 6), "c"), (102, prose(80, 7) + " password = hunter2hunter", "c")]
     found = stages(spark, folder(spark, tmp_path, table(spark, rows), [(1, ITEM)]))
 
-    where = defaultdict(set)
+    where, cluster = defaultdict(set), classes_of([t for _, t, _ in rows])
     for _, text, host in rows:
         for line in text.split("\n"):
-            where[host, line].add(text)
+            where[host, line].add(cluster[text])
     kept = {}
     for i, text, host in rows:
         good = [line for line in text.split("\n") if len(where[host, line]) <= 10]
