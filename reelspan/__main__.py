@@ -1,4 +1,4 @@
-"""python -m reelspan phases | queries | run PHASE... --tables DIR --out DIR [--config FILE] [--skip LIST] [--include-disabled] [--execute] | query NAME --tables DIR [--out DIR]"""
+"""python -m reelspan phases | queries | run PHASE... --tables DIR --out DIR [--config FILE] [--skip LIST] [--include-disabled] [--execute] [--resume] | query NAME --tables DIR [--out DIR]"""
 
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--skip", action="append", default=[])
     run.add_argument("--include-disabled", action="store_true")
     run.add_argument("--execute", action="store_true")
+    run.add_argument("--resume", action="store_true", help="run only what is not there yet for these tables and settings")
     query = commands.add_parser("query", help="run one query")
     query.add_argument("name", choices=sorted(QUERIES))
     for p in (run, query):
@@ -45,7 +46,7 @@ def main(arguments: list[str] | None = None) -> int:
             frame.write.mode("overwrite").parquet(args.out) if args.out else frame.show(truncate=False)
         else:
             config = manifests.read_config(Path(args.config).read_text()) if args.config else {}
-            for command, what in phases.run(spark, args.tables, args.out, config, only=args.phase, skip=args.skip, include_disabled=args.include_disabled, execute=args.execute):
+            for command, what in phases.run(spark, args.tables, args.out, config, only=args.phase, skip=args.skip, include_disabled=args.include_disabled, execute=args.execute, resume=args.resume):
                 print(f"{command:22} {what}")
     return 0
 

@@ -161,8 +161,8 @@ def opened(path: str) -> pa.NativeFile:
     return store.open_input_file(unquote(place) if "%" in place else place)
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, kind, bytes, width, height, duration_seconds, capture_date, capture_date_source, note of each media file under root; empty files hold no media and are left out."""
+def scan(spark: SparkSession, root: str, media_set: str | None = None) -> DataFrame:
+    """media_set, relative_path, kind, bytes, created (when the file was last written), width, height, duration_seconds, capture_date, capture_date_source, note of each media file under root; empty files hold no media and are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     media = files.where(kind(F.col("path")).isNotNull()).select("path", "length", "modificationTime", kind(F.col("path")).alias("kind"))
 
@@ -183,9 +183,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     stem = root.rstrip("/").removeprefix("file://")
     metadata = F.coalesce(F.try_to_timestamp("captured"), F.when(F.col("made") > 0, F.timestamp_seconds("made")))
     return read.select(
+        F.lit(media_set).cast("string").alias("media_set"),
         F.regexp_replace("path", f"^(?:file:)?/*{stem.lstrip('/')}/", "").alias("relative_path"),
         kind(F.col("path")).alias("kind"),
         F.col("length").alias("bytes"),
+        F.col("modificationTime").alias("created"),
         "width",
         "height",
         F.col("duration").alias("duration_seconds"),
