@@ -1,5 +1,7 @@
 """Media sets, caches, reports, and folds over streams with late rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from reelspan.functions import scalars
 from reelspan.operators import selection
 from reelspan.plans import QUERIES
 from reelspan.sources import manifests, media_sets, reports
-from reelspan.streaming import moments, stateful
+from reelspan.streaming import moments, stateful, timed
 
 CONFIG = {"media_sets": {"rafting": {"activity": "River", "folder": "raft"}, "old": {"enabled": False}, "plain": None}}
 
@@ -129,3 +131,53 @@ def test_manifest_by_media_set(spark, tmp_path):
     rows = spark.createDataFrame([("s1", "a"), ("s2", "b"), ("s2", "c")], "media_set string, name string")
     manifests.write_manifest(rows, f"file://{tmp_path}/m", by="media_set")
     assert {r.name for r in manifests.read_manifest(spark, f"file://{tmp_path}/m/media_set=s2", "name string").collect()} == {"b", "c"}
+
+
+HOUR = 3_600_000_000
+
+
+def plain_sessions(times, gap, cap):
+    out = []
+    for at, value in times:
+        if out and at - out[-1][1] <= gap and out[-1][2] < cap:
+            out[-1] = (out[-1][0], at, out[-1][2] + 1, max(out[-1][3], value))
+        else:
+            out.append((at, at, 1, value))
+    return out
+
+
+@pytest.mark.parametrize("fold", [timed.Debounce(2 * HOUR), timed.CappedSessions(HOUR, 4)])
+def test_timed_folds_equal_batch_and_leave_no_state(spark, tmp_path, fold):
+    """Rows that come out of order within the watermark count as if in order, late ones not at all, and keys that fall idle leave nothing."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    timed.with_timers(spark)
+    r = random.Random(5)
+    rows = [(i, i % 7, r.randrange(0, 40 * HOUR) // 1_000_000 * 1_000_000, float(r.randrange(99))) for i in range(260)]
+    rows.sort(key=lambda x: x[2] + r.randrange(5 * HOUR))  # at most five hours out of order; the watermark waits a day
+    late = [(1000, 1, 3 * HOUR, 999.0), (1001, 2, 0, 999.0)]
+    last = [(2000, 100, 400 * HOUR, 1.0)]
+    batches = [rows[:90], rows[90:200], rows[200:], [(1999, 101, 200 * HOUR, 1.0)], late, last]
+    schema, source, progress = "event_id long, user_id long, at long, value double", tmp_path / "in", []
+    try:
+        for i, batch in enumerate(batches):
+            spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"file://{source}/{i}")
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"file://{source}").withColumn("ts", F.timestamp_micros("at"))
+            q = timed.folded(stream, fold).writeStream.outputMode("append").format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+            q.awaitTermination(180)
+            progress.append(sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = sorted(tuple(x) for x in spark.read.parquet(f"file://{tmp_path}/out").where("user_id < 100").collect())
+    want = []
+    for user in range(7):
+        own = sorted((at, i, v) for i, u, at, v in rows if u == user)
+        if isinstance(fold, timed.Debounce):
+            kept = None
+            for at, i, _ in own:
+                if kept is None or at - kept >= fold.least_us:
+                    want.append((user, i, at))
+                    kept = at
+        else:
+            want += [(user, *s) for s in plain_sessions([(at, v) for at, _, v in own], fold.gap_us, fold.cap)]
+    assert got == sorted(want)
+    assert progress[0] >= 7 and progress[-1] < 7, progress  # of the last, still open key at most
