@@ -14,7 +14,8 @@ from ..sources import scratch
 
 
 HUB = 200  # neighbours in one join key
-HUBS_BROADCAST = 200_000  # hubs whose list is broadcast; more of them are left to adaptive execution
+HUBS_BROADCAST = 200_000  # hubs whose list is broadcast; more of them are joined in the shuffle
+SALTS = 16  # join keys of a node where hubs are looked up in the shuffle
 
 
 def _with_least(near: DataFrame) -> DataFrame:
@@ -22,9 +23,15 @@ def _with_least(near: DataFrame) -> DataFrame:
     least = near.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
     least = scratch.written(least, "least")  # read twice
     hubs = least.where("parts > 1").select("a", "parts")
-    if not 0 < hubs.count() <= HUBS_BROADCAST:
+    n = hubs.count()
+    if not n:
         return near.join(least.drop("parts"), "a")
-    dealt = near.join(F.broadcast(hubs), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    if n <= HUBS_BROADCAST:
+        found = near.join(F.broadcast(hubs), "a", "left")
+    else:  # a hub's neighbours meet its row under several keys
+        salted = near.withColumn("salt", F.pmod(F.xxhash64("b", F.lit(1)), F.lit(SALTS)).cast("int"))
+        found = salted.join(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"], "left")
+    dealt = found.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     each = least.select("a", "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return dealt.join(each, ["a", "part"]).drop("part")
 

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def exact_groups(rows: DataFrame, digest: str, key: str) -> DataFrame:
     """rows with group size, keeper (the least key of its digest) and whether the row is it."""
@@ -25,21 +27,51 @@ def block_choices(radius: int, spare: int = 2) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def hamming_pairs(rows: DataFrame, key: str, bits: str, radius: int) -> DataFrame:
-    """(a, b, distance) with a < b of all pairs of 64-bit hashes within the radius.
+HOT = 4096  # hashes of one choice of blocks and value that one task compares with each other
+
+
+def _near_hashes(hashes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
+    """(ha, hb, distance) of the pairs of different hashes (h) within the radius, ha < hb.
 
     The bits are cut into radius + 2 blocks, of which two must agree, so a random pair meets with a chance of
-    choices / 2^(bits of two blocks): 0.6 % at radius 8, a millionth at 3. Equal hashes are compared once, and a pair of
-    hashes is kept from its first common choice only, so no pair comes twice and nothing is collected or crossed.
+    choices / 2^(bits of two blocks): 0.6 % at radius 8, a millionth at 3. A pair is kept from its first common choice only. Where many hashes agree in a choice,
+    one side is dealt over several keys and the other is repeated for each of them.
     """
     masks = block_choices(radius)
-    hashes = rows.select(F.col(bits).alias("h")).distinct()
     keyed = hashes.select("h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "value"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    many = keyed.groupBy("choice", "value").count().where(F.col("count") > hot).select("choice", "value", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    many = scratch.written(many, "hot-blocks")
+    if many.isEmpty():
+        a, b = (keyed.withColumn("part", F.lit(0)).alias(x) for x in "ab")
+    else:
+        dealt = keyed.join(many, ["choice", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        a = dealt.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).alias("a")
+        b = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     differ = F.col("a.h").bitwiseXOR(F.col("b.h"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
-    near = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.h") < F.col("b.h")) & (F.bit_count(differ) <= radius))
-    near = near.where(first == F.col("a.choice")).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"), F.bit_count(differ).cast("int").alias("distance"))
+    near = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.h") < F.col("b.h")) & (F.bit_count(differ) <= radius))
+    return near.where(first == F.col("a.choice")).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"), F.bit_count(differ).cast("int").alias("distance"))
+
+
+def hamming_links(rows: DataFrame, key: str, bits: str, radius: int, hot: int = HOT) -> DataFrame:
+    """(key, class_id, n_links) of each row: the least key of the rows with its hash, and the number of other rows within the radius.
+
+    Rows of one hash are one class and are never paired with each other; a null hash is a class of its own row, without links.
+    """
+    classes = rows.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("class_id"), F.count("*").alias("n"))
+    classes = scratch.written(classes, "hash-classes")
+    near = scratch.written(_near_hashes(classes.select("h"), radius, hot), "near-hashes")
+    both = near.select(F.col("ha").alias("h"), F.col("hb").alias("other")).union(near.select(F.col("hb").alias("h"), F.col("ha").alias("other")))
+    linked = both.join(classes.select(F.col("h").alias("other"), "n"), "other").groupBy("h").agg(F.sum("n").alias("links"))
+    named = scratch.written(classes.join(linked, "h", "left").select("h", "class_id", (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links")), "linked-classes")
+    out = rows.select(F.col(key), F.col(bits).alias("h")).join(named, "h", "left")
+    return out.select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def hamming_pairs(rows: DataFrame, key: str, bits: str, radius: int) -> DataFrame:
+    """(a, b, distance) with a < b of all pairs of 64-bit hashes within the radius, equal ones too: for rows that stand for classes of equal hashes (hamming_links() counts without pairs)."""
+    hashes = rows.select(F.col(bits).alias("h")).distinct()
+    near = _near_hashes(hashes, radius)
     same = hashes.select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(0).alias("distance"))
     left, right = rows.select(F.col(key).alias("ka"), F.col(bits).alias("ha")), rows.select(F.col(key).alias("kb"), F.col(bits).alias("hb"))
     pairs = near.union(same).join(left, "ha").join(right, "hb").where("distance > 0 or ka < kb")
@@ -49,8 +81,8 @@ def hamming_pairs(rows: DataFrame, key: str, bits: str, radius: int) -> DataFram
 def top_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024, salts: int = 64) -> DataFrame:
     """(a, b, rank) of the k rows of greatest cosine (nine decimals, then least key) to each query but itself: exact, against every row.
 
-    Queries are dealt into blocks; one block is broadcast (its size is counted), several go along a shuffle with the
-    rows. The best of each salt of the rows come first, so no query's rows meet in one task.
+    Queries are dealt into blocks. One block is broadcast, as its size is counted. Several go along a shuffle: a row goes once to each block, a block to each salt of the rows, so a
+    task holds one block and its salt's share of the rows. The best of each salt come first, so no query's rows meet in one task.
     """
 
     def unit(df: DataFrame, name: str) -> DataFrame:
@@ -61,10 +93,16 @@ def top_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     n = queries.count()
     blocks = max(1, -(-n // block))
     asked = unit(queries, "a").withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
-    against = unit(rows, "b").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    joined = against.join(F.broadcast(asked) if blocks == 1 else asked, "block").where("a <> b")
+    salted = unit(rows, "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    against = salted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    if blocks == 1:
+        joined = against.join(F.broadcast(asked), "block")
+    else:
+        spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        joined = against.join(spread.hint("shuffle_hash"), ["block", "salt"])
+    joined = joined.where("a <> b")
     cosine = F.round(F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9)
-    scored = joined.select("a", "b", cosine.alias("cosine"), F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"))
+    scored = joined.select("a", "b", cosine.alias("cosine"), "salt")
     order = [F.desc("cosine"), F.asc("b")]
     some = scored.withColumn("rank", F.row_number().over(Window.partitionBy("a", "salt").orderBy(*order))).where(F.col("rank") <= k)
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= k).select("a", "b", "rank")

@@ -104,6 +104,13 @@ def near_duplicates_hamming(t: Tables) -> DataFrame:
     return near.select("a", "b", (F.col("n_a") * F.col("n_b")).alias("pairs"), "distance")
 
 
+@query(f"""WITH {LETTER_HASH}, g AS (SELECT bits, min(doc_id) AS class_id, count(*) AS n FROM h GROUP BY 1), l AS (SELECT a.bits, sum(b.n) AS links FROM g a JOIN g b ON a.bits <> b.bits AND bit_count(xor(a.bits, b.bits)) <= 2 GROUP BY 1)
+SELECT doc_id, class_id, CAST(coalesce(links, 0) + n - 1 AS BIGINT) AS n_links FROM h JOIN g USING (bits) LEFT JOIN l USING (bits)""")
+def hash_links(t: Tables) -> DataFrame:
+    """Each document's class of equal hashes and the number of others within two bits."""
+    return similarity.hamming_links(t.documents.select("doc_id", letter_hash(F.coalesce("text", F.lit(" "))).alias("bits")), "doc_id", "bits", 2)
+
+
 @query(f"""WITH {_HASHES}, bit AS (SELECT label, i, 2 * sum(CAST((bits >> i) & 1 AS INTEGER)) >= count(*) AS one FROM h, (SELECT unnest(range(0, 64)) AS i) GROUP BY label, i)
 SELECT label, string_agg(CASE WHEN one THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS majority FROM bit GROUP BY label""")
 def majority_hash(t: Tables) -> DataFrame:

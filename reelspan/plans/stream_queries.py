@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import seconds
 from ..sources import scratch
-from ..streaming import moments, stateful
+from ..streaming import moments, stateful, timed
 from .registry import Tables, query
 
 
@@ -52,3 +52,14 @@ def stream_debounced(t: Tables) -> DataFrame:
     """Events that come at least a day after the last one kept, with each user's last time as the stream's state."""
     got = _streamed(t, "stream-debounced", lambda s: stateful.debounced(s.select("event_id", "user_id", seconds(F.col("ts")).alias("at")), 86_400.0))
     return got.select("event_id", "user_id")
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, value FROM events WHERE epoch_us(ts) < {_MARK} * 1000),
+l AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) > 21600000000 THEN 1 ELSE 0 END AS opens FROM e),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us, event_id) AS island FROM l), r AS (SELECT *, (row_number() OVER (PARTITION BY user_id, island ORDER BY us, event_id) - 1) // 10 AS part FROM g),
+s AS (SELECT user_id, island, part, min(us) AS first_us, max(us) AS last_us, count(*) AS n, max(value) AS best FROM r GROUP BY 1, 2, 3)
+SELECT user_id, first_us, last_us, n, best FROM (SELECT *, lead(first_us) OVER (PARTITION BY user_id ORDER BY island, part) AS follower FROM s) WHERE follower IS NOT NULL OR last_us + 21600000001 <= {_MARK} * 1000""")
+def stream_capped_moments(t: Tables) -> DataFrame:
+    """Each user's sessions by a gap of six hours and of ten rows at most, given out when they are over; what is over leaves no state."""
+    timed.with_timers(t.spark)
+    return _streamed(t, "stream-capped", lambda s: timed.folded(s, timed.CappedSessions(21_600_000_000, 10)))

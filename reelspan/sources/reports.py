@@ -14,8 +14,9 @@ def _table(df: DataFrame) -> list[str]:
     return ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(r).replace("\n", " ") + " |" for r in rows)]
 
 
-def selection_report(rows: DataFrame, title: str, groups: list[str], status: str = "") -> str:
-    """rows: key, score, seconds, selected, reason and the group columns, each of few values.
+def selection_report(rows: DataFrame, title: str, groups: list[str], status: str = "", most: int = 100) -> str:
+    """rows: key, score, seconds, selected, reason and the group columns. Of a column of very many values the `most` largest groups are listed, and the others are one line with
+    their number, so all rows are accounted for.
 
     Only aggregates and lists of ten rows reach the driver.
     """
@@ -24,7 +25,11 @@ def selection_report(rows: DataFrame, title: str, groups: list[str], status: str
     out = [f"# {title}", "", *([status, ""] if status else []), *_table(total)]
     for g in groups:
         counted = chosen.groupBy(g).agg(F.count("*").alias("rows"), F.round(F.sum("seconds"), 1).alias("seconds")).orderBy(F.desc("rows"), g)
-        out += ["", f"## By {g}", "", *_table(counted.limit(100))]
+        out += ["", f"## By {g}", "", *_table(counted.limit(most))]
+        named = counted.limit(most).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 1).alias("seconds")).first()
+        every = counted.agg(F.count("*").alias("groups"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 1).alias("seconds")).first()
+        if every.groups > most:
+            out.append(f"| {every.groups - most} more | {every.rows - named.rows} | {round(every.seconds - named.seconds, 1)} |")
     for name, part in (("Selected", chosen), ("Excluded", rows.where("not selected"))):
         out += ["", f"## {name}: the {TOP} best", "", *_table(part.orderBy(F.desc("score"), "key").select("key", F.round("score", 2).alias("score"), "reason").limit(TOP))]
     return "\n".join(out) + "\n"

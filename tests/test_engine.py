@@ -282,3 +282,47 @@ def test_streams_equal_batch(spark, tmp_path):
         q = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/cp-{name}").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, f(rows).collect()))
+
+
+def test_hamming_links_equal_brute_force(spark):
+    """Copies, near copies and others, with a bound that makes most choices hot: links are counted, no pairs of copies made."""
+    r = random.Random(21)
+    base = [r.getrandbits(64) for _ in range(4)]
+    rows = []
+    for i in range(400):
+        h = r.choice(base) if r.random() < 0.7 else r.getrandbits(64)
+        for _ in range(r.choice([0, 0, 1, 2, 3])):
+            h ^= 1 << r.randrange(64)
+        rows.append((i, None if i % 50 == 7 else h - (1 << 64) if h >> 63 else h))
+    frame = spark.createDataFrame(rows, "id long, h long")
+    want = {}
+    for i, h in rows:
+        near = [j for j, g in rows if None not in (g, h) and j != i and ((g ^ h) & (2**64 - 1)).bit_count() <= 2]
+        want[i] = (min([i, *(j for j in near if rows[j][1] == h)]), len(near))
+    for hot in (similarity.HOT, 10):
+        assert {x.id: (x.class_id, x.n_links) for x in similarity.hamming_links(frame, "id", "h", 2, hot).collect()} == want
+
+
+def test_many_queries_meet_salted_rows(spark):
+    """Three thousand queries in blocks: no task reads much more than its share, and the neighbours are those of one block."""
+    r = random.Random(22)
+    frame = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(3000)], "id long, v array<double>")
+    asked = frame.where("id < 300")
+    one, many = (sorted(map(tuple, similarity.top_cosine(frame, asked, "id", "v", 2, block, 8).collect())) for block in (1024, 40))
+    assert one == many and len(one) == 600
+    joined = similarity.top_cosine(frame, asked, "id", "v", 2, 40, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in joined
+
+
+def test_many_hubs_are_split(spark, monkeypatch):
+    from reelspan.operators import graph
+
+    monkeypatch.setattr(graph, "HUB", 5)
+    edges = [(h, 1000 * h + i) for h in range(1, 9) for i in range(40)] + [(1, 2), (5, 6)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = None
+    for most in (200_000, 3):
+        monkeypatch.setattr(graph, "HUBS_BROADCAST", most)
+        got = sorted(map(tuple, graph.connected_components(frame).collect()))
+        want = want or got
+        assert got == want and {n: root for n, root in got}[2039] == 1 and len({root for _, root in got}) == 6

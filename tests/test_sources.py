@@ -51,6 +51,8 @@ def test_report(spark, tmp_path):
     assert "| 40 | 30 | 60.0 |" in text and "| 39 | 58.5 | why |" in text and text.count("| why |") == 20 and "## By role" in text
     reports.write_text(spark, text, f"file://{tmp_path}/r.md")
     assert (tmp_path / "r.md").read_text() == text
+    short = reports.selection_report(rows, "Reel", ["key"], most=4)
+    assert "| 26 more | 26 | 52.0 |" in short and "more |" not in text
 
 
 def test_coercions(spark):
