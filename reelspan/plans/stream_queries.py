@@ -62,4 +62,4 @@ SELECT user_id, first_us, last_us, n, best FROM (SELECT *, lead(first_us) OVER (
 def stream_capped_moments(t: Tables) -> DataFrame:
     """Each user's sessions by a gap of six hours and of ten rows at most, given out when they are over; what is over leaves no state."""
     timed.with_timers(t.spark)
-    return _streamed(t, "stream-capped", lambda s: timed.folded(s, timed.CappedSessions(21_600_000_000, 10)))
+    return _streamed(t, "stream-capped", lambda s: timed.folded(s, timed.CappedSessions(21_600_000_000, 10))).select("user_id", "first_us", "last_us", "n", "best")
