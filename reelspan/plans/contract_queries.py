@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, scores, terms
@@ -135,3 +135,40 @@ SELECT stamp_id, CASE WHEN regexp_matches(t, '^\d{{13}}$') THEN CAST(t AS BIGINT
 def written_dates(t: Tables) -> DataFrame:
     """The instants that stamps name, whatever way they are written."""
     return t.stamps.select("stamp_id", dates.instant(F.col("raw"), F.col("zone")).alias("instant_us"))
+
+
+_TARGET_MS, _LEAST_SCENES, _LEAST_SCENE_MS = 1_800_000, 3, 2_500
+
+
+@query(f"""WITH {_ASSETS}, v AS (SELECT event_id, media_set, moment_type, t0, CAST(floor(t0 / 21600) AS BIGINT) AS moment, CAST(floor(least(greatest(seconds, 2.5), 12.0) * 1000 + 0.5) AS BIGINT) AS ms FROM m WHERE video),
+a AS (SELECT media_set, min(t0) AS first, sum(ms) AS available FROM v GROUP BY 1), c AS (SELECT *, row_number() OVER (ORDER BY first, media_set) AS chapter, greatest({_LEAST_SCENES * _LEAST_SCENE_MS}, {_TARGET_MS} * available / sum(available) OVER ()) AS target FROM a),
+r AS (SELECT v.*, chapter, target, row_number() OVER w AS n, sum(ms) OVER w - ms AS before FROM v JOIN c USING (media_set) WINDOW w AS (PARTITION BY media_set ORDER BY t0, event_id)),
+k AS (SELECT *, row_number() OVER o AS sequence, sum(ms) OVER o AS until, lag(chapter) OVER o AS last_chapter, lag(moment) OVER o AS last_moment FROM r WHERE before < target OR n <= {_LEAST_SCENES} WINDOW o AS (ORDER BY chapter, t0, event_id))
+SELECT sequence, 'activity_' || lpad(chapter::VARCHAR, 2, '0') || '_' || media_set AS chapter_id, event_id, moment, CAST(until - ms AS BIGINT) AS output_start_ms, CAST(until AS BIGINT) AS output_end_ms, ms AS duration_ms,
+  CASE WHEN last_chapter IS NULL THEN 'opening' WHEN last_chapter <> chapter THEN 'chapter_bridge' WHEN last_moment = moment THEN 'continuous_sequence' ELSE 'hard_cut' END AS transition, {rules.ROLE_SQL} AS story_role FROM k""")
+def documentary_contract(t: Tables) -> DataFrame:
+    """The documentary's rows: a chapter for each activity in order of its first scene, with a share of the running time as its footage has one, each scene on the output's clock.
+
+    A chapter takes its scenes in order until it has its share and at least three. Its seconds follow those of the chapters before it; these are as many numbers as there are
+    chapters, so scenes are numbered by chapter, and no window runs over all of them.
+    """
+    c = F.col
+    ms = F.floor(F.least(F.greatest("seconds", F.lit(2.5)), F.lit(12.0)) * 1000 + 0.5)
+    v = assets(t).where("video").select("event_id", "media_set", "moment_type", "at", F.floor(c("at") / 21_600).alias("moment"), ms.alias("ms"))
+    footage = v.groupBy("media_set").agg(F.min("at").alias("first"), F.sum("ms").alias("available"))
+    total = footage.agg(F.sum("available").alias("total"))
+    target = F.greatest(F.lit(float(_LEAST_SCENES * _LEAST_SCENE_MS)), F.lit(_TARGET_MS) * c("available") / c("total"))
+    chapters = footage.crossJoin(F.broadcast(total)).withColumns({"target": target, "chapter": F.row_number().over(Window.orderBy("first", "media_set"))})
+    scenes = Window.partitionBy("media_set").orderBy("at", "event_id")
+    r = v.join(chapters, "media_set").withColumns({"n": F.row_number().over(scenes), "before": F.sum("ms").over(scenes) - c("ms")})
+    kept = r.where((c("before") < c("target")) | (c("n") <= _LEAST_SCENES)).withColumn("last_moment", F.lag("moment").over(scenes))
+    sizes = kept.groupBy("chapter").agg(F.count("*").alias("rows"), F.sum("ms").alias("length"))
+    ahead = Window.orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("chapter", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("ms_before"))
+    k = kept.join(F.broadcast(starts), "chapter")
+    transition = F.when((c("n") == 1) & (c("rows_before") == 0), "opening").when(c("n") == 1, "chapter_bridge").when(c("last_moment") == c("moment"), "continuous_sequence").otherwise("hard_cut")
+    begin = c("ms_before") + c("before")
+    return k.select(
+        (c("rows_before") + c("n")).alias("sequence"), F.concat(F.lit("activity_"), F.lpad(c("chapter").cast("string"), 2, "0"), F.lit("_"), c("media_set").cast("string")).alias("chapter_id"), "event_id", "moment", begin.alias("output_start_ms"), (begin + c("ms")).alias("output_end_ms"), c("ms").alias("duration_ms"),
+        transition.alias("transition"), rules.story_role(c("moment_type")).alias("story_role"),
+    )

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspan.functions import terms
-from reelspan.operators import offers, repetition, selectors, sessions
+from reelspan.functions import dates, terms
+from reelspan.operators import duplicates, offers, repetition, selectors, sessions
 
 TAGS = ("water", "speed_action", "face_visible", "lit_tunnel", "scenic", "pool", "action_camera_pov", "water_crossing")
 
@@ -444,3 +444,61 @@ def test_terms_and_globs(spark):
     table = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
     for pattern, expected in cases.items():
         assert [x.i for x in table.where(terms.glob(F.col("p"), pattern)).orderBy("i").collect()] == expected, pattern
+
+
+def test_duplicate_manifest_equals_brute_force(spark):
+    """Exact and near copies, videos of unknown and of other shapes, nulls: groups, reasons, keepers and actions by plain rules."""
+    r = random.Random(31)
+    base = [r.getrandbits(64) for _ in range(5)]
+    rows = []
+    for i in range(220):
+        h = r.choice(base) if r.random() < 0.6 else r.getrandbits(64)
+        for _ in range(r.choice([0, 0, 1, 2, 3])):
+            h ^= 1 << r.randrange(64)
+        video = r.random() < 0.5
+        known = r.random() < 0.7
+        rows.append({"media_set": "s", "path": f"p{i:03d}", "digest": r.choice([None, f"d{i % 40}", f"x{i}", f"x{i}", f"x{i}"]), "visual": None if r.random() < 0.1 else h - (1 << 64) if h >> 63 else h, "video": video, "file_type": "mp4" if video else "jpg", "bytes": r.randrange(5), "width": r.choice([640, 1280]) if known else None, "height": 480 if known else None, "duration": r.choice([None, 1.0, 2.5, 9.0]) if video else None, "created": r.choice([None, "c"]), "modified": "m"})
+    schema = "media_set string, path string, digest string, visual long, video boolean, file_type string, bytes long, width int, height int, duration double, created string, modified string"
+    frame = spark.createDataFrame([tuple(x[f.split()[0]] for f in schema.split(", ")) for x in rows], schema)
+
+    def link(a, b):
+        if a["digest"] is not None and a["digest"] == b["digest"]:
+            return 0, 0, duplicates.EXACT
+        if a["video"] != b["video"] or None in (a["visual"], b["visual"]):
+            return None
+        d = ((a["visual"] ^ b["visual"]) & (2**64 - 1)).bit_count()
+        if d > (1 if a["video"] else 2):
+            return None
+        if a["video"] and (None not in (a["width"], b["width"], a["height"], b["height"]) and (a["width"], a["height"]) != (b["width"], b["height"]) or None not in (a["duration"], b["duration"]) and abs(a["duration"] - b["duration"]) > 2.0):
+            return None
+        return 1, d, duplicates.NEAR_VIDEO if a["video"] else duplicates.NEAR_PHOTO
+
+    pairs = {(i, j): found for i in range(len(rows)) for j in range(i) if (found := link(rows[i], rows[j]))}
+    label = list(range(len(rows)))
+    for i, j in pairs:
+        low, high = sorted((label[i], label[j]))
+        label = [low if x == high else x for x in label]
+    want = {}
+    for root in set(label):
+        own = [i for i in range(len(rows)) if label[i] == root]
+        if len(own) > 1:
+            best = min(v for (i, _), v in pairs.items() if label[i] == root)
+            score = lambda x: ((x["width"] or 0) * (x["height"] or 0), x["duration"] or 0.0, x["bytes"], sum(x[k] is not None for k in ("width", "height", "duration", "created", "modified")), x["path"])
+            keeper = max((rows[i] for i in own), key=score)["path"]
+            for i in own:
+                path = rows[i]["path"]
+                want[path] = (rows[root]["path"], "keep" if path == keeper else "preserve" if best[2] == duplicates.NEAR_VIDEO else "review", "" if path == keeper else keeper, best[2], best[1])
+    got = {x.original_path: (x.group_id, x.action, x.duplicate_path, x.duplicate_type, x.hash_distance) for x in duplicates.manifest(frame, 2, 1).collect()}
+    assert got == want and len({v[3] for v in want.values()}) == 3
+    assert duplicates.manifest(frame.limit(0), 2, 1).count() == 0
+
+
+def test_written_dates(spark):
+    cases = {
+        ("2024-03-01T10:00:00Z", None): "2024-03-01 10:00:00", ("2024-03-01T10:00:00-0800", "UTC"): "2024-03-01 18:00:00", (" 2024-03-01T10:00:00+05:30 ", None): "2024-03-01 04:30:00", ("2024:03:01 10:00:00", "Asia/Kolkata"): "2024-03-01 04:30:00",
+        ("03/04/2024 12:05 AM", None): "2024-03-04 00:05:00", ("01.02.2024 03:04:05", "Europe/Berlin"): "2024-02-01 02:04:05", ("20240229", None): "2024-02-29 00:00:00", ("1709290000", None): "2024-03-01 10:46:40", ("1709290000123", None): "2024-03-01 10:46:40.123",
+        ("20240230", None): None, ("2024-13-01 00:00:00", None): None, ("n/a", None): None, ("", None): None, (None, None): None, ("2024-01", None): None, ("99999999999", None): None,
+    }
+    frame = spark.createDataFrame([(i, t, z) for i, (t, z) in enumerate(cases)], "i int, t string, z string")
+    got = [x.v for x in frame.select("i", F.timestamp_micros(dates.instant(F.col("t"), F.col("z"))).cast("string").alias("v")).orderBy("i").collect()]
+    assert got == list(cases.values())
