@@ -36,14 +36,14 @@ class Phase:
 
 PHASES = (
     Phase(1, "inventory", "Inventory", ("inventory_scan", "capture_index")),
-    Phase(2, "duplicate-detection", "Duplicate detection", ("duplicate_groups", "best_record", "near_duplicate_groups"), ("inventory",)),
-    Phase(3, "quality-scoring", "Quality scoring", ("technical_scores", "quality_selection"), ("inventory", "duplicate-detection")),
+    Phase(2, "duplicate-detection", "Duplicate detection", ("duplicate_groups", "best_record", "near_duplicate_groups", "duplicate_contract"), ("inventory",)),
+    Phase(3, "quality-scoring", "Quality scoring", ("technical_scores", "purpose_outputs", "quality_selection"), ("inventory", "duplicate-detection")),
     Phase(5, "story-builder", "Story builder", ("moments_sessionize", "target_moments", "moment_aggregates", "story_beats"), ("quality-scoring",)),
     Phase(6, "album-builder", "Album builder", ("album_variants", "album_candidates", "album_selection", "cover_and_closing"), ("story-builder", "quality-scoring")),
     Phase(7, "video-processing", "Video processing", ("scene_boundaries", "clip_scoring", "audio_events", "processing_manifest"), ("story-builder",)),
     Phase(8, "selected-timeline", "Selected timeline", ("candidate_rules", "repetition_filter", "repetition_reasons", "story_regressions", "budgeted_selection"), ("video-processing",)),
-    Phase(9, "reel-builder", "Reel builder", ("reel_subscores", "refined_windows", "reel_selection", "master_highlight"), ("selected-timeline",)),
-    Phase(10, "documentary-builder", "Documentary builder", ("documentary_rows", "documentary_chronology"), ("selected-timeline", "story-builder")),
+    Phase(9, "reel-builder", "Reel builder", ("reel_subscores", "segment_audits", "refined_windows", "reel_selection", "master_highlight"), ("selected-timeline",)),
+    Phase(10, "documentary-builder", "Documentary builder", ("documentary_rows", "documentary_chronology", "documentary_contract"), ("selected-timeline", "story-builder")),
 )
 BY_COMMAND = {p.command: p for p in PHASES}
 

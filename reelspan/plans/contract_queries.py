@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules, scores, terms
 from ..functions.scalars import clamp, hash_percent, letter_hash
-from ..operators import duplicates
+from ..operators import duplicates, lookup
 from .curation_queries import _ASSETS, assets
-from .registry import LETTER_HASH, Tables, query
+from .registry import LETTER_HASH, SQL, Tables, query
 
 _BITS = 2
 
@@ -172,3 +172,36 @@ def documentary_contract(t: Tables) -> DataFrame:
         (c("rows_before") + c("n")).alias("sequence"), F.concat(F.lit("activity_"), F.lpad(c("chapter").cast("string"), 2, "0"), F.lit("_"), c("media_set").cast("string")).alias("chapter_id"), "event_id", "moment", begin.alias("output_start_ms"), (begin + c("ms")).alias("output_end_ms"), c("ms").alias("duration_ms"),
         transition.alias("transition"), rules.story_role(c("moment_type")).alias("story_role"),
     )
+
+
+_SAID = "CASE event_id % 4 WHEN 0 THEN 'cam/' || media_set || '/' || name WHEN 1 THEN 'old/' || upper(name) WHEN 2 THEN name ELSE 'lost/' || event_id || '.x' END"
+
+
+@query(f"""WITH {_ASSETS}, f AS (SELECT 'cam/' || media_set || '/' || name AS path, name, technical FROM m WHERE event_id % 3 > 0 UNION ALL SELECT 'copy/' || name, name, story FROM m WHERE event_id % 9 = 1),
+n AS (SELECT lower(name) AS low, count(*) AS n, min(path) AS one_path, arg_min(technical, path) AS value FROM f GROUP BY 1), r AS (SELECT event_id, {_SAID} AS said FROM m)
+SELECT event_id, CASE WHEN f.path IS NOT NULL THEN f.path WHEN n = 1 THEN one_path END AS found_path, CASE WHEN f.path IS NOT NULL THEN 'path' WHEN n = 1 THEN 'name' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS found_by, CASE WHEN f.path IS NOT NULL THEN f.technical WHEN n = 1 THEN value END AS technical
+FROM r LEFT JOIN f ON f.path = said LEFT JOIN n ON low = lower(regexp_replace(said, '^.*/', ''))""")
+def path_lookup(t: Tables) -> DataFrame:
+    """Files by what rows say of them: by path, else by a name that only one file has."""
+    m = assets(t)
+    own = F.concat(F.lit("cam/"), F.col("media_set").cast("string"), F.lit("/"), "name")
+    files = m.where("event_id % 3 > 0").select(own.alias("path"), "technical").union(m.where("event_id % 9 = 1").select(F.concat(F.lit("copy/"), "name"), F.col("story")))
+    i = F.col("event_id")
+    said = F.when(i % 4 == 0, own).when(i % 4 == 1, F.concat(F.lit("old/"), F.upper("name"))).when(i % 4 == 2, F.col("name")).otherwise(F.concat(F.lit("lost/"), i.cast("string"), F.lit(".x")))
+    return lookup.looked_up(m.select("event_id", said.alias("said")), "said", files, "path", ["technical"]).drop("said")
+
+
+LADDER = ("container", "exif", "content_created", "file_created")
+
+
+_STEPS = ", ".join(f"'{x}'" for x in (*LADDER, "modified"))
+
+
+@query(f"""WITH w AS ({SQL["written_dates"]}), r AS (SELECT stamp_id // 5 AS media_id, min({{'k': stamp_id, 'us': instant_us}}) AS b FROM w WHERE instant_us IS NOT NULL GROUP BY 1)
+SELECT media_id, b.us AS capture_us, [{_STEPS}][CAST(b.k % 5 + 1 AS INTEGER)] AS capture_source FROM r""")
+def capture_ladder(t: Tables) -> DataFrame:
+    """The capture date of a file is the first of five that can be read: of its container, its picture data, two of the file system, and when it was last written. Five stamps are one file's."""
+    read = t.stamps.select("stamp_id", dates.instant(F.col("raw"), F.col("zone")).alias("instant_us")).where("instant_us is not null")
+    best = read.groupBy(F.floor(F.col("stamp_id") / 5).alias("media_id")).agg(F.min(F.struct("stamp_id", "instant_us")).alias("b"))
+    source = F.element_at(F.array(*map(F.lit, (*LADDER, "modified"))), (F.col("b.stamp_id") % 5 + 1).cast("int"))
+    return best.select("media_id", F.col("b.instant_us").alias("capture_us"), source.alias("capture_source"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspan.functions import dates, terms
-from reelspan.operators import duplicates, offers, repetition, selectors, sessions
+from reelspan.operators import duplicates, lookup, offers, repetition, selectors, sessions
 
 TAGS = ("water", "speed_action", "face_visible", "lit_tunnel", "scenic", "pool", "action_camera_pov", "water_crossing")
 
@@ -502,3 +502,14 @@ def test_written_dates(spark):
     frame = spark.createDataFrame([(i, t, z) for i, (t, z) in enumerate(cases)], "i int, t string, z string")
     got = [x.v for x in frame.select("i", F.timestamp_micros(dates.instant(F.col("t"), F.col("z"))).cast("string").alias("v")).orderBy("i").collect()]
     assert got == list(cases.values())
+
+
+def test_lookup_by_path_then_by_name(spark):
+    files = spark.createDataFrame([("a/X.mov", 1, None), ("b/y.mov", 2, "t"), ("c/Y.MOV", 3, None), (None, 9, "n"), ("d/z z.mov", None, "u")], "path string, v int, w string")
+    said = ["a/X.mov", "q/x.MOV", "x.mov", "b/y.mov", "y.mov", "", None, "no.mov", "z Z.mov"]
+    rows = spark.createDataFrame(list(enumerate(said)), "k int, said string")
+    got = [tuple(x)[2:] for x in lookup.looked_up(rows, "said", files, "path", ["v", "w"]).orderBy("k").collect()]
+    x, y = ("a/X.mov", "name", 1, None), ("b/y.mov", "path", 2, "t")
+    assert got == [("a/X.mov", "path", 1, None), x, x, y, (None, "ambiguous", None, None), *[(None, "missing", None, None)] * 3, ("d/z z.mov", "name", None, "u")]
+    index = {r.name: tuple(r)[1:] for r in lookup.name_index(files, "path", ["v"], ["w"]).collect()}
+    assert index == {"x.mov": (1, "a/X.mov", None), "y.mov": (2, "b/y.mov", "t"), "z z.mov": (1, "d/z z.mov", "u")}
