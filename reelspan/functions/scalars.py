@@ -47,20 +47,6 @@ def occurrence_decay(seen: Column, lift: Column) -> Column:
     return clamp(78.0 - F.least(5.0 * seen, F.lit(30.0)) + F.when(lift, 6.0).otherwise(0.0), 35.0, 100.0)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """The share of common elements of two sets; 0 if either is empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
-
-
-def weighted(**parts: tuple[float, Column]) -> Column:
-    """A weighted sum, in the order of the arguments."""
-    total = None
-    for weight, x in parts.values():
-        total = weight * x if total is None else total + weight * x
-    return total
-
-
 def metric(text: Column, key: str) -> Column:
     """The number of key=number inside a reason text, or null."""
     return F.regexp_extract(text, rf"(?:^|[\s;,|]){key}=(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")

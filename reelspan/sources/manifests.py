@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,25 +54,55 @@ def read_config(text: str) -> dict:
 
 
 def _plain(text: str) -> dict:
-    root: dict = {}
-    stack = [(-1, root)]
+    """Nested key: value lines and lists, of scalars or of such lines; a key without a value is an empty dict."""
+    lines = []
     for line in text.splitlines():
         body = line.split(" #")[0].rstrip()
-        if not body.strip() or body.lstrip().startswith("#") or ":" not in body:
-            continue
-        depth = len(body) - len(body.lstrip())
-        key, _, value = body.strip().partition(":")
-        while stack[-1][0] >= depth:
-            stack.pop()
-        if value.strip():
-            stack[-1][1][key] = _scalar(value.strip())
-        else:
-            stack[-1][1][key] = child = {}
-            stack.append((depth, child))
+        if body.strip() and not body.lstrip().startswith("#") and body.strip() != "---":
+            lines.append((len(body) - len(body.lstrip()), body.strip()))
+    root: dict = {}
+    at = 0
+    while at < len(lines):
+        found, at = _block(lines, at)
+        root |= found if isinstance(found, dict) else {}
     return root
 
 
+def _is_item(body: str) -> bool:
+    return body == "-" or body.startswith("- ")
+
+
+def _block(lines: list[tuple[int, str]], at: int) -> tuple[dict | list, int]:
+    """The list or dict that begins at a line, and the line behind it. lines: depths and bodies."""
+    depth = lines[at][0]
+    if _is_item(lines[at][1]):
+        items: list = []
+        while at < len(lines) and lines[at][0] == depth and _is_item(lines[at][1]):
+            item = lines[at][1][1:].strip()
+            if re.match(r"[^\s\"'\[]\S*:(\s|$)", item):  # a dict whose first key stands beside the dash
+                lines[at] = (depth + 2, item)
+                value, at = _block(lines, at)
+            elif item or at + 1 == len(lines) or lines[at + 1][0] <= depth:
+                value, at = _scalar(item), at + 1
+            else:
+                value, at = _block(lines, at + 1)
+            items.append(value)
+        return items, at
+    found: dict = {}
+    while at < len(lines) and lines[at][0] == depth and not _is_item(lines[at][1]):
+        key, colon, value = lines[at][1].partition(":")
+        key, value, at = key.strip().strip("\"'"), value.strip(), at + 1
+        below = at < len(lines) and (lines[at][0] > depth or lines[at][0] == depth and _is_item(lines[at][1]))
+        if value:
+            found[key] = _scalar(value)
+        elif colon:
+            found[key], at = _block(lines, at) if below else ({}, at)
+    return found, at
+
+
 def _scalar(text: str):
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x.strip()) for x in text[1:-1].split(",") if x.strip()]
     low = text.strip("\"'").lower()
     if low in ("true", "yes", "on"):
         return True

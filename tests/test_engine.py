@@ -2,7 +2,6 @@
 
 import random
 import struct
-import sys
 from pathlib import Path
 
 import duckdb

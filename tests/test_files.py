@@ -104,3 +104,32 @@ def test_inventory_of_files(spark, tmp_path):
     assert phases.run(spark, "/root/testdata/sf0.001", f"file://{tmp_path}/out", config, only=["inventory"], execute=True) == [("inventory", "done")]
     found = manifests.read_manifest(spark, f"file://{tmp_path}/out/01_inventory/media_inventory", "media_set string, relative_path string, kind string, width int, height int, created timestamp").collect()
     assert sorted((r.media_set, r.relative_path, r.width, r.height) for r in found) == [("hike", "c.png", 640, 480), ("raft", "a.png", 640, 480), ("raft", "deep/b.PNG", 640, 480)] and all(r.created for r in found)
+
+
+def test_plain_settings_know_lists():
+    text = """---
+modules:
+  inventory: {}
+  album_builder:
+    enabled: yes   # a comment
+    types: [peak, "group_photo", 3]
+    important:
+      - arrival
+      - 2.5
+    same_depth:
+    - a
+    - no
+sets:
+  - name: raft
+    folders:
+      - one
+      - two
+  -
+    name: "hike: long"
+empty:
+last: off
+"""
+    found = manifests._plain(text)
+    assert found["modules"]["album_builder"] == {"enabled": True, "types": ["peak", "group_photo", 3], "important": ["arrival", 2.5], "same_depth": ["a", False]}
+    assert found["sets"] == [{"name": "raft", "folders": ["one", "two"]}, {"name": "hike: long"}] and found["empty"] == {} and found["last"] is False
+    assert manifests._plain("") == {} and manifests._plain("odd line\n  deeper: 1\nkey: 2") == {"key": 2, "deeper": 1}
