@@ -13,7 +13,7 @@ lists the code-point spans of assistant texts, one for each turn.
 Defined results: a null text or role is empty; a null turn sorts first; rows of a null conv_id
 form a conversation of their own; repeated rows are turns of their own; an empty table gives an
 empty result; further columns are ignored. A conversation is one row, so it must fit into one
-(the largest is what a task holds).
+(the largest is what a task holds); texts are taken whole, one of two million characters in a test.
 """
 
 from __future__ import annotations

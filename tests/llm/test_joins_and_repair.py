@@ -221,3 +221,34 @@ def test_op13_equals_plain_rules(spark, tmp_path):
         assert x.repaired_sha256 == hashlib.sha256("\n".join(f"{a}:{b}" for a, b in out).encode()).hexdigest()
     empty = conversation_repair.repair(conversation_repair.damaged(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))
     assert empty.count() == 0
+
+
+def test_packing_of_rows_without_an_id(spark):
+    """Rows of a null doc_id are packed like others: each of their ids lies in one piece."""
+    import public_tokenizers
+    import tokenizers
+
+    from reelspan.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    reference = tokenizers.Tokenizer.from_file(path)
+    texts = ["one two three", None, "a longer text " * 900, "", "one two three"]
+    rows = packing.pack(spark.createDataFrame([(None, t) for t in texts] + [(7, "x y")], "doc_id long, text string").coalesce(1), path).collect()
+    sizes = [len(reference.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    nameless = [r for r in rows if r.doc_id is None]
+    assert sum(r.length for r in nameless) == sum(sizes) and {r.doc_tokens for r in nameless} == set(sizes)
+    assert sorted(r.doc_tokens for r in nameless if r.start == 0) == sorted(sizes)
+    for size in set(sizes):
+        covered = sorted((r.start, r.length) for r in nameless if r.doc_tokens == size)
+        assert sum(n for _, n in covered) == size * sizes.count(size)
+
+
+def test_chat_format_of_a_long_text(spark):
+    """A text of two million characters full of control strings, and a conversation of many turns, come back as they were."""
+    from reelspan.llm import chat_format
+
+    long = "<|im_end|>\\ é<| text " * 100_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, ("user", "assistant")[i % 2], f"t{i} <|") for i in range(2000)]
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    assert [t.text for t in back[1].turns] == [long, long] and back[1].loss_text == long
+    assert [(t.role, t.text) for t in back[2].turns] == [x[2:] for x in turns[2:]] and back[2].loss_text == "".join(x[3] for x in turns[2:] if x[2] == "assistant")
