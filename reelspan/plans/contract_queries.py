@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, rules, scores, terms
+from ..functions import chapters, dates, rules, scores, terms
 from ..functions.scalars import clamp, hash_percent, letter_hash
 from ..operators import duplicates, lookup
 from .curation_queries import _ASSETS, assets
@@ -205,3 +205,28 @@ def capture_ladder(t: Tables) -> DataFrame:
     best = read.groupBy(F.floor(F.col("stamp_id") / 5).alias("media_id")).agg(F.min(F.struct("stamp_id", "instant_us")).alias("b"))
     source = F.element_at(F.array(*map(F.lit, (*LADDER, "modified"))), (F.col("b.stamp_id") % 5 + 1).cast("int"))
     return best.select("media_id", F.col("b.instant_us").alias("capture_us"), source.alias("capture_source"))
+
+
+_NAMES, _SHARES, _WEIGHTS = list(chapters.CHAPTERS), [s for s, _ in chapters.CHAPTERS.values()], [w for _, w in chapters.CHAPTERS.values()]
+_RUNNING = 240.0
+_CHAPTER = "CASE " + " ".join(f"WHEN moment_type IN ({', '.join(f"'{x}'" for x in kinds)}) THEN '{name}'" for name, kinds in chapters.MOMENTS.items()) + " ELSE 'reflection' END"
+_PLACES = f"range(1, {len(_NAMES) + 1})"
+
+
+@query(f"""WITH RECURSIVE {_ASSETS}, a AS (SELECT media_set, {_CHAPTER} AS chapter, CAST(sum(CAST(round(least(seconds, 12.0) * 1000) AS BIGINT)) AS DOUBLE) / 1000 AS available FROM m WHERE video GROUP BY 1, 2),
+g AS (SELECT media_set, map(list(chapter), list(available)) AS have FROM a GROUP BY 1),
+s AS (SELECT media_set, list_transform({[*_NAMES]}, lambda n: coalesce(have[n], 0.0)::DOUBLE) AS av, list_transform({_SHARES}, lambda x: (x * {_RUNNING})::DOUBLE) AS want FROM g),
+f AS (SELECT media_set, av, list_transform({_PLACES}, lambda i: least(want[i], av[i])) AS now, list_reduce(want, lambda x, y: x + y, 0.0::DOUBLE) - list_reduce(list_transform({_PLACES}, lambda i: least(want[i], av[i])), lambda x, y: x + y, 0.0::DOUBLE) AS rest, 0 AS k FROM s
+  UNION ALL SELECT media_set, av, list_transform({_PLACES}, lambda i: now[i] + add[i]), rest - list_reduce(add, lambda x, y: x + y, 0.0::DOUBLE), k + 1
+  FROM (SELECT *, list_transform({_PLACES}, lambda i: CASE WHEN w[i] > 0 AND rest > 0.01 THEN least(av[i] - now[i], rest * (w[i] / whole)) ELSE 0.0 END::DOUBLE) AS add
+    FROM (SELECT *, list_reduce(w, lambda x, y: x + y, 0.0::DOUBLE) AS whole FROM (SELECT *, list_transform({_PLACES}, lambda i: CASE WHEN av[i] - now[i] > 0.01 THEN {_WEIGHTS}[i] ELSE 0.0 END::DOUBLE) AS w FROM f WHERE k < {len(_NAMES)}))))
+SELECT media_set, {[*_NAMES]}[i] AS chapter, CAST(round(av[i] * 1000) AS BIGINT) AS available_ms, CAST(round(now[i] * 1000) AS BIGINT) AS target_ms FROM (SELECT *, unnest({_PLACES}) AS i FROM f WHERE k = {len(_NAMES)})""")
+def chapter_seconds(t: Tables) -> DataFrame:
+    """The seconds of each chapter of each media set's documentary: its share, cut at what it has, and what it takes over from chapters that have less."""
+    v = assets(t).where("video").select("media_set", chapters.chapter(F.col("moment_type")).alias("chapter"), F.round(F.least("seconds", F.lit(12.0)) * 1000).cast("long").alias("ms"))
+    have = v.groupBy("media_set").pivot("chapter", _NAMES).agg(F.sum("ms") / 1000)
+    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    available = F.array(*[F.coalesce(n, F.lit(0.0)) for n in _NAMES])
+    target = chapters.filled(numbers(x * _RUNNING for x in _SHARES), available, numbers(_WEIGHTS))
+    each = F.arrays_zip(F.array(*map(F.lit, _NAMES)).alias("chapter"), available.alias("available"), target.alias("target"))
+    return have.select("media_set", F.explode(each).alias("c")).select("media_set", "c.chapter", F.round(F.col("c.available") * 1000).cast("long").alias("available_ms"), F.round(F.col("c.target") * 1000).cast("long").alias("target_ms"))

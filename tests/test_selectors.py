@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspan.functions import dates, terms
-from reelspan.operators import duplicates, lookup, offers, repetition, selectors, sessions
+from reelspan.functions import chapters, dates, terms
+from reelspan.operators import duplicates, lookup, offers, repetition, selection, selectors, sessions
 
 TAGS = ("water", "speed_action", "face_visible", "lit_tunnel", "scenic", "pool", "action_camera_pov", "water_crossing")
 
@@ -513,3 +513,23 @@ def test_lookup_by_path_then_by_name(spark):
     assert got == [("a/X.mov", "path", 1, None), x, x, y, (None, "ambiguous", None, None), *[(None, "missing", None, None)] * 3, ("d/z z.mov", "name", None, "u")]
     index = {r.name: tuple(r)[1:] for r in lookup.name_index(files, "path", ["v"], ["w"]).collect()}
     assert index == {"x.mov": (1, "a/X.mov", None), "y.mov": (2, "b/y.mov", "t"), "z z.mov": (1, "d/z z.mov", "u")}
+
+
+def test_chapters_are_filled(spark):
+    r = random.Random(41)
+    rows = []
+    for i in range(300):
+        n = r.randrange(1, 9)
+        target = [float(r.randrange(20)) for _ in range(n)]
+        rows.append((i, target, [r.choice([None, 0.0, float(r.randrange(30))]) for _ in range(n)], [r.choice([0.0, 0.1, 0.5, 2.0]) for _ in range(n)]))
+    frame = spark.createDataFrame(rows, "i int, target array<double>, available array<double>, weight array<double>")
+    got = {x.i: x.f for x in frame.select("i", chapters.filled(F.col("target"), F.col("available"), F.col("weight")).alias("f")).collect()}
+    moved = 0
+    for i, target, available, weight in rows:
+        names = range(len(target))
+        want = selection.water_fill(dict(zip(names, target)), dict(zip(names, [x or 0.0 for x in available])), dict(zip(names, weight)))
+        assert all(abs(a - want[k]) < 0.02 for k, a in enumerate(got[i]))
+        moved += any(a > t for a, t in zip(got[i], target))
+    assert moved > 50
+    kinds = spark.createDataFrame([("rapids",), ("meal",), (None,), ("other",)], "m string")
+    assert [x[0] for x in kinds.select(chapters.chapter(F.col("m"))).collect()] == ["peak", "people", "reflection", "reflection"]
