@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chapters, dates, rules, scores, terms
 from ..functions.scalars import clamp, hash_percent, letter_hash
-from ..operators import duplicates, lookup
+from ..operators import duplicates, intervals, lookup
 from .curation_queries import _ASSETS, assets
 from .registry import LETTER_HASH, SQL, Tables, query
 
@@ -230,3 +230,21 @@ def chapter_seconds(t: Tables) -> DataFrame:
     target = chapters.filled(numbers(x * _RUNNING for x in _SHARES), available, numbers(_WEIGHTS))
     each = F.arrays_zip(F.array(*map(F.lit, _NAMES)).alias("chapter"), available.alias("available"), target.alias("target"))
     return have.select("media_set", F.explode(each).alias("c")).select("media_set", "c.chapter", F.round(F.col("c.available") * 1000).cast("long").alias("available_ms"), F.round(F.col("c.target") * 1000).cast("long").alias("target_ms"))
+
+
+@query(r"""WITH p AS (SELECT DISTINCT lower(array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 4), ' ')) AS phrase FROM benchmark WHERE len(regexp_extract_all(text, '\S+')) >= 4),
+l AS (SELECT doc_id, i - 1 AS line, ' ' || lower(array_to_string(regexp_extract_all(lines[i], '\S+'), ' ')) || ' ' AS said FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+h AS (SELECT DISTINCT doc_id, line FROM l JOIN p ON contains(said, ' ' || phrase || ' ')), o AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY doc_id ORDER BY line) <= 1 THEN 0 ELSE 1 END AS opens FROM h),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY line) AS island FROM o)
+SELECT doc_id, CAST(min(line) * 4000 - 250 AS BIGINT) AS start_ms, CAST(max(line) * 4000 + 4250 AS BIGINT) AS end_ms, count(*) AS n_merged FROM g GROUP BY doc_id, island""")
+def phrase_mute_windows(t: Tables) -> DataFrame:
+    """Where phrases of a table are said: lines are four seconds each, a quarter of a second is added on both sides, and windows that meet are one. The phrases are the first four words of benchmark items."""
+    said = lambda c: F.concat(F.lit(" "), F.lower(F.array_join(F.regexp_extract_all(c, F.lit(r"\S+"), 0), " ")), F.lit(" "))
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), 0)
+    phrases = t.benchmark.where(F.size(words) >= 4).select(F.lower(F.array_join(F.slice(words, 1, 4), " ")).alias("term")).distinct()
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    keyed = lines.select(F.struct("doc_id", "line").alias("at"), said(F.col("words")).alias("words"))
+    hits = terms.term_hits(keyed, "at", "words", phrases.select("term", F.concat(F.lit(" "), "term", F.lit(" ")).alias("needle"))).select("at").distinct()
+    spans = hits.select(F.col("at.doc_id").alias("doc_id"), (F.col("at.line") * 4.0 - 0.25).alias("start_s"), (F.col("at.line") * 4.0 + 4.25).alias("end_s"))
+    merged = intervals.islands(spans, ["doc_id"])
+    return merged.select("doc_id", F.round(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.round(F.col("end_s") * 1000).cast("long").alias("end_ms"), "n_merged")
