@@ -63,22 +63,24 @@ class ProductCodes:
         above = np.cumsum(((1 - x * x) ** ((length - 3) / 2))[::-1])
         self.least = float(x[::-1][np.searchsorted(above, above[-1] * min(1.0, share / self.size))])
 
+    def decode_one(self, units: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """decode() of one code."""
+        rotation, books = self.codes[number]
+        turned = units @ rotation
+        scores = [turned[:, a:b] @ book.T for (a, b), book in zip(self.spans, books, strict=True)]
+        best = [s.max(axis=1) for s in scores]
+        least = np.minimum(self.least, sum(best) - 1e-9)
+        row, code, total = np.arange(len(units)), np.full(len(units), number, np.int64), np.zeros(len(units))
+        for k, s in enumerate(scores):
+            reach = total[:, None] + s[row]
+            i, word = np.nonzero(reach >= (least - sum(best[k + 1 :], np.zeros(len(units))))[row][:, None])
+            row, code, total = row[i], code[i] * self.words + word, reach[i, word]
+        return row, code
+
     def decode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters whose direction a row exceeds the threshold with, and of the best one of each code."""
-        rows, filters = [], []
-        for number, (rotation, books) in enumerate(self.codes):
-            turned = units @ rotation
-            scores = [turned[:, a:b] @ book.T for (a, b), book in zip(self.spans, books, strict=True)]
-            best = [s.max(axis=1) for s in scores]
-            least = np.minimum(self.least, sum(best) - 1e-9)
-            row, code, total = np.arange(len(units)), np.full(len(units), number, np.int64), np.zeros(len(units))
-            for k, s in enumerate(scores):
-                reach = total[:, None] + s[row]
-                i, word = np.nonzero(reach >= (least - sum(best[k + 1 :], np.zeros(len(units))))[row][:, None])
-                row, code, total = row[i], code[i] * self.words + word, reach[i, word]
-            rows.append(row)
-            filters.append(code)
-        return np.concatenate(rows), np.concatenate(filters)
+        found = [self.decode_one(units, number) for number in range(len(self.codes))]
+        return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
 
     def sketch(self, units: np.ndarray) -> np.ndarray:
         return np.packbits(units @ self.sketching > 0, axis=1).view(np.int64)
@@ -151,20 +153,29 @@ def likely(rows: DataFrame, cosine: float) -> DataFrame:
     return dealt.mapInArrow(run, "filter long, i int, j int, own int, rep long, k long")
 
 
-def _shares_earlier(code: int, book: ProductCodes, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether the rows of left and right share a filter before this one."""
-    row, codes = book.decode(np.concatenate([left, right]))
-    row, codes = row[codes < code], codes[codes < code]
+def _shared(row: np.ndarray, codes: np.ndarray, left: int, right: int) -> np.ndarray:
+    """Which of the first `left` rows share a filter with which of the `right` ones behind them."""
+    out = np.zeros((left, right), bool)
     _, which, n = np.unique(codes, return_inverse=True, return_counts=True)
-    shared_by = np.zeros((len(left), len(right)), bool)
-    column = np.cumsum(n > 1) - 1
-    row, column = row[n[which] > 1], column[which][n[which] > 1]
+    row, column = row[n[which] > 1], (np.cumsum(n > 1) - 1)[which][n[which] > 1]
     for first in range(0, int((n > 1).sum()), 1024):
         some = (column >= first) & (column < first + 1024)
-        member = np.zeros((len(left) + len(right), 1024), np.float32)
+        member = np.zeros((left + right, 1024), np.float32)
         member[row[some], column[some] - first] = 1
-        shared_by |= member[: len(left)] @ member[len(left) :].T > 0
-    return shared_by
+        out |= member[:left] @ member[left:].T > 0
+    return out
+
+
+def without_earlier(linked: np.ndarray, code: int, book: ProductCodes, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The links of rows left with rows right that share no filter before this one. Codes are asked in order, each for what is still linked: near copies mostly share a filter of the first."""
+    for number in range(code // book.size + 1):
+        rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+        if not len(rows):
+            break
+        row, codes = book.decode_one(np.concatenate([left[rows], right[columns]]), number)
+        earlier = codes < code
+        linked[np.ix_(rows, columns)] &= ~_shared(row[earlier], codes[earlier], len(rows), len(columns))
+    return linked
 
 
 def links(likely_rows: DataFrame, classes: DataFrame, cosine: float, codes: int, words: int, share: float, seed: int) -> DataFrame:
@@ -184,7 +195,7 @@ def links(likely_rows: DataFrame, classes: DataFrame, cosine: float, codes: int,
             left, right, linked = left[rows], right[columns], linked[np.ix_(rows, columns)]
             book = codes_for(values.shape[1], codes, words, share, seed)
             code = group.column("filter")[0].as_py() & ((1 << 46) - 1)
-            linked &= ~_shares_earlier(code, book, units[left], units[right])
+            linked = without_earlier(linked, code, book, units[left], units[right])
             a, b = np.nonzero(linked)
             label = _merge(np.arange(len(units)), left[a], right[b])
             copies = group.column("copies").to_numpy()
