@@ -114,14 +114,17 @@ def motion_context(motion: Column) -> Column:
 
 
 def audio_event(loud: Column, mean: Column) -> Column:
-    """The kind of a sound by its loudness against its source's mean, and by columns technical, people, moment_type and name."""
+    """The kind of a sound by its loudness against its source's mean (a whole number), and by columns technical, people, moment_type and name.
+
+    Tenths of the mean are quotients of whole numbers, as 0.7 and 2.8 are no doubles: a loudness that equals a bound is not over it.
+    """
     name = F.lower("name")
     active = F.col("moment_type").isin("rapids", "splash", "launch") | F.contains(name, F.lit("gopr")) | F.contains(name, F.lit("gx"))
     bright = F.col("people")
     return (
         F.when(loud < F.greatest(F.lit(300.0), mean * 0.25), "silence_or_quiet")
-        .when(loud > mean * 2.8, F.when((F.col("technical") > 80) | (bright > 26), "cheering_or_laughing_candidate").otherwise("loud_reaction_candidate"))
-        .when(active & (loud > mean * 0.7) & (bright > 9), "river_or_action_noise")
+        .when(loud > mean * 28 / 10, F.when((F.col("technical") > 80) | (bright > 26), "cheering_or_laughing_candidate").otherwise("loud_reaction_candidate"))
+        .when(active & (loud > mean * 7 / 10) & (bright > 9), "river_or_action_noise")
         .when(loud.between(1500, F.greatest(mean * 2, F.lit(12000))) & F.col("technical").between(30, 70), "conversation_candidate")
         .when(bright > 25, "wind_or_high_frequency_noise")
         .otherwise("ambient_audio")
