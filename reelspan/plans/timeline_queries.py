@@ -197,7 +197,7 @@ o AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BET
 g AS (SELECT *, sum(opens) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS grp FROM o)
 SELECT k AS l_partkey, min(a) AS start_s, max(b) AS end_s, count(*) AS n_merged FROM g GROUP BY k, grp""")
 def interval_union(t: Tables) -> DataFrame:
-    at = F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("double")
+    at = seconds(F.col("l_shipdate"))
     rows = t.lineitem.select("l_partkey", at.alias("start_s"), (at + F.col("l_quantity") * 86_400).alias("end_s"))
     return intervals.islands(rows, ["l_partkey"], 86_400.0)
 

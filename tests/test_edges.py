@@ -46,3 +46,13 @@ def test_users_without_a_strong_row_keep_six(spark, tmp_path):
     ours, theirs = both(spark, tmp_path, "trimmed_openings", "events", EVENTS, rows)
     assert ours == theirs
     assert len([r for r in ours if r[1] == 2]) == 6
+
+
+def test_unknown_and_fractional_dates_of_islands(spark, tmp_path):
+    day = timedelta(days=1)
+    rows = [
+        (1, DAY + timedelta(microseconds=250_000), 1.0), (1, DAY + 2 * day + timedelta(microseconds=750_000), 1.0), (1, DAY + 9 * day, None), (1, None, 3.0), (1, None, None),
+        (2, DAY, None), (2, DAY + day, 1.0), (2, DAY + 8 * day, 2.0), (3, None, 1.0), (3, None, 2.0), (None, DAY, 1.0),
+    ]
+    ours, theirs = both(spark, tmp_path, "interval_union", "lineitem", "l_partkey long, l_shipdate timestamp_ntz, l_quantity double", rows)
+    assert ours == theirs
