@@ -1,12 +1,13 @@
 """Duplicate groups of media with their reasons, keepers and manifest rows.
 
 Files of one digest are exact copies. Photos, and videos that can be compared, are near copies if their visual hashes nearly agree: videos of known but other dimensions, or of known lengths more than two
-seconds apart, cannot. Rows that agree in all of this are one class, so no pairs of copies are made; classes are linked through blocks of their hashes, and components of the links are groups.
+seconds apart, cannot. Rows that agree in all of this are one class, so no pairs of copies are made; classes are linked through blocks of their hashes, and components of the links are groups. Classes of videos
+of one hash, or of two near ones, are linked with their neighbours in length only, so their links grow with the number of classes and not with that of their pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import scratch
@@ -18,14 +19,40 @@ EXACT, NEAR_PHOTO, NEAR_VIDEO = "exact_hash", "photo_visual_similarity", "video_
 PRIORITY = {EXACT: 0, NEAR_PHOTO: 1, NEAR_VIDEO: 1}  # fixed values: which reason a group is given
 
 
-def comparable(a: str, b: str) -> Column:
-    """Whether two videos can be the same: unknown dimensions and lengths speak against nothing."""
-    known = F.lit(True)
-    for c in ("width", "height"):
-        known = known & (F.coalesce(f"{a}.{c}", F.lit(0)) > 0) & (F.coalesce(f"{b}.{c}", F.lit(0)) > 0)
-    other = (F.col(f"{a}.width") != F.col(f"{b}.width")) | (F.col(f"{a}.height") != F.col(f"{b}.height"))
-    far = F.abs(F.col(f"{a}.duration") - F.col(f"{b}.duration")) > APART_SECONDS
-    return ~F.coalesce(known & other, F.lit(False)) & ~F.coalesce(far, F.lit(False))
+def neighbour_links(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b, distance) of videos that can be compared, of one hash or of two near ones: at most six for each class of either hash, which join and rate what all pairs of comparable classes do.
+
+    classes: first, h, width, height, duration; near: ha, hb, distance. Classes whose dimensions are known meet those of equal ones; one whose dimensions are unknown meets all. Of those within APART_SECONDS of a length,
+    the nearest on either side are enough, as these are linked with the ones beyond. A class of unknown length meets every length, so one of a kind is enough for all others.
+    """
+    known = (F.coalesce("width", F.lit(0)) > 0) & (F.coalesce("height", F.lit(0)) > 0)
+    rows = classes.select("first", "h", F.when(known, F.struct("width", "height")).alias("shape"), "duration")
+    sides = near.select(F.col("ha").alias("h"), "ha", "hb", "distance", F.lit(0).alias("side")).union(near.select(F.col("hb").alias("h"), "ha", "hb", "distance", F.lit(1).alias("side")))
+    own = rows.select("first", "shape", "duration", F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(0).alias("distance"), F.lit(2).alias("side"))  # of one hash: both sides are the same
+    met = rows.join(sides, "h").select(*own.columns).union(own)
+
+    def other(value: Column, aggregate, window) -> Column:
+        """An aggregate over the rows of the opposite side."""
+        of = [aggregate(F.when(F.col("side") == k, value)).over(window) for k in range(3)]
+        return F.when(F.col("side") == 0, of[1]).when(F.col("side") == 1, of[0]).otherwise(of[2])
+
+    pair, item = ["ha", "hb"], F.struct("first", "duration")
+    timed, unknown = F.col("duration").isNotNull(), F.col("shape").isNull()
+    any_shape, one_shape = Window.partitionBy(*pair), Window.partitionBy(*pair, "shape")
+    found = {}
+    for name, window, wanted in (("equal", one_shape, timed), ("open", any_shape, timed & unknown)):
+        ordered = window.orderBy(F.asc_nulls_last("duration"), "first")
+        before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
+        for side, frame, aggregate in (("before", before, F.last), ("after", after, F.first)):
+            nearest = other(F.when(wanted, item), lambda x, pick=aggregate: pick(x, True), frame)
+            found[f"{name}_{side}"] = F.when(timed & (F.abs(F.col("duration") - nearest["duration"]) <= APART_SECONDS), nearest["first"])
+    endless = F.col("duration").isNull()
+    found["untimed"] = other(F.when(endless & unknown, F.col("first")), F.min, any_shape)
+    found["untimed_equal"] = other(F.when(endless, F.col("first")), F.min, one_shape)
+    found["untimed_known"] = F.when(unknown, other(F.when(endless & ~unknown, F.col("first")), F.min, any_shape))
+    found["shapeless"] = F.when(endless & ~unknown, other(F.when(unknown, F.col("first")), F.min, any_shape))
+    linked = met.select("first", "distance", F.array_compact(F.array(*found.values())).alias("others"))
+    return linked.select(F.col("first").alias("a"), F.explode(F.array_distinct("others")).alias("b"), "distance").where("a <> b")
 
 
 def links(records: DataFrame, photo_bits: int, video_bits: int) -> DataFrame:
@@ -40,13 +67,12 @@ def links(records: DataFrame, photo_bits: int, video_bits: int) -> DataFrame:
         same = [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
         members = own.alias("x").join(classes.alias("c"), same[0] & same[1] & same[2] & same[3]).where("x.path <> c.first").select(F.col("c.first").alias("a"), F.col("x.path").alias("b"), F.lit(name).alias("type"), F.lit(0).alias("distance"))
         near = _near_hashes(classes.select("h").distinct(), bits)
-        a, b = classes.alias("a"), classes.alias("b")
-        apart = near.join(a, F.col("ha") == F.col("a.h")).join(b, F.col("hb") == F.col("b.h"))
-        found = apart.where(comparable("a", "b") if video else F.lit(True)).select(F.col("a.first").alias("a"), F.col("b.first").alias("b"), F.lit(name).alias("type"), "distance")
-        out = out.union(members).union(found)
-        if video:  # of one hash, but another shape
-            equal = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.first") < F.col("b.first"))).where(comparable("a", "b"))
-            out = out.union(equal.select(F.col("a.first").alias("a"), F.col("b.first").alias("b"), F.lit(name).alias("type"), F.lit(0).alias("distance")))
+        if video:
+            found = neighbour_links(classes, scratch.written(near, "near-hashes"))
+        else:
+            a, b = classes.alias("a"), classes.alias("b")
+            found = near.join(a, F.col("ha") == F.col("a.h")).join(b, F.col("hb") == F.col("b.h")).select(F.col("a.first").alias("a"), F.col("b.first").alias("b"), "distance")
+        out = out.union(members).union(found.select("a", "b", F.lit(name).alias("type"), "distance"))
     return out
 
 
@@ -65,6 +91,7 @@ def manifest(records: DataFrame, photo_bits: int = 6, video_bits: int = 6, prese
     records: media_set, path (unique), digest, visual (a 64-bit hash), video (boolean), file_type, bytes, width, height, duration, created, modified. The reason of a group is its best one: an exact copy first, then the
     least distance. The keeper is the best member; near copies of videos may be preserved, as they are often other takes. Null digests and hashes are like no other.
     """
+    records = scratch.written(records, "records")  # read several times, and a hash may cost a pass over a file
     found = scratch.written(links(records, photo_bits, video_bits), "duplicate-links")
     roots = scratch.written(connected_components(found.select("a", "b")), "duplicate-groups")
     order = F.struct(F.when(F.col("type") == EXACT, PRIORITY[EXACT]).otherwise(PRIORITY[NEAR_PHOTO]).alias("p"), "distance", "type")
