@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,11 +75,23 @@ def letter_pairs() -> list[tuple[str, str]]:
 
 
 def letter_hash(text: Column) -> Column:
-    """64 bits of a text, each whether one letter is more frequent in it than another: copies with few changes differ in few bits."""
-    counts = {c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS}
-    n = F.struct(*[v.alias(c) for c, v in counts.items()])
-    one = F.transform(F.array(n), lambda s: F.array(*[F.when(s[a] > s[b], F.expr(f"{1 << i}L") if i < 63 else F.expr("-9223372036854775807L - 1")).otherwise(F.expr("0L")) for i, (a, b) in enumerate(letter_pairs())]))
-    return F.aggregate(F.element_at(one, 1), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    """64 bits of a text, each whether one letter is more frequent in it than another: copies with few changes differ in few bits. A null text has 0.
+
+    The letters are counted in one pass over the bytes of each text, as all of them are ASCII.
+    """
+
+    @F.arrow_udf("long")
+    def hashed(texts: pa.Array) -> pa.Array:
+        codes = np.frombuffer(LETTERS.encode(), np.uint8)
+        first, second = (np.array([LETTERS.index(p[k]) for p in letter_pairs()]) for k in (0, 1))
+        counts = np.zeros((len(texts), len(codes)), np.int64)
+        for i, t in enumerate(texts.cast(pa.large_binary())):
+            if (buffer := t.as_buffer()) is not None:
+                counts[i] = np.bincount(np.frombuffer(buffer, np.uint8), minlength=256)[codes]
+        bits = np.packbits(counts[:, first] > counts[:, second], axis=1, bitorder="little")
+        return pa.array(np.ascontiguousarray(bits).view("<i8").reshape(-1))
+
+    return hashed(text)
 
 
 def letter_hash_sql(text: str) -> str:

@@ -2,7 +2,9 @@
 
 import random
 
-from reelspan.operators import duplicates, graph
+from pyspark.sql import functions as F
+
+from reelspan.operators import duplicates, graph, similarity
 
 
 def test_videos_of_near_hashes_are_linked_by_neighbours(spark):
@@ -36,3 +38,18 @@ def test_videos_of_near_hashes_are_linked_by_neighbours(spark):
         for x in found.collect():
             rated[roots[x.a]] = min(x.distance, rated.get(roots[x.a], 99))
         assert rated == best
+
+
+def test_hashes_are_worked_out_once(spark):
+    """A hash may cost a pass over a text: each row's is worked out once, however often rows are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def costly(i):
+        seen.add(1)
+        return i // 2
+
+    for search in (similarity.hamming_links, similarity.hamming_pairs):
+        seen.value = 0
+        search(spark.range(200).select("id", costly.asNondeterministic()("id").alias("h")), "id", "h", 1).count()
+        assert seen.value == 200
