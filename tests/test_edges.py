@@ -56,3 +56,9 @@ def test_unknown_and_fractional_dates_of_islands(spark, tmp_path):
     ]
     ours, theirs = both(spark, tmp_path, "interval_union", "lineitem", "l_partkey long, l_shipdate timestamp_ntz, l_quantity double", rows)
     assert ours == theirs
+
+
+def test_neighbours_of_zero_and_unknown_vectors(spark, tmp_path):
+    rows = [(100 * i, [1.0, 0.1 * i]) for i in range(4)] + [(7, [0.0, 0.0]), (8, None), (400, None), (500, [0.0, 0.0]), (9, [1.0, 0.05])]
+    ours, theirs = both(spark, tmp_path, "cosine_neighbors", "embeddings", "vec_id long, embedding array<float>", rows)
+    assert ours == theirs
