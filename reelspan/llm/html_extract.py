@@ -5,15 +5,16 @@ sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts, by e
 class or id) are left out, and where a page has article or main elements only their blocks count. Words of reader comments and teasers decide
 wherever they stand in a name, of an article element too; others decide as the first or last word of a name whose other words
 only say what sort of box it is. Words of state turn a name round: no-sidebar, ad-free and comments-open are about a page.
-Text of a landmark-free page is undecided: there the suffix array of its host decides. The token streams of the
-host's undecided pages are taken together; suffixes are grouped by the digest of their first `depth`
-tokens. Neighbours in the sorted suffix array share a prefix of `depth` tokens just if they fall into one group, and a
-longer repeat is the union of its substrings of that length, so sorting any deeper finds nothing more. Where a
-prefix occurs on `pages` or more pages of different content its tokens are boilerplate. Covered tokens are
-removed and the unique runs kept; a page that is covered whole has no text. Pages of equal content are one page.
+
+The suffix array of a host is over what stands outside the articles of all its pages: the text of menus, footers and other
+landmarks, and the undecided text of pages without landmarks. Its suffixes are sorted token by token, up to `depth` tokens (a
+token counts by its digest, so the order is another one than that of letters, with the same neighbours in a run); neighbours with a common prefix of `depth`
+tokens are a run, and where a run is from `pages` or more pages of different content its tokens are boilerplate. A longer repeat is
+the union of its substrings of that length, so sorting any deeper finds nothing more. Covered tokens are removed from undecided text
+and the unique runs kept; a page that is covered whole has no text. Pages of equal text are one page. So a line that other pages of the host mark as their footer goes from a page without landmarks too.
 
 The suffix array alone can't give right results: menus and adverts may be unique to a page, and
-an article, or a passage of it, may stand on several pages; so it has no say inside an article element.
+an article, or a passage of it, may stand on several pages, or in menus; so it has no say inside an article element.
 
 Defined results: a null html is empty; repeated rows give repeated results, and count as one page for
 repeats; a null url has the empty host; a prefix on exactly `pages` pages is boilerplate; further columns are
@@ -29,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -151,8 +153,15 @@ def markup(page: str) -> Iterator[tuple[str, re.Match | None]]:
 
 def blocks_of(page: str) -> tuple[bool, list[str]]:
     """Whether the page marks its main text, and the blocks of that text, or else all undecided blocks."""
+    marked, main, undecided, _ = parts_of(page)
+    return marked, main if marked else undecided
+
+
+def parts_of(page: str) -> tuple[bool, list[str], list[str], list[str]]:
+    """Whether the page marks its main text, and the blocks of that text, of undecided text, and of what landmarks leave out."""
     undecided: list[str] = []
     main: list[str] = []
+    left_out: list[str] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped here or above, main here or above
     open_names: Counter[str] = Counter()
@@ -163,8 +172,7 @@ def blocks_of(page: str) -> tuple[bool, list[str]]:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
                 dropped, inside = stack[-1][1:] if stack else (False, False)
-                if not dropped:
-                    (main if inside else undecided).append(text)
+                (left_out if dropped else main if inside else undecided).append(text)
             held.clear()
 
     def leave() -> str:
@@ -173,7 +181,7 @@ def blocks_of(page: str) -> tuple[bool, list[str]]:
         return name
 
     for text, m in markup(page):
-        if text and not (stack and stack[-1][1]):
+        if text:
             held.append(text)
         if m is None:
             continue
@@ -194,6 +202,8 @@ def blocks_of(page: str) -> tuple[bool, list[str]]:
         if name in RAW or name in VOID or m["attrs"].endswith("/") and name not in BLOCKS:
             continue
         if name == "body":
+            if dropped:
+                close()
             while stack:  # a head that was never closed ends here
                 leave()
             dropped = inside = False
@@ -210,41 +220,87 @@ def blocks_of(page: str) -> tuple[bool, list[str]]:
             stack.append((name, dropped or drop, is_main))
             open_names[name] += 1
     close()
-    return marked, main if marked else undecided
+    return marked, main, undecided, left_out
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, page (key), host, marked, blocks."""
+    """page_id, url, host (digest), marked, blocks, content (digest of the text that makes it a page of its own), outside, shape (of host, content and outside).
+
+    outside: what is not main text, undecided and left out, as two strings of tokens.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [blocks_of(h or "") for h in batch.column("html").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "url", "page", "host")), pa.array([m for m, _ in found], pa.bool_()), pa.array([b for _, b in found], pa.list_(pa.string()))],
-            names=["page_id", "url", "page", "host", "marked", "blocks"],
-        )
+        marked, blocks, content, outside = [], [], [], []
+        for html in batch.column("html").to_pylist():
+            is_marked, main, undecided, left_out = parts_of(html or "")
+            marked.append(is_marked)
+            blocks.append(main if is_marked else undecided)
+            content.append(_digest(" ".join(blocks[-1])))
+            outside.append([" ".join(undecided), " ".join(left_out)])
+        columns = [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(marked, pa.bool_()), pa.array(blocks, pa.list_(pa.string())), pa.array(content, pa.int64()), pa.array(outside, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "marked", "blocks", "content", "outside"])
 
     host = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]+)", 1), F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long"), "url", F.xxhash64("page_id", "url", "html").alias("page"), F.lower(host).alias("host"), "html")
-    return shared.arrow_map(keyed, work, "page_id long, url string, page long, host string, marked boolean, blocks array<string>")
+    keyed = pages.select(F.col("page_id").cast("long"), "url", F.xxhash64(F.lower(host)).alias("host"), "html")
+    parsed = shared.arrow_map(keyed, work, "page_id long, url string, host long, marked boolean, blocks array<string>, content long, outside array<string>")
+    return parsed.withColumn("shape", F.xxhash64("host", "content", "outside"))
 
 
-def _suffixes(pages: DataFrame, depth: int) -> DataFrame:
-    """host, prefix (digest of a suffix's first tokens), page, content (digest of the page's tokens), at."""
+TOKEN_BYTES = 6  # of a token's digest in a key of the suffix array
 
-    def work(batch: pa.RecordBatch):
-        for host, page, blocks in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-            tokens = " ".join(blocks).split(" ")
-            n = len(tokens) - depth + 1
-            if n < 1:
-                continue
-            content = xxhash.xxh64_intdigest(" ".join(tokens)) >> 1
-            digests = [xxhash.xxh64_intdigest(" ".join(tokens[i : i + depth])) >> 1 for i in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([host] * n), pa.array(digests, pa.int64()), pa.array([page] * n, pa.int64()), pa.array([content] * n, pa.int64()), pa.array(range(n), pa.int32())],
-                names=["host", "prefix", "page", "content", "at"],
-            )
 
-    return shared.arrow_map(pages.select("host", "page", "blocks"), work, "host string, prefix long, page long, content long, at int")
+def suffix_keys(tokens: list[str], depth: int) -> list[bytes]:
+    """The digests of the first `depth` tokens of each suffix that is as long, side by side: they sort as the suffixes do by tokens."""
+    digests = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens)).astype(">u8")
+    packed = digests.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BYTES :].tobytes()
+    return [packed[i : i + depth * TOKEN_BYTES] for i in range(0, (len(tokens) - depth + 1) * TOKEN_BYTES, TOKEN_BYTES)]
+
+
+def _suffixes(streams: DataFrame, depth: int) -> DataFrame:
+    """key (host and first tokens), content, shape and at (counted over both strings of outside) of each suffix of streams (host, content, shape, outside)."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for host, content, shape, outside in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "shape", "outside")), strict=True):
+            first, front = 0, host.to_bytes(8, "big", signed=True)
+            for text in outside:
+                tokens = text.split(" ") if text else []
+                keys = suffix_keys(tokens, depth)
+                if n := len(keys):
+                    columns = [pa.array([front + k for k in keys], pa.binary()), pa.array([content] * n, pa.int64()), pa.array([shape] * n, pa.int64()), pa.array(range(first, first + n), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "content", "shape", "at"])
+                first += len(tokens)
+
+    return shared.arrow_map(streams.select("host", "content", "shape", "outside"), work, "key binary, content long, shape long, at int")
+
+
+def repeated_keys(suffixes: DataFrame, pages: int) -> DataFrame:
+    """The keys of suffixes (key, content) that stand in so many different contents: runs of equal neighbours of the sorted suffix array.
+
+    The array is sorted over ranges of keys, so a run lies in one of them; a task holds its last key and content only.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = content = None
+        n = 0
+        for batch in batches:
+            found = []
+            for k, c in zip(batch.column("key").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if k != key:
+                    n = 0
+                elif c == content:
+                    continue
+                key, content = k, c
+                n += 1
+                if n == pages:
+                    found.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["key"])
+
+    array = suffixes.select("key", "content").repartitionByRange("key").sortWithinPartitions("key", "content")
+    return array.mapInArrow(work, "key binary")
 
 
 def without_covered(blocks: list[str], starts: list[int], rules: ExtractionRules) -> list[str]:
@@ -267,16 +323,16 @@ def main_text(pages: DataFrame, rules: ExtractionRules = ExtractionRules()) -> D
     """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
     parsed = shared.written(_parsed(pages), "parsed-pages")
     undecided = parsed.where("not marked and size(blocks) > 0")
-    suffixes = _suffixes(undecided, rules.depth)
-    repeated = suffixes.groupBy("host", "prefix", "content").agg(F.lit(1).alias("one")).groupBy("host", "prefix").agg(F.count("*").alias("n")).where(F.col("n") >= rules.pages)
-    repeated = shared.written(repeated.select("host", "prefix"), "repeated-prefixes")
-    starts = suffixes.join(repeated, ["host", "prefix"]).groupBy("page").agg(F.collect_set("at").alias("starts"))
+    suffixes = _suffixes(parsed.where("outside[0] <> '' or outside[1] <> ''").dropDuplicates(["shape"]), rules.depth)
+    repeated = shared.written(repeated_keys(suffixes, rules.pages), "repeated-prefixes")
+    asked = _suffixes(undecided.dropDuplicates(["shape"]), rules.depth)
+    starts = asked.join(repeated, "key").groupBy("shape").agg(F.collect_set("at").alias("starts"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         blocks = [without_covered(b, s or [], rules) for b, s in zip(batch.column("blocks").to_pylist(), batch.column("starts").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(blocks, pa.list_(pa.string()))], names=["page_id", "url", "blocks"])
 
-    decided = shared.arrow_map(undecided.join(starts, "page", "left").select("page_id", "url", "blocks", "starts"), work, "page_id long, url string, blocks array<string>")
+    decided = shared.arrow_map(undecided.join(starts, "shape", "left").select("page_id", "url", "blocks", "starts"), work, "page_id long, url string, blocks array<string>")
     rest = parsed.where("marked or size(blocks) = 0").select("page_id", "url", "blocks")
     text = F.array_join("blocks", "\n")
     return rest.union(decided).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

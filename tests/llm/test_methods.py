@@ -123,6 +123,31 @@ def test_host_suffix_array_equals_brute_force(spark):
     assert got == want and any(want[i] != "\n".join(p) for i, (_, p) in enumerate(texts))
 
 
+def test_footers_of_other_pages_go_from_a_page_without_landmarks(spark):
+    """The suffix array is over the text outside the articles of all pages of a host, and has no say inside them."""
+    line = prose(14, 910).replace(".", "")
+    rows = [(i, "https://h.example/", f"<nav>{prose(4, 920 + i)}</nav><article><p>{prose(30, 930 + i)}</p></article><footer>{line}</footer>") for i in range(3)]
+    rows += [(3, "https://h.example/", f"<p>{prose(30, 940)}</p><p>{line}</p>"), (4, "https://other.example/", f"<p>{prose(30, 941)}</p><p>{line}</p>"), (5, "https://h.example/", f"<article><p>{line}</p></article>")]
+    got = {x.page_id: x.text for x in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: prose(30, 930 + i) for i in range(3)}, 3: prose(30, 940), 4: f"{prose(30, 941)}\n{line}", 5: line}
+
+
+def test_suffixes_are_sorted_by_tokens(spark):
+    """Sorted by their keys, suffixes that share their first tokens are neighbours at every depth, and keys that stand in enough contents are found."""
+    r = random.Random(3)
+    docs = [[r.choice("abc") for _ in range(r.randint(0, 40))] for _ in range(20)]
+    rows = [(bytes(k), c, tuple(t[i : i + 6])) for c, t in enumerate(docs) for i, k in enumerate(html_extract.suffix_keys(t, 6))]
+    array = [tokens for _, _, tokens in sorted(rows)]
+    for depth in range(1, 7):
+        heads = [t[:depth] for t in array]
+        assert sum(a != b for a, b in zip(heads, heads[1:])) + 1 == len(set(heads))
+    found = html_extract.repeated_keys(spark.createDataFrame([x[:2] for x in rows], "key binary, content long"), 3).collect()
+    contents = defaultdict(set)
+    for k, c, _ in rows:
+        contents[k].add(c)
+    assert sorted(bytes(x.key) for x in found) == sorted(k for k, cs in contents.items() if len(cs) >= 3)
+
+
 def brute_cost(value, ranks, costs):
     """The least price over all segmentations, every span priced from its definition."""
     n, low, each = len(value), "".join(c.lower() if c.isascii() else c for c in value), log10(secret_scan._classes(value))
