@@ -1,7 +1,11 @@
-"""Near-duplicates of a corpus: MinHash buckets as candidates, then the exact Jaccard similarity of word shingles.
+"""Near-duplicates of a corpus: SimHash and BK-trees over shards, MinHash buckets for what is beyond their radius, and the exact Jaccard similarity of word shingles.
 
 Two texts link where their sets of `width`-word shingles (ASCII-lower-cased words) have a Jaccard
-similarity of `similarity` or more; groups are the connected components of the links. A set falls
+similarity of `similarity` or more; groups are the connected components of the links.
+
+A set's SimHash is the majority of its shingles' bits. The BK-trees of `simhash` find sets whose SimHashes differ in at most `radius` bits, and such pairs link if the exact similarity says so.
+That joins texts with few changes. Two sets at similarity 0.8 differ in some ten bits, more than trees can be searched for at scale, so what the trees leave apart meets in
+MinHash buckets, which are looked at where they hold several groups. A set falls
 into one bucket for each of `bands` bands of `rows` least hashes: a pair of similarity s shares a
 bucket with probability 1 - (1 - s^rows)^bands, 0.9998 at 0.8. Of buckets with the same members
 one is looked at.
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from . import shared
+from . import shared, simhash
 
 
 def shingle_set(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -97,15 +101,33 @@ def set_links(sets: list[np.ndarray], similarity: float, labels: list[int] | Non
 
 
 def _signed_sets(texts: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc, digest, set_id and buckets of each row of texts (doc, digest, text)."""
+    """doc, digest, set_id, fingerprint and buckets of each row of texts (doc, digest, text)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width, seed) for t in shared.byte_texts(batch.column("text"))]
         ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
         keys = pa.array([bucket_keys(s, bands, rows, seed) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("digest"), pa.array(ids), keys], names=["doc", "digest", "set_id", "buckets"])
+        prints = np.fromiter(map(simhash.majority_bits, sets), np.uint64, len(sets)).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("digest"), pa.array(ids), pa.array(prints), keys], names=["doc", "digest", "set_id", "fingerprint", "buckets"])
+
+    return shared.arrow_map(texts, work, "doc long, digest long, set_id long, fingerprint long, buckets array<long>")
+
+
+def _distinct_sets(signed: DataFrame) -> DataFrame:
+    """set_id, low (the least doc and digest that has it), fingerprint and buckets of the different sets."""
+    found = signed.groupBy("set_id").agg(F.min(F.struct("doc", "digest")).alias("low"), F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets"))
+    return shared.written(found, "shingle-sets")
+
 
-    return shared.arrow_map(texts, work, "doc long, digest long, set_id long, buckets array<long>")
+def _tree_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """Pairs of sets (a, b) whose SimHashes are equal or linked by the trees: the least set of each fingerprint stands for it."""
+    least = sets.groupBy("fingerprint").agg(F.min("set_id").alias("a"))
+    least = shared.written(least, "fingerprints")
+    equal = sets.join(least, "fingerprint").where(F.col("a") != F.col("set_id")).select("a", F.col("set_id").alias("b"))
+    found = simhash.links(least.select("fingerprint"), radius)
+    linked = found.join(least.select(F.col("fingerprint").alias("x"), F.col("a").alias("set_a")), F.col("a") == F.col("x")).select("set_a", "b")
+    linked = linked.join(least.select(F.col("fingerprint").alias("x"), F.col("a").alias("set_b")), F.col("b") == F.col("x")).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    return shared.written(equal.union(linked), "tree-pairs")
 
 
 def _members(sets: DataFrame, bound: int) -> DataFrame:
@@ -120,9 +142,9 @@ def _members(sets: DataFrame, bound: int) -> DataFrame:
     return shared.written(each.join(chosen, "bucket"), "members")
 
 
-def _hashes(members: DataFrame, sets: DataFrame, texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """(set_id, hashes) of the sets of members."""
-    asked = sets.join(members.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "low.doc", "low.digest")
+def _hashes(wanted: DataFrame, sets: DataFrame, texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """(set_id, hashes) of the sets of wanted (set_id)."""
+    asked = sets.join(wanted.distinct(), "set_id", "left_semi").select("set_id", "low.doc", "low.digest")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set(t, width, seed).tobytes() for t in shared.byte_texts(batch.column("text"))]
@@ -177,13 +199,19 @@ def _open(hot: DataFrame) -> DataFrame:
     return shared.written(hot.join(several, "bucket"), "open-buckets")
 
 
-def groups(sets: DataFrame, texts: DataFrame, similarity: float, width: int, seed: int, bound: int) -> DataFrame:
-    """(set_id, label) of each set. sets: (set_id, buckets, low: a doc and digest that has it); texts: (doc, digest, text)."""
+def groups(sets: DataFrame, texts: DataFrame, similarity: float, width: int, seed: int, bound: int, radius: int) -> DataFrame:
+    """(set_id, label) of each set. sets: (set_id, fingerprint, buckets, low: a doc and digest that has it); texts: (doc, digest, text)."""
+    pairs = _tree_pairs(sets, radius)
     members = _members(sets, bound)
-    hashes = _hashes(members, sets, texts, width, seed)
+    each = F.explode(F.array("a", "b")).alias("set_id")
+    hashes = _hashes(members.select("set_id").union(pairs.select(each)), sets, texts, width, seed)
+    trees = _links(pairs.select(F.xxhash64("a", "b").alias("bucket"), F.lit(0).cast("long").alias("part"), each, F.lit(True).alias("asks")).withColumn("label", F.col("set_id")), hashes, similarity)
+    labelled = shared.written(_relabelled(sets.select("set_id", F.col("set_id").alias("label")), trees), "tree-labels")
+    apart = members.join(labelled, "set_id").groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
+    members = shared.written(members.join(apart, "bucket"), "members-apart")
     parts = F.when(F.col("set_id") == F.col("lead"), _all_parts()).otherwise(F.array(_part()))
-    first = _links(members.select("bucket", F.explode(parts).alias("part"), "set_id", F.col("set_id").alias("label"), F.lit(True).alias("asks")), hashes, similarity)
-    labelled = _relabelled(sets.select("set_id", F.col("set_id").alias("label")), first)
+    first = _links(members.join(labelled, "set_id").select("bucket", F.explode(parts).alias("part"), "set_id", "label", F.lit(True).alias("asks")), hashes, similarity)
+    labelled = _relabelled(labelled, first)
     hot = members.where("parts > 1").select("bucket", "parts", "set_id")
     if hot.isEmpty():
         return labelled
@@ -211,21 +239,21 @@ def groups(sets: DataFrame, texts: DataFrame, similarity: float, width: int, see
     return _relabelled(labelled, _links(rows, hashes, similarity))
 
 
-def classes(docs: DataFrame, key: Column, similarity: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4, seed: int = 42, bound: int = 256) -> DataFrame:
+def classes(docs: DataFrame, key: Column, similarity: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4, seed: int = 42, bound: int = 256, radius: int = 4) -> DataFrame:
     """(text_key, label) of each different text of docs (doc_id, text): near-duplicates share a label. key: a digest of the text."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), key.alias("digest"), "text")
     signed = shared.written(_signed_sets(texts, width, bands, rows, seed), "signed")
-    sets = shared.written(signed.groupBy("set_id").agg(F.min(F.struct("doc", "digest")).alias("low"), F.first("buckets").alias("buckets")), "shingle-sets")
-    labels = groups(sets, texts, similarity, width, seed, bound)
+    sets = _distinct_sets(signed)
+    labels = groups(sets, texts, similarity, width, seed, bound, radius)
     return signed.select(F.col("digest").alias("text_key"), "set_id").distinct().join(labels, "set_id").select("text_key", "label")
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4, seed: int = 42, bound: int = 256) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4, seed: int = 42, bound: int = 256, radius: int = 4) -> DataFrame:
     """The rows of docs without those that have an earlier (doc_id, then text digest) near-duplicate; repeated rows stay once."""
     keyed, (digest, doc) = shared.with_keys(docs)
     texts = keyed.select(F.col(doc).alias("doc"), F.col(digest).alias("digest"), "text")
     signed = _signed_sets(texts, width, bands, rows, seed)
-    sets = shared.written(signed.groupBy("set_id").agg(F.min(F.struct("doc", "digest")).alias("low"), F.first("buckets").alias("buckets")), "shingle-sets")
-    rooted = sets.select("set_id", "low").join(groups(sets, texts, similarity, width, seed, bound), "set_id")
+    sets = _distinct_sets(signed)
+    rooted = sets.select("set_id", "low").join(groups(sets, texts, similarity, width, seed, bound, radius), "set_id")
     stays = rooted.groupBy("label").agg(F.min("low").alias("low")).select(F.col("low.digest").alias(digest), F.col("low.doc").alias(doc))
     return keyed.join(shared.written(stays, "stays"), [digest, doc], "left_semi").dropDuplicates([digest, doc]).select(*docs.columns)

@@ -37,6 +37,13 @@ from . import shared
 BITS = 64
 
 
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of some 64-bit hashes; 0 for none."""
+    n = len(hashes)
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     """The majority bits of the XXH64 of all shingles of the ASCII-lower-cased words."""
     words = text.lower().split()
@@ -48,8 +55,7 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     n = max(1, len(words) - width + 1)
     ends = starts[width:] if len(words) >= width else [len(joined) + 1]
     hashes = np.fromiter((digest(joined[a : b - 1], seed) for a, b in zip(starts[:n], ends, strict=True)), np.uint64, n)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority_bits(hashes)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:

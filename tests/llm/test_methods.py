@@ -148,6 +148,22 @@ def test_suffixes_are_sorted_by_tokens(spark):
     assert sorted(bytes(x.key) for x in found) == sorted(k for k, cs in contents.items() if len(cs) >= 3)
 
 
+def test_near_copies_are_found_by_trees_and_judged_by_similarity(spark):
+    """Without any MinHash bucket, texts whose SimHashes differ in a few bits meet, and link only if they are similar enough."""
+    texts = []
+    for k in range(6):
+        words = prose(900, 70_000 + k).split()
+        texts += [" ".join(words), " ".join(w if j != 400 else "changed" for j, w in enumerate(words))]
+    sets = [near_dedup.shingle_set(t.encode()) for t in texts]
+    prints = [simhash.majority_bits(x) for x in sets]
+    near = {k for k in range(6) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 4}
+    assert len(near) >= 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for similarity, joined in ((0.8, near), (0.9999, set())):
+        kept = {x.doc_id for x in near_dedup.one_of_each(docs, similarity, bands=0).collect()}
+        assert kept == set(range(12)) - {2 * k + 1 for k in joined}
+
+
 def brute_cost(value, ranks, costs):
     """The least price over all segmentations, every span priced from its definition."""
     n, low, each = len(value), "".join(c.lower() if c.isascii() else c for c in value), log10(secret_scan._classes(value))
