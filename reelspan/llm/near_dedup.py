@@ -127,7 +127,7 @@ def _tree_pairs(sets: DataFrame, radius: int) -> DataFrame:
     found = simhash.links(least.select("fingerprint"), radius)
     linked = found.join(least.select(F.col("fingerprint").alias("x"), F.col("a").alias("set_a")), F.col("a") == F.col("x")).select("set_a", "b")
     linked = linked.join(least.select(F.col("fingerprint").alias("x"), F.col("a").alias("set_b")), F.col("b") == F.col("x")).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
-    return shared.written(equal.union(linked), "tree-pairs")
+    return shared.written(equal.union(linked).distinct(), "tree-pairs")  # a pair is linked in every shard that it shares
 
 
 def _members(sets: DataFrame, bound: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each round is two joins with per-node minima; no neighbour list is ever gathered. A node of more than `HUB`
 neighbours is dealt over several join keys, so that a large component's centre is no task of its own. Every round's
-edges are written to shared storage, so a lost executor costs one round at most.
+edges are written to shared storage, so a lost executor costs one round at most. A round is three shuffles of small rows (five, if the minima
+can't be broadcast); it is the last one when all components are stars.
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ HUBS_BROADCAST = 200_000  # hubs whose list is broadcast; more of them are joine
 SALTS = 16  # join keys of a node where hubs are looked up in the shuffle
 
 
-def _with_least(near: DataFrame) -> DataFrame:
+def _least(near: DataFrame) -> DataFrame:
+    """(a, low, n): the least of each node a and its neighbours, and how many rows of near it has."""
+    found = near.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    return scratch.written(found.select("a", F.least("a", "low").alias("low"), "n"), "least")  # read several times
+
+
+def _with_least(near: DataFrame, least: DataFrame) -> DataFrame:
     """near (a, b) with low, the least of a and its neighbours."""
-    least = near.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
-    least = scratch.written(least, "least")  # read twice
+    least = least.select("a", "low", F.ceil(F.col("n") / HUB).cast("int").alias("parts"))
     hubs = least.where("parts > 1").select("a", "parts")
     n = hubs.count()
     if not n:
@@ -36,15 +42,19 @@ def _with_least(near: DataFrame) -> DataFrame:
     return dealt.join(each, ["a", "part"]).drop("part")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (a, b) with a > b. Large: larger neighbours move to the least of a node's neighbourhood; small: the others do."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both if large else edges
-    joined = _with_least(near)
-    if large:
-        moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    else:
-        moved = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(joined.select("a", F.col("low").alias("b")))
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+
+
+def _large_star(near: DataFrame, least: DataFrame) -> DataFrame:
+    """near: edges in both directions. Larger neighbours move to the least of a node's neighbourhood; one row for each edge."""
+    return _with_least(near, least).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """edges: (a, b) with a > b, repeats allowed. A node and its smaller neighbours move to the least of these."""
+    joined = _with_least(edges, _least(edges))
+    moved = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
     return moved.where("a <> b").distinct()
 
 
@@ -54,12 +64,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges: columns a and b of one orderable type, in any direction, repeats and loops allowed.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = scratch.written(now, "edges"), None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
+    now = scratch.written(now, "edges")
+    while not now.isEmpty():
+        near = _both(now)
+        least = _least(near)
+        if least.where("low < a and n > 1").isEmpty():  # whoever is not the least has one neighbour, so all are stars
             break
-        seen = state
-        now = scratch.written(_star(_star(now, True), False), "edges")
-    roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+        now = scratch.written(_small_star(_large_star(near, least)), "edges")
+    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from reelspan.llm import near_dedup
 from reelspan.operators import duplicates, graph, similarity
 
 
@@ -53,3 +54,28 @@ def test_hashes_are_worked_out_once(spark):
         seen.value = 0
         search(spark.range(200).select("id", costly.asNondeterministic()("id").alias("h")), "id", "h", 1).count()
         assert seen.value == 200
+
+
+def test_components_end_when_all_are_stars(spark, monkeypatch):
+    """Edges that are stars cost their own table and that of the minima, no round to see that nothing changes; others are joined as by brute force."""
+    tables = []
+    monkeypatch.setattr(graph.scratch, "written", lambda df, name, write=graph.scratch.written: (tables.append(name), write(df, name))[1])
+    stars = [(100 * i, 100 * i + k) for i in range(20) for k in range(1, 12)] + [(5, 5)]
+    got = {x.node: x.root for x in graph.connected_components(spark.createDataFrame(stars * 2, "a long, b long")).collect()}
+    assert tables == ["edges", "least"] and got == {n: 100 * (n // 100) for a, b in stars if a != b for n in (a, b)}
+
+    r = random.Random(5)
+    nodes = r.sample(range(10_000), 400)
+    edges = [(nodes[i], nodes[max(0, i - r.randrange(1, 9))]) for i in range(1, 400) if i % 40] + [(7_000_000, 7_000_001)]
+    label = {n: n for e in edges for n in e}
+    for a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = {n: low if x == high else x for n, x in label.items()}
+    assert {x.node: x.root for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == label
+
+
+def test_a_pair_of_many_shards_is_compared_once(spark):
+    """Near fingerprints meet in most of their shards; their sets travel once."""
+    sets = spark.createDataFrame([(i, [0, 1, 3, 1 << 40][i % 4]) for i in range(8)], "set_id long, fingerprint long")
+    pairs = [tuple(x) for x in near_dedup._tree_pairs(sets, 4).collect()]
+    assert len(pairs) == len(set(pairs)) >= 7
