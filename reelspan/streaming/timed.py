@@ -12,12 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-ROW = "event_id long, at_us long, value double"
+ROWS = "rows binary"  # what waits, packed; beside it the fold's state (null: none), as each call for state is a round trip of its own
+_PACKED = np.dtype([("at_us", "<i8"), ("event_id", "<i8"), ("value", "<f8")])  # a null value is not a number
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -74,35 +76,35 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", self.fold.state)
-        self.waiting = handle.getListState("waiting", ROW)
+        self.held = handle.getListState("held", f"{ROWS}, {self.fold.state}")  # one value for each micro-batch that brought rows
+        self.none = (None,) * len(self.fold.state.split(", "))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
-        new = [(int(i), int(t), None if pd.isna(v) else float(v)) for frame in rows for i, t, v in zip(frame["event_id"], frame["at_us"], frame["value"], strict=True)]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(t for _, t, _ in new) // 1000 + 1)
+        packed = [np.rec.fromarrays([frame[c].to_numpy(kind) for c, (kind, _) in _PACKED.fields.items()], dtype=_PACKED) for frame in rows]
+        new = np.concatenate(packed)
+        self.held.appendValue((new.tobytes(), *self.none))
+        self.handle.registerTimer(int(new["at_us"].min()) // 1000 + 1)
         yield self._frame(key, [])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[1], r[0])) if self.waiting.exists() else []
-        due, later = [r for r in rows if r[1] < passed], [r for r in rows if r[1] >= passed]
-        state, out = tuple(self.held.get()) if self.held.exists() else None, []
-        for row in due:
-            state, found = self.fold.step(state, row)
+        values = [tuple(x) for x in self.held.get()]
+        rows = np.concatenate([np.frombuffer(bytes(x[0]), _PACKED) for x in values]) if values else np.empty(0, _PACKED)
+        rows = rows[np.lexsort((rows["event_id"], rows["at_us"]))]
+        first_later = int(np.searchsorted(rows["at_us"], passed))
+        due, later = rows[:first_later].tolist(), rows[first_later:]
+        state, out = next((x[1:] for x in values if x[1] is not None), None), []
+        for at, event_id, value in due:
+            state, found = self.fold.step(state, (event_id, at, None if value != value else value))
             out += found
         if state is not None and self.fold.ends(state) <= passed:  # any row still to come is later
             out += self.fold.finish(state)
             state = None
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        if state is None:
+        if len(later) or state is not None:
+            self.held.put([(later.tobytes(), *(self.none if state is None else state))])
+        elif values:
             self.held.clear()
-        else:
-            self.held.update(state)
-        if wake := [r[1] for r in later[:1]] + ([self.fold.ends(state)] if state else []):
+        if wake := later["at_us"][:1].tolist() + ([self.fold.ends(state)] if state else []):
             self.handle.registerTimer(min(wake) // 1000 + 1)
         yield self._frame(key, out)
 

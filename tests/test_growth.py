@@ -2,10 +2,12 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from reelspan.llm import near_dedup
 from reelspan.operators import duplicates, graph, similarity
+from reelspan.streaming import timed
 
 
 def test_videos_of_near_hashes_are_linked_by_neighbours(spark):
@@ -79,3 +81,43 @@ def test_a_pair_of_many_shards_is_compared_once(spark):
     sets = spark.createDataFrame([(i, [0, 1, 3, 1 << 40][i % 4]) for i in range(8)], "set_id long, fingerprint long")
     pairs = [tuple(x) for x in near_dedup._tree_pairs(sets, 4).collect()]
     assert len(pairs) == len(set(pairs)) >= 7
+
+
+class _Calls:
+    """A key's state and timers that count the calls made, each a round trip of a streaming worker."""
+
+    def __init__(self):
+        self.values, self.calls, self.wakes = [], 0, []
+
+    def getListState(self, name, schema):  # noqa: N802 (Spark's names)
+        return self
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 50_000
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls, self.wakes = self.calls + 1, [*self.wakes, at]
+
+    def appendValue(self, value):  # noqa: N802
+        self.calls, self.values = self.calls + 1, [*self.values, value]
+
+    def put(self, values):
+        self.calls, self.values = self.calls + 1, list(values)
+
+    def clear(self):
+        self.put([])
+
+    def get(self):
+        self.calls += 1
+        return iter(self.values)
+
+
+def test_a_wake_of_a_key_is_three_calls_for_state():
+    """Rows are one call and a timer; a wake reads, writes and sets its timer once, whatever waits; unknown values, open sessions and rows still to come stay as they were."""
+    key, state = timed._Ordered(timed.CappedSessions(10_000_000, 3)), _Calls()
+    key.init(state)
+    frame = pd.DataFrame({"event_id": [4, 2, 9, 7], "at_us": [30_000_000, 20_000_000, 70_000_000, 45_000_000], "value": [None, 2.5, 1.0, None]})
+    assert [len(x) for x in key.handleInputRows((1,), iter([frame[:2], frame[2:]]), state)] == [0] and state.calls == 2
+    out = [tuple(x) for f in key.handleExpiredTimer((1,), state, None) for x in f.itertuples(index=False)]
+    assert out == [(1, 20_000_000, 30_000_000, 2, 2.5)] and state.calls == 5
+    assert state.values[0][1:] == (45_000_000, 45_000_000, 1, None) and len(state.values) == 1 and state.wakes == [20_001, 55_001]
