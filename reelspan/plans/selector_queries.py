@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import rules, terms
 from ..functions.scalars import letter_hash, seconds
 from ..operators import repetition, selectors, sessions
-from .curation_queries import _ASSETS, _list, assets
+from ..sources import scratch
+from .curation_queries import _ASSETS, _list, as_assets, assets
 from .registry import Tables, query
 from .timeline_queries import _SESSIONS, CAP, _sessions
 
@@ -37,9 +38,10 @@ def _opening_rank(kind: Column) -> Column:
 
 def segments(t: Tables) -> DataFrame:
     """The assets as windows of their users' footage, with what selectors ask of them."""
-    m = assets(t)
-    whole = m.groupBy("user_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    spans = m.join(whole, "user_id").withColumns({"start": F.col("at") - F.col("first"), "source_seconds": F.col("last") - F.col("first")})
+    events = t.events.select("event_id", "user_id", "ts", "value")
+    whole = scratch.written(events.groupBy("user_id").agg(F.min(seconds(F.col("ts"))).alias("first"), F.max(seconds(F.col("ts"))).alias("last")), "footage")
+    # joined first: tags and names are wider than what they are made of
+    spans = as_assets(events.join(whole, "user_id"), "first", "last").withColumns({"start": F.col("at") - F.col("first"), "source_seconds": F.col("last") - F.col("first")})
     kind = F.col("moment_type")
     score = F.col("technical") + 0.55 * F.col("motion") + 0.45 * F.col("story") + rules.tag_bonus("tags", rules.HIGHLIGHT_BONUS)
     weak = ("ground_only", "setup_surface", "weak_close_pov")

@@ -285,6 +285,74 @@ def test_highlight(spark, required):
     compared(spark, SEGMENT, groups, run, plain)
 
 
+@pytest.mark.parametrize("required, most, target, per_source, limits", [((), 6, 900.0, 2, {"people_group": 0, "scenic": 0}), (("speed_action",), 9, 900.0, 1, {}), (("lit_tunnel", "pool"), 8, 12.0, 2, {"motion": 0}), ((), 5, 30.0, 0, {"water_action": 1})])
+def test_highlight_of_many_sources(spark, monkeypatch, required, most, target, per_source, limits):
+    """Rows that come after so many sources as a highlight has rows are not offered, and no row is missed by that: all rules over all rows take the same."""
+    r = random.Random(most)
+    coverage = {"water": 1, "scenic": 2}
+    plan = selectors.Highlight(target=target, most=most, per_source=per_source, required_tags=required, coverage=coverage, coverage_gap=8.0, layout_limits=limits)
+    groups = []
+    for g in range(60):
+        group = segments(r, g, r.choice([3, 40, 200]))
+        spread = r.choice([4, 30, 150])
+        for x in group:
+            source = r.randrange(spread)
+            x |= {"source": None if source == 3 else source, "source_order": None if source == 5 and g % 3 else source // 2, "start": r.choice([x["start"], x["start"] // 40]), "score": r.choice([x["score"], x["score"], -1.5, None if g % 4 == 0 else 3.0]), "memory_flag": x["memorable"]}
+            x["end"] = x["start"] + x["seconds"]
+        groups.append(group)
+
+    def plain(group):
+        out, turn = Plain(), 0
+        rows = [x for x in group if x["strong"]] or group
+        best = lambda some: by_order(some, lambda x: None if x["score"] is None else -x["score"])
+
+        def add(x, turn, capped=False):
+            if out.has(x) or out.seconds() >= target or out.overlaps(x) or len(out.rows) >= most or capped and x["source"] is not None and out.count(lambda y: y["source"] == x["source"]) >= per_source:
+                return False
+            kind = plain_layout(x)
+            return not (kind and out.count(lambda y: y["source"] == x["source"] and plain_layout(y) == kind) >= limits.get(kind, 2)) and out.take(x, turn)
+
+        for tag in required:
+            for x in best([x for x in rows if x["bucket"] == "middle" and tagged(x, tag)])[:1]:
+                add(x, turn)
+            turn += 1
+        seen = set()
+        for x in best([x for x in rows if x["memory_flag"]]):
+            if x["source"] not in seen and len(seen) < max(8, min(most, round(most * 0.75))) and add(x, turn):
+                seen.add(x["source"])
+        turn += 1
+        swept = []
+        for source in {x["source"] for x in rows}:
+            own = [x for x in rows if x["source"] == source]
+            for place, (tag, n) in enumerate(coverage.items()):
+                some = []
+                for x in best([x for x in own if tagged(x, tag)]):
+                    if len(some) < n and all(abs(x["start"] - y["start"]) >= 8.0 for y in some):
+                        some.append(x)
+                swept += [x | {"turn": turn + place, "place": place} for x in some]
+            swept += [x | {"turn": turn + 2, "place": 2} for x in best(own)[:per_source] if required or x["final"] >= 42]
+        for x in sorted(swept, key=lambda x: (x["source_order"] is None, x["source_order"] or 0, x["place"], x["start"], x["turn"], x["key"])):
+            add(x, x["turn"], x["place"] == 2)
+        for x in by_order([x for x in rows if x["late"]], lambda x: x["start"]):
+            add(x, turn + 3)
+        if out.seconds() < 0.65 * target:
+            for x in best(rows):
+                add(x, turn + 4)
+        return out
+
+    run = lambda f: selectors.highlight(f.drop("memory").withColumnRenamed("memorable", "memory"), ["g"], "key", plan)
+    compared(spark, SEGMENT, groups, run, plain)
+
+    if per_source:  # ten rows each of more and more sources: what is offered is of a number of sources, not of all
+        offered = []
+        monkeypatch.setattr(selectors, "chosen", lambda rows, *a, chosen=selectors.chosen, **k: (offered.append(rows.count()), chosen(rows, *a, **k))[1])
+        for sources in (50, 400):
+            group = [x | {"source": i // 10, "source_order": i // 10, "strong": True, "score": float(r.randrange(10_000)), "start": r.random() * 1_000, "tags": ["pool"], "final": 60.0} for i, x in enumerate(segments(r, 0, sources * 10))]
+            frame = spark.createDataFrame([tuple(x.get(f.split()[0]) for f in SEGMENT.split(", ")) for x in group], SEGMENT)
+            run(frame)
+        assert offered[-1] < 40 * most and offered[-1] <= 2 * max(offered[:2]), offered
+
+
 def test_budgeted_timeline(spark):
     r = random.Random(7)
     groups = [segments(r, g, r.randrange(1, 70)) for g in range(250)]
