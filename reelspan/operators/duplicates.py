@@ -1,8 +1,8 @@
 """Duplicate groups of media with their reasons, keepers and manifest rows.
 
 Files of one digest are exact copies. Photos, and videos that can be compared, are near copies if their visual hashes nearly agree: videos of known but other dimensions, or of known lengths more than two
-seconds apart, cannot. Rows that agree in all of this are one class, so no pairs of copies are made; classes are linked through blocks of their hashes, and components of the links are groups. Classes of videos
-of one hash, or of two near ones, are linked with their neighbours in length only, so their links grow with the number of classes and not with that of their pairs.
+seconds apart, cannot. Rows that agree in all of this are one class, so no pairs of copies are made; classes are linked where their hashes meet (up to two bits, in proportion to the hashes) or through blocks of their hashes (more bits),
+and components of the links are groups. Classes of videos of one hash, of two near ones, or that meet at a value, are linked with their neighbours in length only, so their links grow with the number of classes and not with that of their pairs.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch
 from .graph import connected_components
-from .similarity import _near_hashes
+from .similarity import _near_hashes, meeting_points, one_bit_pairs, star_hashes
 
 APART_SECONDS = 2.0
 EXACT, NEAR_PHOTO, NEAR_VIDEO = "exact_hash", "photo_visual_similarity", "video_visual_similarity"
@@ -20,39 +20,41 @@ PRIORITY = {EXACT: 0, NEAR_PHOTO: 1, NEAR_VIDEO: 1}  # fixed values: which reaso
 
 
 def neighbour_links(classes: DataFrame, near: DataFrame) -> DataFrame:
-    """(a, b, distance) of videos that can be compared, of one hash or of two near ones: at most six for each class of either hash, which join and rate what all pairs of comparable classes do.
+    """meeting_links() of near hashes: near holds the pairs (ha, hb) of different hashes that are near."""
+    return meeting_links(classes, near.select(F.explode(F.array("ha", "hb")).alias("h"), "ha", "hb"))
 
-    classes: first, h, width, height, duration; near: ha, hb, distance. Classes whose dimensions are known meet those of equal ones; one whose dimensions are unknown meets all. Of those within APART_SECONDS of a length,
-    the nearest on either side are enough, as these are linked with the ones beyond. A class of unknown length meets every length, so one of a kind is enough for all others.
+
+def meeting_links(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b, distance) of videos that can be compared, of one hash or of a group of hashes: six at most for each class of each, which join and rate what all pairs of comparable classes do.
+
+    classes: first, h, width, height, duration; groups: h, ha, hb (null: none), where hashes of equal ha and hb meet, either two or a value and what is one bit from it. Classes whose dimensions are known meet those of equal ones; one
+    whose dimensions are unknown meets all. Of those within APART_SECONDS of a length the nearest are enough, as these are linked with the ones beyond, and on the way from one hash to the other two that are linked differ in it.
+    Outside its own hash, the first and last of a span of APART_SECONDS stand for those between. A class of unknown length meets every length, so one of a kind is enough for all others.
+    Frames of rows begin with their group: one that ends with it costs the square of its rows.
     """
     known = (F.coalesce("width", F.lit(0)) > 0) & (F.coalesce("height", F.lit(0)) > 0)
-    rows = classes.select("first", "h", F.when(known, F.struct("width", "height")).alias("shape"), "duration")
-    sides = near.select(F.col("ha").alias("h"), "ha", "hb", "distance", F.lit(0).alias("side")).union(near.select(F.col("hb").alias("h"), "ha", "hb", "distance", F.lit(1).alias("side")))
-    own = rows.select("first", "shape", "duration", F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(0).alias("distance"), F.lit(2).alias("side"))  # of one hash: both sides are the same
-    met = rows.join(sides, "h").select(*own.columns).union(own)
-
-    def other(value: Column, aggregate, window) -> Column:
-        """An aggregate over the rows of the opposite side."""
-        of = [aggregate(F.when(F.col("side") == k, value)).over(window) for k in range(3)]
-        return F.when(F.col("side") == 0, of[1]).when(F.col("side") == 1, of[0]).otherwise(of[2])
-
-    pair, item = ["ha", "hb"], F.struct("first", "duration")
-    timed, unknown = F.col("duration").isNotNull(), F.col("shape").isNull()
-    any_shape, one_shape = Window.partitionBy(*pair), Window.partitionBy(*pair, "shape")
+    rows = classes.select("first", "h", F.when(known, F.col("width")).alias("width"), F.when(known, F.col("height")).alias("height"), "duration")
+    span, item = F.floor(F.nanvl(F.col("duration") / APART_SECONDS, F.lit(float("inf")))), F.struct("duration", "first")
+    ends = rows.groupBy("h", "width", "height", span.alias("span")).agg(F.array_distinct(F.array(F.min(item), F.max(item))).alias("ends"))
+    ends = ends.select("h", "width", "height", F.explode("ends").alias("end")).select("end.first", "h", "width", "height", "end.duration")
+    own = rows.withColumns({"ha": F.col("h"), "hb": F.col("h")})
+    met = ends.join(groups, "h").select(*own.columns).union(own)
+
+    it, timed, unknown = F.struct("first", "h"), F.col("duration").isNotNull(), F.col("width").isNull()
+    any_shape, one_shape = Window.partitionBy("ha", "hb"), Window.partitionBy("ha", "hb", "width", "height")
+    upwards, downwards = (F.asc_nulls_last("duration"), F.asc("first")), (F.desc_nulls_first("duration"), F.desc("first"))
     found = {}
-    for name, window, wanted in (("equal", one_shape, timed), ("open", any_shape, timed & unknown)):
-        ordered = window.orderBy(F.asc_nulls_last("duration"), "first")
-        before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
-        for side, frame, aggregate in (("before", before, F.last), ("after", after, F.first)):
-            nearest = other(F.when(wanted, item), lambda x, pick=aggregate: pick(x, True), frame)
-            found[f"{name}_{side}"] = F.when(timed & (F.abs(F.col("duration") - nearest["duration"]) <= APART_SECONDS), nearest["first"])
-    endless = F.col("duration").isNull()
-    found["untimed"] = other(F.when(endless & unknown, F.col("first")), F.min, any_shape)
-    found["untimed_equal"] = other(F.when(endless, F.col("first")), F.min, one_shape)
-    found["untimed_known"] = F.when(unknown, other(F.when(endless & ~unknown, F.col("first")), F.min, any_shape))
-    found["shapeless"] = F.when(endless & ~unknown, other(F.when(unknown, F.col("first")), F.min, any_shape))
-    linked = met.select("first", "distance", F.array_compact(F.array(*found.values())).alias("others"))
-    return linked.select(F.col("first").alias("a"), F.explode(F.array_distinct("others")).alias("b"), "distance").where("a <> b")
+    # of equal shapes the later one of two finds the earlier one; those of unknown shape are sought on both sides
+    for name, window, wanted in (("equal_before", one_shape.orderBy(*upwards), timed), ("open_before", any_shape.orderBy(*upwards), timed & unknown), ("open_after", any_shape.orderBy(*downwards), timed & unknown)):
+        nearest = F.last(F.when(wanted, F.struct("duration", it.alias("it"))), True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+        found[name] = F.when(timed & (F.abs(F.col("duration") - nearest["duration"]) <= APART_SECONDS), nearest["it"])
+    found["untimed"] = F.min(F.when(~timed & unknown, it)).over(any_shape)
+    found["untimed_equal"] = F.min(F.when(~timed, it)).over(one_shape)
+    found["untimed_known"] = F.when(unknown, F.min(F.when(~timed & ~unknown, it)).over(any_shape))
+    found["shapeless"] = F.when(~timed & ~unknown, F.min(F.when(unknown, it)).over(any_shape))
+    linked = met.select("first", "h", F.array_compact(F.array(*found.values())).alias("others"))
+    linked = linked.select(F.col("first").alias("a"), "h", F.explode(F.array_distinct("others")).alias("other"))
+    return linked.select("a", F.col("other.first").alias("b"), F.bit_count(F.col("h").bitwiseXOR(F.col("other.h"))).cast("int").alias("distance")).where("a <> b").distinct()
 
 
 def links(records: DataFrame, photo_bits: int, video_bits: int) -> DataFrame:
@@ -66,12 +68,13 @@ def links(records: DataFrame, photo_bits: int, video_bits: int) -> DataFrame:
         classes = scratch.written(own.groupBy(*keys).agg(F.min("path").alias("first")), "duplicate-classes")
         same = [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
         members = own.alias("x").join(classes.alias("c"), same[0] & same[1] & same[2] & same[3]).where("x.path <> c.first").select(F.col("c.first").alias("a"), F.col("x.path").alias("b"), F.lit(name).alias("type"), F.lit(0).alias("distance"))
-        near = _near_hashes(classes.select("h").distinct(), bits)
-        if video:
-            found = neighbour_links(classes, scratch.written(near, "near-hashes"))
+        hashes = classes.select("h").distinct()
+        if video and bits == 2:
+            found = meeting_links(classes, meeting_points(hashes).select("h", F.col("point").alias("ha"), F.lit(None).cast("long").alias("hb")))
         else:
-            a, b = classes.alias("a"), classes.alias("b")
-            found = near.join(a, F.col("ha") == F.col("a.h")).join(b, F.col("hb") == F.col("b.h")).select(F.col("a.first").alias("a"), F.col("b.first").alias("b"), "distance")
+            near = one_bit_pairs(meeting_points(hashes)) if bits == 1 else star_hashes(meeting_points(hashes)) if bits == 2 else _near_hashes(hashes, bits)
+            near, a, b = scratch.written(near, "near-hashes"), classes.alias("a"), classes.alias("b")
+            found = neighbour_links(classes, near) if video else near.join(a, F.col("ha") == F.col("a.h")).join(b, F.col("hb") == F.col("b.h")).select(F.col("a.first").alias("a"), F.col("b.first").alias("b"), "distance")
         out = out.union(members).union(found.select("a", "b", F.lit(name).alias("type"), "distance"))
     return out
 

@@ -43,6 +43,58 @@ def test_videos_of_near_hashes_are_linked_by_neighbours(spark):
         assert rated == best
 
 
+RECORDS = "media_set string, path string, digest string, visual long, video boolean, file_type string, bytes long, width int, height int, duration double, created string, modified string"
+
+
+def recorded(spark, files):
+    """Records of (path, hash, video, width, height, duration), without digests."""
+    return spark.createDataFrame([("s", path, None, h, video, "f", 1, w, v, d, None, None) for path, h, video, w, v, d in files], RECORDS)
+
+
+def test_links_of_meeting_hashes_equal_all_pairs(spark):
+    """Photos and videos of dense hashes, within one bit and two: the components and least distances of all pairs."""
+    for seed, bits in ((0, 2), (1, 2), (2, 2), (3, 1)):
+        r = random.Random(seed)
+        files = []
+        for i in range(160):
+            h = r.choice([0, -1, 1 << 40])
+            for _ in range(r.choice([0, 1, 2, 2, 3])):
+                k = r.choice([0, 1, 2, 3, 62, 63])
+                h ^= 1 << k if k < 63 else -(1 << 63)
+            known = r.random() < (0.6, 0.95, 0.8, 0.7)[seed]
+            d = None if r.random() < (0.1, 0.02, 0.3, 0.05)[seed] else r.randrange((30, 600, 900, 200)[seed]) / 2
+            files.append((f"p{i:03d}", h, i % 4 > 0, r.choice([1, 2, 3]) if known else r.choice([None, 0, 5]), 7 if known else None, d))
+
+        label, pairs = {x[0]: x[0] for x in files}, []
+        for i, (a, h, video, w, _, d) in enumerate(files):
+            for b, g, other, v, _, e in files[:i]:
+                apart = ((h ^ g) & (2**64 - 1)).bit_count()
+                if video == other and apart <= bits and (not video or not (w and v and {w, v} <= {1, 2, 3} and w != v) and (d is None or e is None or abs(d - e) <= 2.0)):
+                    low, high = sorted((label[a], label[b]))
+                    label = {k: low if x == high else x for k, x in label.items()}
+                    pairs.append((a, apart))
+        best: dict = {}
+        for a, d in pairs:
+            best[label[a]] = min(d, best.get(label[a], 99))
+        found = duplicates.links(recorded(spark, files), bits, bits).collect()
+        roots = {x.node: x.root for x in graph.connected_components(spark.createDataFrame([(x.a, x.b) for x in found], "a string, b string")).collect()}
+        assert roots == {k: x for k, x in label.items() if x in best}
+        rated: dict = {}
+        for x in found:
+            rated[roots[x.a]] = min(x.distance, rated.get(roots[x.a], 99))
+        assert rated == best and len(best) > 3
+
+
+def test_links_of_a_frequent_hash_do_not_grow_with_its_neighbours(spark):
+    """2,000 lengths of one hash that has thirty near ones: a length of it is not linked in every one of them, and no frame of rows ends with its group."""
+    files = [(f"a{i:04d}", 0, True, 640, 480, i / 20) for i in range(2000)] + [(f"b{k:02d}", 1 << k, True, 640, 480, 50.0 + k) for k in range(30)]
+    found = duplicates.links(recorded(spark, files), 2, 2)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().replace("(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "")
+    rows = found.collect()
+    assert len(rows) <= 2 * len(files) + 30 * 200  # own ones, and those of the first and last of each two seconds
+    assert {x.root for x in graph.connected_components(spark.createDataFrame([(x.a, x.b) for x in rows], "a string, b string")).collect()} == {"a0000"}
+
+
 def test_hashes_are_worked_out_once(spark):
     """A hash may cost a pass over a text: each row's is worked out once, however often rows are read."""
     seen = spark.sparkContext.accumulator(0)
